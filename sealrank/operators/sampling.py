@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sealrank.operators.selection import hash_rank, nth_smallest, up_to
 from sealrank.session import materialize
 
+# A sample has exactly as many ids as its size; up to this many are broadcast, so that the
+# corpus texts are filtered where they are read. More are left to Spark's own choice.
+BROADCAST_IDS = 500_000
+
 
 def judged_ids(qrels: DataFrame) -> DataFrame:
     return qrels.select("doc_id").distinct()
@@ -58,7 +62,8 @@ def sample_ids(
     for size, cut in zip(sizes, cuts):
         inside = F.lit(cut is None) if not cut else up_to("order", "doc_id", cut)
         first = first.when(inside, size)
-    return marked.select("doc_id", "judged", first.cast("int").alias("first_size")).filter("first_size IS NOT NULL")
+    picked = marked.select("doc_id", "judged", first.cast("int").alias("first_size")).filter("first_size IS NOT NULL")
+    return materialize(picked, "picked")
 
 
 def sample_sweep(sampled: DataFrame, sizes: list[int]) -> DataFrame:
@@ -73,5 +78,7 @@ def sample_documents(
     docs: DataFrame, qrels: DataFrame, sizes: list[int], seed: int = 42
 ) -> DataFrame:
     """The documents of the largest sample with the size they first appear in."""
-    ids = sample_ids(docs, qrels, sizes, seed)
-    return docs.join(ids.select("doc_id", "first_size"), "doc_id")
+    ids = sample_ids(docs, qrels, sizes, seed).select("doc_id", "first_size")
+    if max(sizes) <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id")

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from sealrank.functions import arrow
 from sealrank.functions.vectors import distance, widen
 from sealrank.operators.best import BestHits, offer_all
+from sealrank.operators.packing import pack_vectors
 
 # A query table is sent to the tasks only below both of these.
 QUERY_ROWS = 8192
@@ -51,22 +53,17 @@ class QueryBlock:
 def query_block(queries: DataFrame, rows: int = QUERY_ROWS, size: int = QUERY_BYTES) -> QueryBlock | None:
     """The query table as a block, or None where it is over the bound.
 
-    At most ``rows + 1`` rows are fetched to find out.
+    At most ``rows + 1`` rows are fetched to find out, packed, from as few partitions as
+    hold that many.
     """
-    table = (
-        queries.select("query_id", widen(F.col("embedding")).alias("embedding"))
-        .limit(rows + 1)
-        .toArrow()
-    )
-    if table.num_rows > rows:
-        return None
-    matrix = arrow.unit_rows(arrow.as_matrix(table["embedding"]))
-    if matrix.nbytes > size:
+    wide = queries.select("query_id", widen(F.col("embedding")).alias("embedding"))
+    rows_found = pack_vectors(wide).limit(rows + 1).collect()
+    if len(rows_found) > rows or sum(len(r["vector"]) for r in rows_found) > size:
         return None
-    ids = table["query_id"].combine_chunks()
-    if table.num_rows and len(ids.unique()) < table.num_rows:
+    ids = pa.array([r["query_id"] for r in rows_found], to_arrow_type(queries.schema["query_id"].dataType))
+    if len(ids.unique()) < len(ids):
         raise ValueError("query_id is not unique")
-    return QueryBlock(ids, matrix)
+    return QueryBlock(ids, arrow.as_matrix(pa.array([r["vector"] for r in rows_found], pa.binary())))
 
 
 def _hit_fields(docs: DataFrame, query_type: T.DataType, group_type: T.DataType | None) -> T.StructType:
@@ -103,10 +100,7 @@ def scan_hits(
     from one matrix product; ``subsets`` names the queries that look at a tag.
     """
     grouped, tagged = groups is not None, groups is not None or subsets is not None
-    query_type = T.StringType() if pa.types.is_string(block.ids.type) else T.LongType()
-    if pa.types.is_int32(block.ids.type):
-        query_type = T.IntegerType()
-    schema = _hit_fields(docs, query_type, T.IntegerType() if grouped else None)
+    schema = _hit_fields(docs, from_arrow_type(block.ids.type), T.IntegerType() if grouped else None)
     sent = docs.sparkSession.sparkContext.broadcast((block.ids, block.matrix, groups, subsets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
 from sealrank.operators.selection import first_rows
-from sealrank.sources.readers import read_or_empty, read_table
+from sealrank.sources.readers import read_table
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
 
@@ -97,38 +97,53 @@ def evaluate_sealed(queries: DataFrame, store: SealedStore, k: int = 5, sizes: l
     return search(first_queries(queries, limit), store.vectors(), k, sizes)
 
 
-def run_benchmark(
-    embeddings: DataFrame, queries: DataFrame, qrels: DataFrame, key: DataFrame, path: str,
+def run_backends(
+    embeddings: DataFrame, queries: DataFrame, key: DataFrame, path: str,
     sizes: list[int], k: int = 5, limit: int | None = None,
 ) -> DataFrame:
-    """Both backends over all sample sizes: stores, results, metrics and id dumps under
-    ``path``; returns the NDCG report with ``backend`` and ``sample_size`` columns."""
+    """Load and query both stores over all sample sizes. Writes stores, results, metrics,
+    load log and id dumps under ``path``; returns the written hits with ``backend`` and
+    ``sample_size``."""
     spark = embeddings.sparkSession
     plain, sealed = PlainStore(spark, f"{path}/plain"), SealedStore(spark, f"{path}/sealed", key)
     if plain.is_empty():
         load_plain(embeddings, plain, f"{path}/load_times")
     ingest_sealed(embeddings, sealed, metrics=f"{path}/metrics")
-    stored = {"plain": evaluate_plain(queries, plain, k, sizes, limit), "sealed": evaluate_sealed(queries, sealed, k, sizes, limit)}
+    stored = {
+        "plain": evaluate_plain(queries, plain, k, sizes, limit),
+        "sealed": evaluate_sealed(queries, sealed, k, sizes, limit),
+    }
     for backend, hits in stored.items():
         start = time.perf_counter()
         write_results(hits.withColumn("backend", F.lit(backend)), f"{path}/results/{backend}")
-        append_metrics(spark, f"{path}/metrics", backend, None, {"eval_time_sec": round(time.perf_counter() - start, 4)})
+        seconds = {"eval_time_sec": round(time.perf_counter() - start, 4)}
+        append_metrics(spark, f"{path}/metrics", backend, None, seconds)
     write_ids(plain.ids(), f"{path}/ids/plain")
     write_ids(sealed.ids(), f"{path}/ids/sealed")
-    hits = reduce(DataFrame.unionByName, [long_results(spark, f"{path}/results/{b}") for b in stored])
+    return reduce(DataFrame.unionByName, [long_results(spark, f"{path}/results/{b}") for b in stored])
+
+
+def report_ndcg(hits: DataFrame, qrels: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """NDCG@k per query with the averages, for all backends and sizes at once, as CSV and
+    as a table."""
     report = ndcg_report(judge(hits, qrels), k)
     write_ndcg(report, f"{path}/ndcg", k)
     return report
 
 
+def run_benchmark(
+    docs: DataFrame, queries: DataFrame, qrels: DataFrame, sizes: list[int], embed: Embed, key: DataFrame,
+    path: str, k: int = 5, limit: int | None = None, seed: int = 42,
+) -> DataFrame:
+    """Everything in order: prepare, both backends, report."""
+    embeddings, asked = prepare_corpus(docs, queries, qrels, sizes, embed, f"{path}/embeddings", seed)
+    hits = run_backends(embeddings, asked, key, path, sizes, k, limit)
+    return report_ndcg(hits, qrels, path, k)
+
+
 def long_results(spark: SparkSession, path: str) -> DataFrame:
     """Written results back in long form, with the backend and size of their folder."""
     nested = spark.read.schema(schemas.RESULTS + ", backend STRING, sample_size INT").json(path)
     return nested.select("backend", "sample_size", "query_id", F.explode("results").alias("hit")).select(
         "backend", "sample_size", "query_id", "hit.rank", "hit.doc_id", "hit.score"
     )
-
-
-def stored_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Ids in the dump of a backend."""
-    return read_or_empty(spark, path, "doc_id STRING")
