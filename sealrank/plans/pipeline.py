@@ -19,6 +19,7 @@ from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
 from sealrank.operators.selection import first_rows
+from sealrank.session import materialize
 from sealrank.sources.readers import read_table
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
@@ -30,14 +31,18 @@ def prepare_corpus(
     docs: DataFrame, queries: DataFrame, qrels: DataFrame, sizes: list[int], embed: Embed, path: str, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Sample the corpus around the judged documents, embed it and the queries, and save
-    both. ``embed(df, text_column)`` adds ``embedding`` and ``embed_time``."""
+    both. ``embed(df, text_column)`` adds ``embedding`` and ``embed_time``.
+
+    The sampled documents are spread by id before they are embedded, since a sample leaves
+    the splits of the corpus uneven.
+    """
     spark = docs.sparkSession
     chosen = sample_documents(docs, qrels, sizes, seed).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         content(F.col("title"), F.col("text")).alias("content"),
         "first_size",
     )
-    write_embeddings(embed(chosen, "content"), f"{path}/doc_embeddings", "first_size")
+    write_embeddings(embed(chosen.repartition("doc_id"), "content"), f"{path}/doc_embeddings", "first_size")
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
     write_embeddings(embed(asked, "text"), f"{path}/query_embeddings")
     return (
@@ -126,7 +131,7 @@ def run_backends(
 def report_ndcg(hits: DataFrame, qrels: DataFrame, path: str, k: int = 5) -> DataFrame:
     """NDCG@k per query with the averages, for all backends and sizes at once, as CSV and
     as a table."""
-    report = ndcg_report(judge(hits, qrels), k)
+    report = materialize(ndcg_report(judge(hits, qrels), k), "report")
     write_ndcg(report, f"{path}/ndcg", k)
     return report
 

@@ -1,0 +1,133 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from sealrank.operators.best import BestHits, offer_all
+from sealrank.operators.search import as_distance, rank_hits, search, without_self
+from tests.conftest import SF_DIR
+
+QUERY = "query_id STRING, embedding ARRAY<DOUBLE>"
+DOC = "doc_id STRING, embedding ARRAY<DOUBLE>"
+
+
+def frames(spark, queries, docs):
+    return spark.createDataFrame(queries, QUERY), spark.createDataFrame(docs, DOC)
+
+
+def rows(df):
+    return [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+
+
+def brute(queries, docs, k):
+    """The ranking by its definition."""
+    out = []
+    for qid, q in queries:
+        def cos(v):
+            norm = np.linalg.norm(q) * np.linalg.norm(v)
+            return round(float(np.dot(q, v) / norm), 12) if norm else 0.0
+        best = sorted(((-cos(v), d) for d, v in docs))[:k]
+        out += [(qid, i + 1, d) for i, (_, d) in enumerate(best)]
+    return out
+
+
+BOTH = pytest.mark.parametrize("options", [{}, {"query_rows": 1, "block_queries": 2, "slice_docs": 3}])
+
+
+@BOTH
+def test_ties_zero_vectors_and_short_stores(spark, options):
+    queries, docs = frames(
+        spark, [("a", [1.0, 0.0]), ("z", [0.0, 0.0])], [("d2", [2.0, 0.0]), ("d1", [5.0, 0.0]), ("d0", [0.0, 0.0])]
+    )
+    found = rows(search(queries, docs, 5, **options))
+    assert found == [
+        ("a", 1, "d1", 1.0), ("a", 2, "d2", 1.0), ("a", 3, "d0", 0.0),
+        ("z", 1, "d0", 0.0), ("z", 2, "d1", 0.0), ("z", 3, "d2", 0.0),
+    ]
+    assert rows(as_distance(search(queries, docs, 1, **options))) == [("a", 1, "d1", 0.0), ("z", 1, "d0", 1.0)]
+
+
+@BOTH
+def test_empty_sides(spark, options):
+    queries, docs = frames(spark, [("a", [1.0])], [("d", [1.0])])
+    for q, d in ((queries.limit(0), docs), (queries, docs.limit(0))):
+        found = search(q, d, 5, **options)
+        assert found.columns == ["query_id", "rank", "doc_id", "score"] and found.count() == 0
+
+
+@BOTH
+def test_bad_input(spark, options):
+    queries, docs = frames(spark, [("a", [1.0, 2.0]), ("b", [1.0, 1.0])], [("d", [1.0])])
+    with pytest.raises(PySparkException, match="width"):
+        search(queries, docs, 5, **options).collect()
+    with pytest.raises(ValueError, match="unique"):
+        search(queries.unionByName(queries), docs, 5, **options)
+    with pytest.raises(ValueError, match="at least 1"):
+        search(queries, docs, 0)
+
+
+@BOTH
+def test_many_copies_of_one_vector(spark, options):
+    """A third of the documents are copies that tie for every place."""
+    rng = np.random.default_rng(7)
+    docs = [(f"d{i:04d}", [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    docs += [(f"c{i:04d}", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(100)]
+    queries = [(f"q{i}", [float(x) for x in rng.normal(size=6)]) for i in range(8)] + [("same", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])]
+    q, d = frames(spark, queries, docs)
+    for parts in (1, 4, 17):
+        found = rows(search(q, d.repartition(parts), 7, **options).select("query_id", "rank", "doc_id"))
+        assert found == sorted(brute(queries, docs, 7))
+
+
+def test_scaling_a_vector_changes_nothing(spark):
+    emb = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    d = emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    scaled = d.withColumn("embedding", F.transform("embedding", lambda x: x * (F.col("doc_id") + 1)))
+    keep = ("query_id", "rank", "doc_id")
+    assert rows(search(q, d, 5).select(*keep)) == rows(search(q, scaled, 5).select(*keep))
+
+
+@BOTH
+def test_sample_sizes_rank_by_themselves(spark, options):
+    rng = np.random.default_rng(3)
+    docs = [(f"d{i:03d}", [float(x) for x in rng.normal(size=4)], (10, 20, 40)[i % 3]) for i in range(60)]
+    queries = [(f"q{i}", [float(x) for x in rng.normal(size=4)]) for i in range(5)]
+    q = spark.createDataFrame(queries, QUERY)
+    d = spark.createDataFrame(docs, DOC + ", first_size INT")
+    found = search(q, d, 4, sizes=[10, 20, 40], **options)
+    for size in (10, 20, 40):
+        part = rows(found.filter(F.col("sample_size") == size).select("query_id", "rank", "doc_id"))
+        assert part == sorted(brute(queries, [(i, v) for i, v, s in docs if s <= size], 4))
+
+
+def test_without_self(spark):
+    hits = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.4)], "query_id INT, doc_id INT, score DOUBLE")
+    assert rows(without_self(rank_hits(hits, 3), 2)) == [(1, 1, 2, 0.5), (1, 2, 3, 0.4)]
+
+
+def test_best_hits_over_many_batches():
+    rng = np.random.default_rng(1)
+    queries, docs = np.round(rng.normal(size=(9, 3)), 1), np.round(rng.normal(size=(5000, 3)), 1)
+    best = BestHits(9, 4)
+    best.limit = 100
+    ids = pa.array([f"{i:05d}" for i in range(5000)])
+    for at in range(0, 5000, 37):
+        offer_all([best], queries, np.arange(9), docs[at:at + 37], ids.slice(at, 37))
+    q, score, found = best.hits()
+    scores = np.round(queries @ docs.T, 12)
+    for i in range(9):
+        want = sorted(range(5000), key=lambda d: (-scores[i, d], d))[:4]
+        assert [int(x) for x in found.take(pa.array(np.flatnonzero(q == i))).to_pylist()] == want
+
+
+def test_documents_are_neither_shuffled_nor_broadcast(spark):
+    emb = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    d = emb.select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    plan = search(q, d, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 1
+    assert plan.count("WindowGroupLimit") == 2
+    assert plan.index("Exchange") < plan.index("MapInArrow"), "the only shuffle is that of the hits"
+    assert "label" not in plan.split("ReadSchema")[1]
