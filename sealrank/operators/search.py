@@ -32,8 +32,10 @@ from sealrank.operators.packing import pack_vectors
 # A query table is sent to the tasks only below both of these.
 QUERY_ROWS = 8192
 QUERY_BYTES = 64 << 20
-# Sizes of the blocks that meet in a task otherwise.
-BLOCK_QUERIES = 2048
+# Sizes of the blocks that meet in a task otherwise. A task holds one query block and
+# streams its slice; each document is sent once per query block, so blocks are as large as
+# a task can hold.
+BLOCK_QUERIES = 8192
 SLICE_DOCS = 200_000
 # Tags are sample sizes or cells of an index; there are never more of them than this.
 MAX_TAGS = 65_536

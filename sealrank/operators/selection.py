@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealrank.session import materialize
+
 # Rows that may be ordered on the driver at the end of the narrowing, and the number of
 # histogram buckets fetched per step.
 FEW_ROWS = 10_000
@@ -22,11 +24,18 @@ def nth_smallest(df: DataFrame, value: str, tie: str, counts: list[int]) -> list
     A histogram of the bigint ``value`` narrows the range until few rows are left; only
     counts and those few keys are fetched, whatever n is.
     """
-    keys = df.select(value, tie)
+    keys = df.select(value, tie).filter(F.col(value).isNotNull())
     low, high, total = keys.agg(F.min(value), F.max(value), F.count("*")).first()
+    if total <= FEW_ROWS:
+        ordered = _ordered(keys, value, tie)
+        return [ordered[n - 1] if n <= total else None for n in counts]
     return [None if n > total else _narrow(keys, value, tie, n, low, high, total) for n in counts]
 
 
+def _ordered(keys: DataFrame, value: str, tie: str) -> list[tuple]:
+    return [tuple(r) for r in keys.orderBy(value, tie).collect()]
+
+
 def _narrow(keys: DataFrame, value: str, tie: str, n: int, low: int, high: int, total: int) -> tuple:
     while total > FEW_ROWS and low < high:
         width = (high - low) // BUCKETS + 1
@@ -39,8 +48,25 @@ def _narrow(keys: DataFrame, value: str, tie: str, n: int, low: int, high: int,
                 low, high, total = low + at * width, min(high, low + (at + 1) * width - 1), count
                 break
             n -= count
-    last = keys.filter(F.col(value).between(low, high)).orderBy(value, tie).limit(n).orderBy(F.desc(value), F.desc(tie)).first()
-    return last[0], last[1]
+    inside = keys.filter(F.col(value).between(low, high))
+    if total > FEW_ROWS:
+        # More rows share one value than may be fetched.
+        return _nth_tie(inside, value, tie, n)
+    return _ordered(inside, value, tie)[n - 1]
+
+
+def _nth_tie(inside: DataFrame, value: str, tie: str, n: int) -> tuple:
+    """The n-th smallest tie among rows of one value: a range sort over all tasks, then
+    the row is found by the counts of the sorted partitions."""
+    ordered = materialize(
+        inside.orderBy(tie).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()),
+        "ties",
+    )
+    for part, start, count in sorted(map(tuple, ordered.groupBy("part").agg(F.min("place"), F.count("*")).collect())):
+        if n <= count:
+            return tuple(ordered.filter(F.col("place") == start + n - 1).select(value, tie).first())
+        n -= count
+    raise AssertionError("counts changed while they were read")
 
 
 def smallest(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:

@@ -20,6 +20,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sea
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
