@@ -47,7 +47,7 @@ def main() -> None:
 
     # Inputs of the timed steps.
     embedded = new_path(spark, "bench-embeddings")
-    embed_hashed(texts, "content", spread_by="doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).write.json(embedded)
+    embed_hashed(texts, "content", spread=True).withColumn("doc_id", F.col("doc_id").cast("string")).write.json(embedded)
     wide = docs.withColumn("embedding", widen(F.col("embedding")))
     plain, sealed = PlainStore(spark, new_path(spark, "plain")), SealedStore(spark, new_path(spark, "sealed"), key)
     plain.add(wide)
@@ -69,7 +69,7 @@ def main() -> None:
         "ivf_probe_topk": lambda: drain(cells.search_cells(asked, index, 5, 8, exact=False)),
         "share_topk": lambda: drain(shares.search_shares(asked, *split, 5)),
         "ndcg_report": lambda: drain(evaluation.ndcg_report(registered.label_hits(spark, SF_DIR), 5)),
-        "embed_batches": lambda: drain(embed_hashed(texts, "content", spread_by="doc_id")),
+        "embed_batches": lambda: drain(embed_hashed(texts, "content", spread=True)),
         "sample_sweep": lambda: drain(registered.sample_sweep(spark, SF_DIR)),
         "hashed_search": lambda: drain(registered.hashed_search(spark, SF_DIR)),
         "stream_ingest": lambda: drain(registered.stream_ingest(spark, SF_DIR)),

@@ -23,19 +23,23 @@ Model = Callable[[list[str]], np.ndarray]
 _TOKEN_BYTES = bytes(b if chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """Rows in equal parts over ``spark.sql.shuffle.partitions`` tasks, whatever their keys."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def embed(
-    df: DataFrame, text: str, make_model: Callable[[], Model], batch_texts: int = 256, spread_by: str | None = None
+    df: DataFrame, text: str, make_model: Callable[[], Model], batch_texts: int = 256, spread: bool = False
 ) -> DataFrame:
     """``df`` with ``embedding`` and ``embed_time``, the seconds a text took.
 
     ``make_model`` runs once per task and returns a function from texts to an
     ``(n, width)`` array. Rows stay in their task and nothing is shuffled, unless
-    ``spread_by`` names a key by which the rows are spread over all tasks first: worth it
-    where the input comes in few or uneven splits, as embedding costs far more than moving
-    a text.
+    ``spread`` deals them out evenly over all tasks first: worth it where the input comes
+    in few or uneven splits, as embedding costs far more than moving a text.
     """
-    if spread_by:
-        df = df.repartition(spread_by)
+    if spread:
+        df = deal_out(df)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,5 +112,5 @@ def hashed_model(width: int = 64) -> Callable[[], Model]:
     return make
 
 
-def embed_hashed(df: DataFrame, text: str, width: int = 64, spread_by: str | None = None) -> DataFrame:
-    return embed(df, text, hashed_model(width), batch_texts=4096, spread_by=spread_by)
+def embed_hashed(df: DataFrame, text: str, width: int = 64, spread: bool = False) -> DataFrame:
+    return embed(df, text, hashed_model(width), batch_texts=4096, spread=spread)

@@ -163,22 +163,23 @@ def block_hits(
     # shuffle would put all documents of a tag into one task.
     sizes = F.broadcast(docs.sparkSession.createDataFrame(cuts))
 
-    def part(key: str, parts: str):
-        return F.pmod(F.xxhash64(key), F.col(parts).cast("bigint")).cast("int")
+    def part(parts: str, *keys):
+        return F.pmod(F.xxhash64(*keys), F.col(parts).cast("bigint")).cast("int")
 
     def each(parts: str):
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
     left = (
         queries.join(sizes, "tag")
-        .withColumn("block", part("query_id", "blocks"))
+        .withColumn("block", part("blocks", F.col("query_id")))
         .select("tag", "block", each("slices").alias("slice"), F.lit(0).alias("side"),
                 "query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
                 widen(F.col("embedding")).alias("vector"))
     )
     right = (
         docs.join(sizes, "tag")
-        .withColumn("slice", part("doc_id", "slices"))
+        # The partition counts too, so that rows which repeat one id do not share a slice.
+        .withColumn("slice", part("slices", F.col("doc_id"), F.spark_partition_id()))
         .select("tag", each("blocks").alias("block"), "slice", F.lit(1).alias("side"),
                 F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
                 "doc_id", "vector")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sealrank import schemas
 from sealrank.functions.text import content
+from sealrank.operators.embedding import deal_out
 from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
@@ -33,8 +34,8 @@ def prepare_corpus(
     """Sample the corpus around the judged documents, embed it and the queries, and save
     both. ``embed(df, text_column)`` adds ``embedding`` and ``embed_time``.
 
-    The sampled documents are spread by id before they are embedded, since a sample leaves
-    the splits of the corpus uneven.
+    The sampled documents are dealt out before they are embedded, since a sample leaves the
+    splits of the corpus uneven.
     """
     spark = docs.sparkSession
     chosen = sample_documents(docs, qrels, sizes, seed).select(
@@ -42,7 +43,7 @@ def prepare_corpus(
         content(F.col("title"), F.col("text")).alias("content"),
         "first_size",
     )
-    write_embeddings(embed(chosen.repartition("doc_id"), "content"), f"{path}/doc_embeddings", "first_size")
+    write_embeddings(embed(deal_out(chosen), "content"), f"{path}/doc_embeddings", "first_size")
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
     write_embeddings(embed(asked, "text"), f"{path}/query_embeddings")
     return (

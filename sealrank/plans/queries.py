@@ -12,7 +12,7 @@ from sealrank.functions.sealing import load_key, open_text, save_key
 from sealrank.functions.text import content, first_text
 from sealrank.functions.vectors import cosine, distance, l2_norm, normalize, widen
 from sealrank.operators import cells, evaluation, sampling, shares
-from sealrank.operators.embedding import embed_hashed, hashed_embedding
+from sealrank.operators.embedding import deal_out, embed_hashed, hashed_embedding
 from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import search, without_self
 from sealrank.operators.selection import first_rows
@@ -96,7 +96,7 @@ def sizes(docs: DataFrame) -> list[int]:
 
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages searched in the documents by their hashed embeddings."""
-    docs = embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread_by="doc_id")
+    docs = embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread=True)
     asked = embed_hashed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     return search(asked, docs, K)
 
@@ -253,7 +253,7 @@ def store_count(spark, sf_dir):
 def text_dump(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     store, path = PlainStore(spark, new_path(spark, "plain")), new_path(spark, "dump")
-    store.add(embed_hashed(docs, "content", spread_by="doc_id"))
+    store.add(embed_hashed(docs, "content", spread=True))
     writers.write_ids(store.content(), path)
     return spark.read.schema("content STRING").json(path)
 
@@ -337,7 +337,7 @@ def limit_docs(spark, sf_dir):
 
 @query
 def hashed_embedding_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").repartition("doc_id")
+    docs = deal_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # Exploding the expression itself would repeat it in the filter Spark infers for it.
     embedded = docs.select("doc_id", hashed_embedding(F.col("text")).alias("embedding"))
     return elements(materialize(embedded, "hashed"))
@@ -345,7 +345,7 @@ def hashed_embedding_query(spark, sf_dir):
 
 @query
 def embed_batches(spark, sf_dir):
-    return elements(embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread_by="doc_id"))
+    return elements(embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread=True))
 
 
 @query

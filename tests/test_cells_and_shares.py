@@ -103,6 +103,15 @@ def test_shares_hide_and_restore(spark, key):
         assert np.allclose(back[i], v / np.linalg.norm(v), atol=2**-30)
 
 
+def test_copies_and_versions_in_shares(spark, key):
+    made = [("hot", [1.0, 0.0])] * 300 + [("hot", [0.0, 1.0]), ("other", [0.6, 0.8])]
+    docs = spark.createDataFrame(made, "doc_id STRING, embedding ARRAY<DOUBLE>").repartition(4)
+    first, second = (materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1))
+    queries = spark.createDataFrame([("q", [0.0, 2.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
+    assert [r[2] for r in rows(shares.search_shares(queries, first, second, 5))] == ["hot", "other", "hot"]
+    assert shares.join_shares(first, second).count() == 3
+
+
 def test_modular_product_is_exact():
     rng = np.random.default_rng(5)
     for prime in shares.PRIMES:

@@ -30,7 +30,7 @@ def counted(text, width=64):
 @pytest.mark.parametrize("width", [8, 64])
 def test_both_hashed_forms(spark, width):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i INT, text STRING")
-    batch = {r["i"]: r for r in embed_hashed(df, "text", width, spread_by="i").collect()}
+    batch = {r["i"]: r for r in embed_hashed(df, "text", width, spread=True).collect()}
     plain = {r["i"]: r["e"] for r in df.select("i", hashed_embedding(F.col("text"), width).alias("e")).collect()}
     for i, text in enumerate(TEXTS):
         assert batch[i]["embedding"] == pytest.approx(list(counted(text, width)))
