@@ -159,9 +159,17 @@ def block_hits(
     )
     if cuts.num_rows > MAX_TAGS:
         raise ValueError(f"more than {MAX_TAGS} tags")
-    # One row per tag, so at most MAX_TAGS rows are broadcast; joining on the tag by
-    # shuffle would put all documents of a tag into one task.
-    sizes = F.broadcast(docs.sparkSession.createDataFrame(cuts))
+    def cut(side: DataFrame) -> DataFrame:
+        if cuts.num_rows == 1:
+            only = cuts.to_pylist()[0]
+            own = side.filter(F.col("tag") == only["tag"])
+            return own.select("*", F.lit(only["blocks"]).alias("blocks"), F.lit(only["slices"]).alias("slices"))
+        # One row per tag, so at most MAX_TAGS rows are broadcast; joining on the tag by
+        # shuffle would put all documents of a tag into one task.
+        return side.join(F.broadcast(docs.sparkSession.createDataFrame(cuts)), "tag")
+
+    if cuts.num_rows == 0:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def part(parts: str, *keys):
         return F.pmod(F.xxhash64(*keys), F.col(parts).cast("bigint")).cast("int")
@@ -170,14 +178,14 @@ def block_hits(
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
     left = (
-        queries.join(sizes, "tag")
+        cut(queries)
         .withColumn("block", part("blocks", F.col("query_id")))
         .select("tag", "block", each("slices").alias("slice"), F.lit(0).alias("side"),
                 "query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
                 widen(F.col("embedding")).alias("vector"))
     )
     right = (
-        docs.join(sizes, "tag")
+        cut(docs)
         # The partition counts too, so that rows which repeat one id do not share a slice.
         .withColumn("slice", part("slices", F.col("doc_id"), F.spark_partition_id()))
         .select("tag", each("blocks").alias("block"), "slice", F.lit(1).alias("side"),

@@ -10,7 +10,7 @@ QUERY_EMBEDDINGS = "query_id STRING, text STRING, embedding ARRAY<DOUBLE>, embed
 PLAIN_VECTORS = "doc_id STRING, content STRING, embedding ARRAY<DOUBLE>, first_size INT, batch STRING"
 SEALED_VECTORS = (
     "doc_key STRING, id_enc BINARY, vector_enc BINARY, text_enc BINARY, "
-    "version BIGINT, first_size INT, batch STRING"
+    "version BIGINT, pos BIGINT, first_size INT, batch STRING"
 )
 RESULTS = "query_id STRING, results ARRAY<STRUCT<rank: INT, doc_id: STRING, score: DOUBLE>>"
 RUN_METRICS = "backend STRING, sample_size INT, metric STRING, value DOUBLE, at TIMESTAMP"

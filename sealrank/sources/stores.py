@@ -16,6 +16,7 @@ from sealrank.functions.sealing import blind_index, open_text, seal, unseal
 from sealrank.functions.text import first_text, id_or_new
 from sealrank.functions.vectors import widen
 from sealrank.operators.packing import pack_vectors
+from sealrank.session import materialize
 from sealrank.sources.readers import read_or_empty
 
 
@@ -92,7 +93,7 @@ class SealedStore(_Store):
         return F.sha2(doc_id, 256) if self.key is None else blind_index(doc_id, self.key)
 
     def seal_rows(self, df: DataFrame, version) -> DataFrame:
-        packed = pack_vectors(fill_defaults(df))
+        packed = pack_vectors(fill_defaults(df).withColumn("pos", F.monotonically_increasing_id()))
         keyed = packed.withColumn("doc_key", self._doc_key(F.col("doc_id")))
         tied = F.col("doc_key")
         return keyed.select(
@@ -101,6 +102,7 @@ class SealedStore(_Store):
             seal(F.col("vector"), self.key, tied).alias("vector_enc"),
             seal(F.col("content"), self.key, tied).alias("text_enc"),
             F.lit(version).cast("bigint").alias("version"),
+            "pos",
             "first_size",
         )
 
@@ -110,12 +112,19 @@ class SealedStore(_Store):
         return self._write(self.seal_rows(df, version), batch)
 
     def latest(self) -> DataFrame:
-        """One row per document. The aggregate combines before the shuffle, so a document
-        added very often sends one row per task."""
+        """One row per document: of the highest version, there the last one added.
+
+        A first job finds the documents that have several rows, from narrow columns and
+        with a combine before the shuffle, so a document added very often sends one row
+        per task. Their table is small unless most documents were added again, and then
+        the sealed columns are filtered where they are read.
+        """
         rows = self.read()
-        value = F.struct("version", "id_enc", "vector_enc", "text_enc", "first_size", "batch")
-        best = rows.groupBy("doc_key").agg(F.max_by(value, F.struct("version", "batch")).alias("row"))
-        return best.select("doc_key", "row.*")
+        order = F.struct("version", "batch", "pos")
+        several = rows.groupBy("doc_key").agg(F.max(order).alias("last"), F.count("*").alias("n")).filter("n > 1")
+        last = materialize(several.select("doc_key", "last"), "latest")
+        keep = F.col("last").isNull() | (order == F.col("last"))
+        return rows.join(last, "doc_key", "left").filter(keep).drop("last")
 
     def vectors(self, rows: DataFrame | None = None) -> DataFrame:
         """``doc_id`` and packed ``vector``, opened; each vector once, below any join.

@@ -103,6 +103,14 @@ def test_adding_again_appends_and_latest_keeps_one(spark, key, path):
     assert len(latest) == 201 and latest["hot"] == [0.0, 1.0] and latest["d1"] == [1.0, 0.0]
 
 
+def test_last_row_of_a_batch_wins(spark, key, path):
+    for made in (key, None):
+        store = SealedStore(spark, path("s"), made)
+        store.add(spark.createDataFrame([("a", [1.0, 0.0], "1"), ("b", [1.0, 0.0], "2"), ("a", [0.0, 1.0], "3")], SCHEMA))
+        kept = unpack_vectors(store.vectors(store.latest()).select("doc_id", "vector")).collect()
+        assert {r["doc_id"]: r["embedding"] for r in kept} == {"a": [0.0, 1.0], "b": [1.0, 0.0]} and len(kept) == 2
+
+
 def test_repeating_a_batch_replaces_it(spark, key, path):
     for store in (SealedStore(spark, path("s"), key), PlainStore(spark, path("p"))):
         for _ in range(2):
