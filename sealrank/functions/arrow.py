@@ -25,7 +25,7 @@ def as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     if packed:
         offset_type = np.int64 if pa.types.is_large_binary(column.type) else np.int32
         offsets = np.frombuffer(column.buffers()[1], offset_type)[column.offset:]
-        body = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[len(column)]]
+        body = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[len(column)]]
         flat = body.view("<f8")
     else:
         values = column.flatten()

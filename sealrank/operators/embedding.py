@@ -24,8 +24,11 @@ _TOKEN_BYTES = bytes(b if chr(b) in string.ascii_lowercase + string.digits else
 
 
 def deal_out(df: DataFrame) -> DataFrame:
-    """Rows in equal parts over ``spark.sql.shuffle.partitions`` tasks, whatever their keys."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows in equal parts over all cores, whatever their keys: two parts per core, or
+    ``spark.sql.shuffle.partitions`` where that is less."""
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(wanted, 2 * spark.sparkContext.defaultParallelism))
 
 
 def embed(
@@ -96,7 +99,7 @@ def hashed_model(width: int = 64) -> Callable[[], Model]:
 
         def model(texts: list[str]) -> np.ndarray:
             low = pc.utf8_lower(pa.array(texts, pa.string()))
-            body = pa.py_buffer(low.buffers()[2].to_pybytes().translate(_TOKEN_BYTES))
+            body = pa.py_buffer(bytes(low.buffers()[2] or b"").translate(_TOKEN_BYTES))
             blanked = pa.Array.from_buffers(low.type, len(low), [None, low.buffers()[1], body], offset=low.offset)
             split = pc.ascii_split_whitespace(blanked)
             rows = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())

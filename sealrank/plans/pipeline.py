@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,14 +59,21 @@ def sizes_of(vectors: DataFrame) -> list[int]:
 
 
 def load_plain(embeddings: DataFrame, store: PlainStore, log: str | None = None) -> float:
-    """Append all embeddings to the plain store in one job, and log rows and seconds per
-    sample size. Returns the seconds taken."""
+    """Append all embeddings to the plain store in one job; returns the seconds taken.
+
+    The log gets one line per sample size with the documents of that sample, all loaded by
+    the same job, or one line for the whole where there are no sample sizes.
+    """
     start = time.perf_counter()
     batch = store.add(embeddings)
     seconds = time.perf_counter() - start
     if log:
-        rows = store.read().filter(F.col("batch") == batch).groupBy(F.col("first_size").alias("size")).count()
-        append_load_log(rows.withColumn("seconds", F.lit(seconds)).coalesce(1), log, start=True)
+        added = store.read().filter(F.col("batch") == batch).groupBy("first_size").count()
+        counts = sorted((r["first_size"] or 0, r["count"]) for r in added.collect())
+        sums = list(accumulate(n for _, n in counts))
+        lines = [(size or total, total, seconds) for (size, _), total in zip(counts, sums)]
+        loads = store.spark.createDataFrame(lines, "size INT, count BIGINT, seconds DOUBLE")
+        append_load_log(loads.coalesce(1), log, start=True)
     return seconds
 
 

@@ -20,14 +20,13 @@ def read_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.p
     return reader.parquet(path)
 
 
-def ingest_stream(vectors: DataFrame, store: PlainStore | SealedStore, checkpoint: str) -> StreamingQuery:
-    """Append a stream of ``doc_id, embedding[, content]`` to a store; the batch number is
-    the version of its rows."""
+def ingest_stream(vectors: DataFrame, store: PlainStore | SealedStore, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Append a stream of ``doc_id, embedding[, content]`` to a store.
+
+    ``name`` goes into the batch folders; streams that share a store need different ones.
+    """
     def add(rows: DataFrame, batch_id: int) -> None:
-        if isinstance(store, SealedStore):
-            store.add(rows, batch=str(batch_id), version=batch_id)
-        else:
-            store.add(rows, batch=str(batch_id))
+        store.add(rows, batch=f"{name}-{batch_id}")
 
     return (
         vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sealrank import schemas
 from sealrank.functions.text import content, is_relevant
-from sealrank.operators.embedding import embed, embed_hashed, hashed_embedding
+from sealrank.operators.embedding import embed, embed_hashed, hashed_embedding, hashed_model
 from sealrank.operators.search import search
 from sealrank.plans import pipeline
 from sealrank.sources import readers, writers
@@ -38,6 +38,12 @@ def test_both_hashed_forms(spark, width):
         assert batch[i]["embed_time"] >= 0 and batch[i]["text"] == text
 
 
+def test_texts_without_a_token(spark):
+    model = hashed_model(4)()
+    assert not model(["", ""]).any() and not model(["?"]).any()
+    assert model(["", "a"]).any(axis=1).tolist() == [False, True]
+
+
 def test_model_is_made_once_per_task(spark):
     def make():
         calls = []
@@ -79,7 +85,7 @@ def test_whole_benchmark(spark, small, key, path):
     embedded = readers.read_doc_embeddings(spark, f"{place}/embeddings/doc_embeddings", extra=", first_size INT")
     assert embedded.count() == 40 and pipeline.sizes_of(embedded) == [10, 20, 40]
     log = {r["size"]: r["count"] for r in readers.read_load_log(spark, f"{place}/load_times").collect()}
-    assert log == {10: 10, 20: 10, 40: 20}
+    assert log == {10: 10, 20: 20, 40: 40}
     for backend in ("plain", "sealed"):
         ids = spark.read.json(f"{place}/ids/{backend}")
         assert {r["doc_id"] for r in ids.collect()} == {str(i) for i in range(40)}
@@ -101,6 +107,12 @@ def test_ingest_takes_the_first_documents_and_skips_a_full_store(spark, key, pat
     assert not pipeline.ingest_sealed(rows, store) and store.count() == 10
 
 
+def test_load_log_without_sample_sizes(spark, path):
+    rows = spark.range(7).select(F.col("id").cast("string").alias("doc_id"), F.array(F.lit(1.0)).alias("embedding"))
+    pipeline.load_plain(rows, PlainStore(spark, path("p")), log := path("log"))
+    assert [(r["size"], r["count"]) for r in readers.read_load_log(spark, log).collect()] == [(7, 7)]
+
+
 def test_query_limit(spark, path):
     queries = spark.createDataFrame([("b", 0, [1.0]), ("a", 1, [1.0])], "query_id STRING, query_pos BIGINT, embedding ARRAY<DOUBLE>")
     store = PlainStore(spark, path("p"))
