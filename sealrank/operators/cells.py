@@ -13,30 +13,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sealrank.functions import arrow
-from sealrank.functions.vectors import widen
+from sealrank.functions.vectors import l2_norm, widen
+from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import (
     MAX_TAGS, QUERY_BYTES, QUERY_ROWS, QueryBlock, block_hits, no_hits, query_block, rank_hits, scan_hits, search,
 )
 from sealrank.operators.selection import hash_rank, smallest
 from sealrank.session import materialize
 
+TRAIN_PER_CELL = 256
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
 def pick_centroids(docs: DataFrame, n_cells: int, seed: int = 42) -> np.ndarray:
     """The vectors of the ``n_cells`` ids of lowest hash rank, normalised, in id order."""
-    if not 1 <= n_cells <= MAX_TAGS:
-        raise ValueError(f"n_cells must lie between 1 and {MAX_TAGS}")
     ranked = docs.select("doc_id", "vector", hash_rank(F.col("doc_id"), seed).alias("order"))
     picked = smallest(ranked, "order", "doc_id", n_cells).orderBy("doc_id").select("vector").toArrow()
-    centroids = arrow.unit_rows(arrow.as_matrix(picked["vector"]))
-    if centroids.nbytes > QUERY_BYTES:
-        raise ValueError("the centroids are too large to be sent to every task; use fewer cells")
-    return centroids
+    return arrow.unit_rows(arrow.as_matrix(picked["vector"]))
+
+
+def train_centroids(docs: DataFrame, n_cells: int, rounds: int, seed: int = 42) -> np.ndarray:
+    """K-means centroids by cosine from a repeatable sample of 256 vectors per cell.
+
+    Only the placing of the centroids rests on the sample; every vector is indexed.
+    """
+    ranked = docs.select("doc_id", "vector", hash_rank(F.col("doc_id"), seed).alias("order"))
+    sample = materialize(smallest(ranked, "order", "doc_id", TRAIN_PER_CELL * n_cells), "train")
+    if isinstance(sample.schema["vector"].dataType, T.BinaryType):
+        sample = unpack_vectors(sample.select("vector")).withColumnRenamed("embedding", "vector")
+    points = sample.filter(l2_norm(F.col("vector")) > 0).select(array_to_vector("vector").alias("features"))
+    model = KMeans(k=n_cells, maxIter=rounds, seed=seed, distanceMeasure="cosine").fit(points)
+    return arrow.unit_rows(np.array(model.clusterCenters()))
 
 
 def assign_cells(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -64,15 +78,21 @@ def _docs(df: DataFrame) -> DataFrame:
     return df if "vector" in df.columns else df.withColumn("vector", widen(F.col("embedding"))).drop("embedding")
 
 
-def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42) -> None:
+def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds: int = 0) -> None:
     """Write the index of ``docs`` (``doc_id`` and ``embedding`` or ``vector``) to ``path``.
 
+    Centroids are sampled vectors, or with ``rounds`` those of that many rounds of k-means.
+
     The rebalance hint groups rows by cell and splits the cells that are too large for a
     task, so a cell that holds a third of all vectors does not hold up the write.
     """
+    if not 1 <= n_cells <= MAX_TAGS:
+        raise ValueError(f"n_cells must lie between 1 and {MAX_TAGS}")
     spark = docs.sparkSession
     docs = _docs(docs).select("doc_id", "vector")
-    centroids = pick_centroids(docs, n_cells, seed)
+    centroids = train_centroids(docs, n_cells, rounds, seed) if rounds else pick_centroids(docs, n_cells, seed)
+    if centroids.nbytes > QUERY_BYTES:
+        raise ValueError("the centroids are too large to be sent to every task; use fewer cells")
     assigned = assign_cells(docs, centroids)
     assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     table = pa.table({

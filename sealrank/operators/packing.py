@@ -13,7 +13,7 @@ from sealrank.functions import arrow
 def pack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
     """Replace ``embedding`` by its unit vector as packed float64 bytes."""
     kept = [c for c in df.columns if c != "embedding"]
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
+    fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = None
@@ -24,13 +24,13 @@ def pack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
                 packed = arrow.packed_column(arrow.unit_rows(matrix))
                 yield arrow.replace_columns(batch, ("embedding",), **{name: packed})
 
-    return df.mapInArrow(run, f"{fields}, {name} binary")
+    return df.mapInArrow(run, ", ".join([*fields, f"{name} binary"]))
 
 
 def unpack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
     """The inverse of ``pack_vectors``: ``embedding ARRAY<DOUBLE>``."""
     kept = [c for c in df.columns if c != name]
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
+    fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,4 +38,4 @@ def unpack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
                 listed = arrow.list_column(arrow.as_matrix(batch.column(name)))
                 yield arrow.replace_columns(batch, (name,), embedding=listed)
 
-    return df.mapInArrow(run, f"{fields}, embedding array<double>")
+    return df.mapInArrow(run, ", ".join([*fields, "embedding array<double>"]))

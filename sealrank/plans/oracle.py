@@ -30,15 +30,21 @@ h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 """
 
 GAINS = """
-o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rel DESC) AS best FROM h),
-g AS (SELECT {keys}, list(rel ORDER BY rank) AS rels,
+o{n} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rel DESC) AS best FROM {hits}),
+g{n} AS (SELECT {keys}, list(rel ORDER BY rank) AS rels,
              sum((2 ** rel - 1) / log2(rank + 1)) FILTER (WHERE rank <= 5) AS dcg,
              sum((2 ** rel - 1) / log2(best + 1)) FILTER (WHERE best <= 5) AS idcg
-      FROM o GROUP BY {keys}),
-r AS (SELECT *, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM g)
+      FROM o{n} GROUP BY {keys}),
+r{n} AS (SELECT *, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM g{n})
 """
 
-NDCG = OTHERS + "," + GAINS.format(keys="query_id")
+
+def gains(keys: str, n: str = "", hits: str = "h") -> str:
+    """NDCG per ``keys`` of the relation ``hits`` as the relation ``r``, with suffix ``n``."""
+    return GAINS.format(keys=keys, n=n, hits=hits)
+
+
+NDCG = OTHERS + "," + gains("query_id")
 
 TOPK = "WITH " + HITS + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM h"
 
@@ -114,7 +120,8 @@ SQL: dict[str, str] = {
     "l2_norm": "WITH " + UNIT + "SELECT vec_id, round(norm, 6) AS norm FROM u",
     "normalize_vectors": ELEMENTS,
     "cosine_pairs": "WITH " + UNIT + """
-        SELECT a.vec_id, round(list_inner_product(a.u, b.u), 6) AS similarity,
+        SELECT a.vec_id, round(list_inner_product(a.u, b.u) * a.norm * b.norm, 6) AS product,
+               round(list_inner_product(a.u, b.u), 6) AS similarity,
                round(1 - list_inner_product(a.u, b.u), 6) AS distance
         FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""",
     "exact_topk": TOPK,
@@ -187,7 +194,7 @@ SQL: dict[str, str] = {
     "passage_ndcg": "WITH " + TEXT_HITS.replace("h AS (", "h0 AS (") + """,
         h AS (SELECT query_id, rank, CAST(contains(d.text, b.text) AS INTEGER) AS rel
               FROM h0 JOIN documents d ON d.doc_id = h0.doc_id JOIN benchmark b ON b.item_id = h0.query_id),
-        """ + GAINS.format(keys="query_id") + """
+        """ + gains("query_id") + """
         SELECT CAST(query_id AS VARCHAR) AS query_id, round(ndcg, 6) AS ndcg FROM r
         UNION ALL SELECT 'AVERAGE', round(avg(ndcg), 6) FROM r""",
     "ivf_assign": "WITH " + CELLS + "SELECT vec_id AS doc_id, CAST(cell AS INTEGER) AS cell, round(fit, 6) AS fit FROM a",
@@ -196,6 +203,16 @@ SQL: dict[str, str] = {
     "ivf_recall": "WITH " + CELLS + """
         SELECT h.query_id, count(ph.doc_id) / count(*) AS recall
         FROM h LEFT JOIN ph ON ph.query_id = h.query_id AND ph.doc_id = h.doc_id GROUP BY h.query_id""",
+    "ivf_trained_topk": TOPK,
+    "ndcg_compare": "WITH " + CELLS + """,
+        lh AS (SELECT h.*, CAST(q.label = d.label AS INTEGER) AS rel FROM h
+               JOIN u q ON q.vec_id = h.query_id JOIN u d ON d.vec_id = h.doc_id),
+        lp AS (SELECT ph.*, CAST(q.label = d.label AS INTEGER) AS rel FROM ph
+               JOIN u q ON q.vec_id = ph.query_id JOIN u d ON d.vec_id = ph.doc_id),
+        """ + gains("query_id", "1", "lh") + "," + gains("query_id", "2", "lp") + """,
+        b AS (SELECT CAST(query_id AS VARCHAR) AS query_id, r1.ndcg AS x, r2.ndcg AS y FROM r1 JOIN r2 USING (query_id)
+              UNION ALL SELECT 'AVERAGE', (SELECT avg(ndcg) FROM r1), (SELECT avg(ndcg) FROM r2))
+        SELECT query_id, round(x, 6) AS left_ndcg, round(y, 6) AS right_ndcg, round(y - x, 6) AS ndcg_gap FROM b""",
     "share_roundtrip": "WITH " + FIXED + """
         SELECT vec_id AS doc_id, CAST(unnest(range(len(z))) AS INTEGER) AS pos, round(unnest(z) / 1073741824.0, 6) AS val FROM z""",
     "share_topk": "WITH " + FIXED + """,
@@ -223,10 +240,9 @@ SQL: dict[str, str] = {
                QUALIFY rank <= 5),
         h AS (SELECT sample_size, query_id, rank, CAST(contains(d.text, b.text) AS INTEGER) AS rel
               FROM h0 JOIN documents d ON d.doc_id = h0.doc_id JOIN benchmark b ON b.item_id = h0.query_id),
-        """ + GAINS.replace("o AS (SELECT *", "oo AS (SELECT *").replace("FROM o GROUP", "FROM oo GROUP").format(
-            keys="sample_size, query_id") + """,
-        t AS (SELECT sample_size, CAST(query_id AS VARCHAR) AS query_id, ndcg FROM r
-              UNION ALL SELECT sample_size, 'AVERAGE', avg(ndcg) FROM r GROUP BY sample_size)
+        """ + gains("sample_size, query_id", "1") + """,
+        t AS (SELECT sample_size, CAST(query_id AS VARCHAR) AS query_id, ndcg FROM r1
+              UNION ALL SELECT sample_size, 'AVERAGE', avg(ndcg) FROM r1 GROUP BY sample_size)
         SELECT unnest(['plain', 'sealed']) AS backend, CAST(sample_size AS INTEGER) AS sample_size, query_id,
                round(ndcg, 6) AS ndcg FROM t""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sealrank.functions.sealing import load_key, open_text, save_key
 from sealrank.functions.text import content, first_text
-from sealrank.functions.vectors import cosine, distance, l2_norm, normalize, widen
+from sealrank.functions.vectors import cosine, distance, dot, l2_norm, normalize, widen
 from sealrank.operators import cells, evaluation, sampling, shares
 from sealrank.operators.embedding import deal_out, embed_hashed, hashed_embedding
 from sealrank.operators.packing import unpack_vectors
@@ -105,7 +105,10 @@ def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest other vectors, relevant where the label is that of the query. Labels are
     joined to the hits, so no pair is formed that was not retrieved."""
     queries, docs = vectors(spark, sf_dir)
-    hits = without_self(search(queries, docs, K + 1), K)
+    return by_label(without_self(search(queries, docs, K + 1), K), docs)
+
+
+def by_label(hits: DataFrame, docs: DataFrame) -> DataFrame:
     labels = docs.select("doc_id", "label")
     return (
         hits.join(labels, "doc_id")
@@ -148,9 +151,11 @@ def normalize_vectors(spark, sf_dir):
 def cosine_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", widen(F.col("embedding")).alias("a"))
     following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    score = rows.join(following, "vec_id").select("vec_id", cosine(F.col("a"), F.col("b")).alias("score"))
+    score = rows.join(following, "vec_id").select(
+        "vec_id", dot(F.col("a"), F.col("b")).alias("product"), cosine(F.col("a"), F.col("b")).alias("score")
+    )
     return score.select(
-        "vec_id", F.round("score", 6).alias("similarity"), F.round(distance(F.col("score")), 6).alias("distance")
+        "vec_id", F.round("product", 6).alias("product"), F.round("score", 6).alias("similarity"), F.round(distance(F.col("score")), 6).alias("distance")
     )
 
 
@@ -480,6 +485,24 @@ def ivf_recall(spark, sf_dir):
     return evaluation.recall_at_k(found, search(queries, docs, K))
 
 
+@query
+def ivf_trained_topk(spark, sf_dir):
+    queries, docs = vectors(spark, sf_dir)
+    path = new_path(spark, "cells")
+    cells.build_cells(docs, path, CELLS, rounds=5)
+    return rounded(cells.search_cells(queries, path, K, PROBES))
+
+
+@query
+def ndcg_compare(spark, sf_dir):
+    """NDCG of the full search against that of the approximate one, per query and average."""
+    queries, docs = vectors(spark, sf_dir)
+    probed = cells.search_cells(queries, built_cells(spark, sf_dir), K, PROBES, exact=False)
+    reports = (evaluation.ndcg_report(by_label(h, docs), K) for h in (search(queries, docs, K), probed))
+    gaps = evaluation.compare_ndcg(*reports)
+    return gaps.select("query_id", *[F.round(c, 6).alias(c) for c in ("left_ndcg", "right_ndcg", "ndcg_gap")])
+
+
 # Shares
 
 
@@ -590,10 +613,4 @@ def sealed_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = vectors(spark, sf_dir)
     opened = sealed_store(spark, labelled(docs)).vectors().withColumn("doc_id", F.col("doc_id").cast("bigint"))
     hits = without_self(search(queries, opened, K + 1), K)
-    labels = docs.select("doc_id", "label")
-    asked = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("query_label"))
-    judged = hits.join(labels, "doc_id").join(asked, "query_id").select(
-        F.col("query_id").cast("string").alias("query_id"), "rank", "doc_id", "score",
-        (F.col("label") == F.col("query_label")).cast("int").alias("rel"),
-    )
-    return evaluation.ndcg_report(judged, K)
+    return evaluation.ndcg_report(by_label(hits, docs), K)

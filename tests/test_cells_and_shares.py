@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sealrank.operators import shares
 from sealrank.operators.cells import build_cells, search_cells
+from sealrank.operators.packing import pack_vectors
 from sealrank.operators.search import search
 from sealrank.session import materialize
 from tests.conftest import SF_DIR
@@ -39,6 +40,15 @@ def test_exact_form_equals_the_full_scan(skewed, path, nprobe):
         assert probed == rows(search(queries, docs, 5))
 
 
+def test_trained_centroids(skewed, path):
+    queries, docs = skewed
+    build_cells(docs, place := path("cells"), 12, rounds=4)
+    assert rows(search_cells(queries, place, 5, 2)) == rows(search(queries, docs, 5))
+    assert docs.sparkSession.read.parquet(f"{place}/vectors").count() == docs.count()
+    build_cells(pack_vectors(docs), packed := path("cells"), 12, rounds=4)
+    assert rows(search_cells(queries, packed, 5, 2)) == rows(search(queries, docs, 5))
+
+
 def test_more_cells_than_vectors_is_refused_or_small(skewed, path):
     queries, docs = skewed
     with pytest.raises(ValueError, match="n_cells"):
