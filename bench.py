@@ -30,7 +30,7 @@ from sealrank.sources.stores import PlainStore, SealedStore  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 3
+RUNS = 2
 
 
 def drain(df) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Scores are compared at this many decimals: equal vectors then tie whatever the order in
 # which a matrix product happened to add their terms up.
@@ -21,7 +22,9 @@ class BestHits:
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.floor = np.full(n_queries, -np.inf)
+        # The k-th hit of each query so far; -inf and no id while there are fewer.
+        self.kth = np.full(n_queries, -np.inf)
+        self.kth_id: pa.Array | None = None
         self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         self.pending = 0
         self.limit = max(1 << 16, 4 * n_queries * k)
@@ -29,39 +32,48 @@ class BestHits:
     def offer(self, scores: np.ndarray, rows: np.ndarray, ids: pa.Array) -> None:
         """``scores[i, j]`` is the score of document ``ids[j]`` for query ``rows[i]``."""
         n = scores.shape[1]
-        cut = self.floor[rows]
+        cut = self.kth[rows] - _SLACK
         fresh = np.isneginf(cut)
         if n > self.k and fresh.any():
             cut[fresh] = np.partition(scores[fresh], n - self.k, axis=1)[:, n - self.k] - _SLACK
-        q, d = np.nonzero(scores >= cut[:, None])
+        at, d = np.nonzero(scores >= cut[:, None])
+        q, score = rows[at], np.round(scores[at, d], DECIMALS)
+        if self.kth_id is not None:
+            ahead = score > self.kth[q]
+            # Copies of a document tie again and again; only a lower id can still enter.
+            tie = np.flatnonzero(score == self.kth[q])
+            if len(tie):
+                lower = pc.less(ids.take(pa.array(d[tie])), self.kth_id.take(pa.array(q[tie])))
+                ahead[tie[pc.fill_null(lower, False).to_numpy(zero_copy_only=False)]] = True
+            q, score, d = q[ahead], score[ahead], d[ahead]
         if len(q) == 0:
             return
-        self.parts.append((rows[q], np.round(scores[q, d], DECIMALS), ids.take(pa.array(d))))
+        self.parts.append((q, score, ids.take(pa.array(d))))
         self.pending += len(q)
         if self.pending > self.limit:
             self._trim()
 
-    def _trim(self) -> pa.Table:
+    def _trim(self) -> None:
         if not self.parts:
-            return None
+            return
         table = pa.table({
             "q": np.concatenate([p[0] for p in self.parts]),
             "score": np.concatenate([p[1] for p in self.parts]),
             "id": pa.chunked_array([p[2] for p in self.parts]),
-        }).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+        }).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
         q = table["q"].to_numpy()
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        sizes = np.diff(np.r_[starts, len(q)])
-        place = np.arange(len(q)) - np.repeat(starts, sizes)
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
         table = table.filter(pa.array(place < self.k)).combine_chunks()
-        q, score = table["q"].to_numpy(), table["score"].to_numpy()
-        full = np.bincount(q, minlength=len(self.floor)) >= self.k
-        lowest = np.full(len(self.floor), np.inf)
-        np.minimum.at(lowest, q, score)
-        self.floor = np.where(full, lowest - _SLACK, -np.inf)
-        self.parts = [(q, score, table["id"].combine_chunks())]
+        place = place[place < self.k]
+        q, score, ids = table["q"].to_numpy(), table["score"].to_numpy(), table["id"].combine_chunks()
+        last = np.flatnonzero(place == self.k - 1)
+        self.kth[q[last]] = score[last]
+        where = np.full(len(self.kth), -1)
+        where[q[last]] = last
+        self.kth_id = ids.take(pa.array(where, mask=where < 0))
+        self.parts = [(q, score, ids)]
         self.pending = len(q)
-        return table
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
         self._trim()

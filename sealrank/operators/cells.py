@@ -55,7 +55,7 @@ def train_centroids(docs: DataFrame, n_cells: int, rounds: int, seed: int = 42)
 
 def assign_cells(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``cell``, the nearest centroid (the first of equals), and ``fit``, the cosine with it."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    schema = T.StructType(list(docs.schema)).add("cell", T.IntegerType()).add("fit", T.DoubleType())
     sent = docs.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ def assign_cells(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
                     fit=pa.array(scores[np.arange(len(cell)), cell]),
                 )
 
-    return docs.mapInArrow(run, f"{fields}, cell int, fit double")
+    return docs.mapInArrow(run, schema)
 
 
 def _docs(df: DataFrame) -> DataFrame:
@@ -81,6 +81,8 @@ def _docs(df: DataFrame) -> DataFrame:
 def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds: int = 0) -> None:
     """Write the index of ``docs`` (``doc_id`` and ``embedding`` or ``vector``) to ``path``.
 
+    The index holds the vectors in the clear, like the plain store.
+
     Centroids are sampled vectors, or with ``rounds`` those of that many rounds of k-means.
 
     The rebalance hint groups rows by cell and splits the cells that are too large for a

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sealrank.functions import arrow
 from sealrank.functions.vectors import bind, normalize
@@ -43,7 +44,7 @@ def embed(
     """
     if spread:
         df = deal_out(df)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    schema = T.StructType(list(df.schema)).add("embedding", T.ArrayType(T.DoubleType())).add("embed_time", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -60,7 +61,7 @@ def embed(
                     embed_time=pa.array(np.full(batch.num_rows, each)),
                 )
 
-    return df.mapInArrow(run, f"{fields}, embedding array<double>, embed_time double")
+    return df.mapInArrow(run, schema)
 
 
 def token_counts(text: Column, width: int = 64) -> Column:

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from sealrank.functions import arrow
 
 
 def pack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
     """Replace ``embedding`` by its unit vector as packed float64 bytes."""
-    kept = [c for c in df.columns if c != "embedding"]
-    fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in kept]
+    schema = T.StructType([f for f in df.schema if f.name != "embedding"]).add(name, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = None
@@ -24,13 +24,12 @@ def pack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
                 packed = arrow.packed_column(arrow.unit_rows(matrix))
                 yield arrow.replace_columns(batch, ("embedding",), **{name: packed})
 
-    return df.mapInArrow(run, ", ".join([*fields, f"{name} binary"]))
+    return df.mapInArrow(run, schema)
 
 
 def unpack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
     """The inverse of ``pack_vectors``: ``embedding ARRAY<DOUBLE>``."""
-    kept = [c for c in df.columns if c != name]
-    fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in kept]
+    schema = T.StructType([f for f in df.schema if f.name != name]).add("embedding", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,4 +37,4 @@ def unpack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
                 listed = arrow.list_column(arrow.as_matrix(batch.column(name)))
                 yield arrow.replace_columns(batch, (name,), embedding=listed)
 
-    return df.mapInArrow(run, ", ".join([*fields, "embedding array<double>"]))
+    return df.mapInArrow(run, schema)

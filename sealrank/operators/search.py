@@ -146,12 +146,13 @@ def block_hits(
     ``vector`` and ``tag``. A query meets the documents of its own tags.
     """
     schema = _hit_fields(docs, queries.schema["query_id"].dataType, T.IntegerType() if grouped else None)
+    held = F.least(F.lit(block_queries), F.greatest(F.lit(1), F.floor(QUERY_BYTES / (8 * F.col("width")))))
     cuts = (
-        queries.groupBy("tag").agg(F.count("*").alias("n_queries"))
+        queries.groupBy("tag").agg(F.count("*").alias("n_queries"), F.max(F.size("embedding")).alias("width"))
         .join(docs.groupBy("tag").agg(F.count("*").alias("n_docs")), "tag")
         .select(
             F.col("tag").cast("int").alias("tag"),
-            F.ceil(F.col("n_queries") / block_queries).cast("int").alias("blocks"),
+            F.ceil(F.col("n_queries") / held).cast("int").alias("blocks"),
             F.ceil(F.col("n_docs") / slice_docs).cast("int").alias("slices"),
         )
         .limit(MAX_TAGS + 1)

@@ -100,12 +100,16 @@ def first_queries(queries: DataFrame, limit: int | None) -> DataFrame:
     return queries if limit is None else first_rows(queries, "query_pos", "query_id", limit)
 
 
-def evaluate_plain(queries: DataFrame, store: PlainStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None) -> DataFrame:
+def evaluate_plain(
+    queries: DataFrame, store: PlainStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None
+) -> DataFrame:
     """Ranked hits of the plain store; the score is the cosine distance."""
     return as_distance(search(first_queries(queries, limit), store.vectors(), k, sizes))
 
 
-def evaluate_sealed(queries: DataFrame, store: SealedStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None) -> DataFrame:
+def evaluate_sealed(
+    queries: DataFrame, store: SealedStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None
+) -> DataFrame:
     """Ranked hits of the sealed store; the score is the cosine similarity. Texts stay
     sealed and are not even read."""
     return search(first_queries(queries, limit), store.vectors(), k, sizes)

@@ -54,9 +54,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-@functools.cache
+_key_paths: dict[str, str] = {}
+
+
 def demo_key(spark: SparkSession) -> DataFrame:
-    return load_key(spark, save_key(spark, DEMO_KEY, new_path(spark, "key")))
+    app = spark.sparkContext.applicationId
+    if app not in _key_paths:
+        _key_paths[app] = save_key(spark, DEMO_KEY, new_path(spark, "key"))
+    return load_key(spark, _key_paths[app])
 
 
 def sealed_store(spark: SparkSession, docs: DataFrame) -> SealedStore:
@@ -94,11 +99,20 @@ def sizes(docs: DataFrame) -> list[int]:
     return [n * 2 // 5, n * 3 // 5, n]
 
 
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as embedded queries."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return embed_hashed(rows, "text")
+
+
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages searched in the documents by their hashed embeddings."""
     docs = embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread=True)
-    asked = embed_hashed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
-    return search(asked, docs, K)
+    return search(passages(spark, sf_dir), docs, K)
 
 
 def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +137,11 @@ def by_label(hits: DataFrame, docs: DataFrame) -> DataFrame:
 def pooled_judgements(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge each retrieved pair: relevant where the document holds the passage."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    passages = table(spark, sf_dir, "benchmark").select(
+    asked = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage")
     )
-    pairs = hits.select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    return pairs.join(docs, "doc_id").join(passages, "query_id").select(
+    pairs = hits.select(*[F.col(c).cast("string").alias(c) for c in ("query_id", "doc_id")]).distinct()
+    return pairs.join(docs, "doc_id").join(asked, "query_id").select(
         "query_id", "doc_id", F.contains("text", "passage").cast("int").alias("relevance")
     )
 
@@ -190,10 +204,9 @@ def sealed_topk(spark, sf_dir):
 @query
 def sealed_topk_texts(spark, sf_dir):
     docs = embed_hashed(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "content")
-    asked = embed_hashed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     # The id order of equal scores is that of the numbers, as in the table.
     opened = sealed_store(spark, docs).vectors().withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rounded(search(asked, opened, K))
+    return rounded(search(passages(spark, sf_dir), opened, K))
 
 
 @query
@@ -256,7 +269,7 @@ def store_count(spark, sf_dir):
 
 @query
 def text_dump(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = contents(spark, sf_dir)
     store, path = PlainStore(spark, new_path(spark, "plain")), new_path(spark, "dump")
     store.add(embed_hashed(docs, "content", spread=True))
     writers.write_ids(store.content(), path)
