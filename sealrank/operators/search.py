@@ -282,14 +282,13 @@ def search(
 
     _check_unique(queries)
     if sizes is None:
-        tagged_docs, tagged_queries = docs.withColumn("tag", F.lit(0)), queries.withColumn("tag", F.lit(0))
-    else:
-        every = F.array(*[F.lit(s) for s in sizes])
-        tagged_docs = docs.withColumn("first", F.col("tag")).withColumn(
-            "tag", F.explode(F.filter(every, lambda s: s >= F.col("first")))
-        ).drop("first")
-        tagged_queries = queries.withColumn("tag", F.explode(every))
-    return rank_hits(block_hits(tagged_queries, tagged_docs, k, sizes is not None, **blocks), k)
+        zero = F.lit(0)
+        return rank_hits(block_hits(queries.withColumn("tag", zero), docs.withColumn("tag", zero), k, **blocks), k)
+    # The best of the documents that first appear in one sample count for all larger ones.
+    every = F.array(*[F.lit(s) for s in sizes])
+    hits = block_hits(queries.withColumn("tag", F.explode(every)), docs, k, True, **blocks)
+    spread = F.explode(F.filter(every, lambda s: s >= F.col("sample_size")))
+    return rank_hits(hits.select(spread.alias("sample_size"), "query_id", "doc_id", "score"), k)
 
 
 def as_distance(hits: DataFrame) -> DataFrame:

@@ -91,7 +91,8 @@ def load_log_lines(loads: DataFrame) -> DataFrame:
 
 def append_load_log(loads: DataFrame, path: str, start: bool = False) -> None:
     """Append log lines; ``start`` begins a new log with its header."""
+    lines = load_log_lines(loads)
     if start:
         header = loads.sparkSession.createDataFrame([(LOAD_LOG_HEADER,)], "value STRING")
-        header.coalesce(1).write.mode("overwrite").text(path)
-    load_log_lines(loads).write.mode("append").text(path)
+        lines = header.union(lines).coalesce(1)
+    lines.write.mode("overwrite" if start else "append").text(path)

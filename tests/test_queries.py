@@ -18,7 +18,10 @@ def test_each_query_has_its_sql():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, con, name):
-    got = queries()[name](spark, SF_DIR).toPandas()
+    answer = queries()[name](spark, SF_DIR)
+    plan = answer._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = answer.toPandas()
     assert len(got) > 0
     assert difference(got, con.execute(oracle_sql()[name]).df()) is None
 
