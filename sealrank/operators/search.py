@@ -146,7 +146,7 @@ def block_hits(
     ``vector`` and ``tag``. A query meets the documents of its own tags.
     """
     schema = _hit_fields(docs, queries.schema["query_id"].dataType, T.IntegerType() if grouped else None)
-    held = F.least(F.lit(block_queries), F.greatest(F.lit(1), F.floor(QUERY_BYTES / (8 * F.col("width")))))
+    held = F.least(F.lit(block_queries), F.greatest(F.lit(1), F.floor(QUERY_BYTES / (8 * F.greatest(F.col("width"), F.lit(1))))))
     cuts = (
         queries.groupBy("tag").agg(F.count("*").alias("n_queries"), F.max(F.size("embedding")).alias("width"))
         .join(docs.groupBy("tag").agg(F.count("*").alias("n_docs")), "tag")
@@ -265,14 +265,19 @@ def search(
 
     ``queries`` has ``query_id`` and ``embedding``; ``docs`` has ``doc_id`` and
     ``embedding`` (an array) or ``vector`` (packed or array). With ``sizes``, ``docs``
-    also has ``first_size``, the smallest sample that holds the document, and the result
-    has one ranking per sample size.
+    also has ``first_size``, the smallest sample that holds the document (NULL: none does),
+    and the result has one ranking per sample size.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     vector = F.col("vector") if "vector" in docs.columns else widen(F.col("embedding"))
-    tag = [] if sizes is None else [F.col("first_size").alias("tag")]
-    docs = docs.select("doc_id", vector.alias("vector"), *tag)
+    if sizes is None:
+        docs = docs.select("doc_id", vector.alias("vector"))
+    else:
+        # Tag a document with the smallest of the asked sizes whose sample holds it.
+        every = F.array(*[F.lit(s) for s in sizes])
+        tag = F.array_min(F.filter(every, lambda s: s >= F.col("first_size")))
+        docs = docs.filter(tag.isNotNull()).select("doc_id", vector.alias("vector"), tag.alias("tag"))
     block = query_block(queries, rows=query_rows)
     if block is not None:
         if len(block) == 0:
@@ -285,7 +290,6 @@ def search(
         zero = F.lit(0)
         return rank_hits(block_hits(queries.withColumn("tag", zero), docs.withColumn("tag", zero), k, **blocks), k)
     # The best of the documents that first appear in one sample count for all larger ones.
-    every = F.array(*[F.lit(s) for s in sizes])
     hits = block_hits(queries.withColumn("tag", F.explode(every)), docs, k, True, **blocks)
     spread = F.explode(F.filter(every, lambda s: s >= F.col("sample_size")))
     return rank_hits(hits.select(spread.alias("sample_size"), "query_id", "doc_id", "score"), k)

@@ -95,8 +95,11 @@ def test_sample_sizes_rank_by_themselves(spark, options):
     docs = [(f"d{i:03d}", [float(x) for x in rng.normal(size=4)], (10, 20, 40)[i % 3]) for i in range(60)]
     queries = [(f"q{i}", [float(x) for x in rng.normal(size=4)]) for i in range(5)]
     q = spark.createDataFrame(queries, QUERY)
-    d = spark.createDataFrame(docs, DOC + ", first_size INT")
+    apart = spark.createDataFrame([("none", queries[0][1], None)], DOC + ", first_size INT")
+    d = spark.createDataFrame(docs, DOC + ", first_size INT").unionByName(apart)
     found = search(q, d, 4, sizes=[10, 20, 40], **options)
+    some = search(q, d, 4, sizes=[30], **options)
+    assert rows(some.select("query_id", "rank", "doc_id")) == sorted(brute(queries, [(i, v) for i, v, s in docs if s <= 30], 4))
     for size in (10, 20, 40):
         part = rows(found.filter(F.col("sample_size") == size).select("query_id", "rank", "doc_id"))
         assert part == sorted(brute(queries, [(i, v) for i, v, s in docs if s <= size], 4))
