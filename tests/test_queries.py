@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from sealrank.plans.oracle import SQL
+from sealrank.plans.queries import QUERIES
 from tests.conftest import SF_DIR
 from tests.oracle_check import connect, difference
 
@@ -13,17 +15,17 @@ def con():
 
 
 def test_each_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    answer = queries()[name](spark, SF_DIR)
+    answer = QUERIES[name](spark, SF_DIR)
     plan = answer._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = answer.toPandas()
     assert len(got) > 0
-    assert difference(got, con.execute(oracle_sql()[name]).df()) is None
+    assert difference(got, con.execute(SQL[name]).df()) is None
 
 
 def test_entry(spark):
