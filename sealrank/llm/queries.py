@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealrank.llm import exact, lines, packing, rules
+from sealrank.llm import exact, lines, packing, rules, substrings
 from sealrank.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept texts themselves are in ``remove_repeats``; the digest stands for them here."""
+    return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op2_substring_dedup"] = substrings.ORACLE_SQL
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(documents(spark, sf_dir))

@@ -78,6 +78,15 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def chain_hashes(hashes: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Hashes of ``size`` entries that lie ``stride`` apart: grams of grams."""
+    n = max(0, len(hashes) - (size - 1) * stride)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = mix(out + hashes[i * stride : i * stride + n])
+    return out
+
+
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of ``n`` positions lie in a window of ``size`` that begins at a marked start."""
     steps = np.zeros(n + 1, np.int32)
