@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealrank.llm import exact, lines, mixing, packing, rules, simhash, substrings
+from sealrank.llm import exact, lines, lm, mixing, packing, rules, simhash, substrings
 from sealrank.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_substring_dedup"] = substrings.ORACLE_SQL
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_groups(documents(spark, sf_dir)))
