@@ -24,11 +24,11 @@ class is equally likely and every word unseen; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,32 +40,51 @@ FEATURES = 6
 ROWS = 1 << 15
 BLOCK_ROWS = 256
 ROUNDS = 3
-BATCH_TOKENS = 16_384
+BATCH_TOKENS = 32_768
 RATE = 0.15
-LEXICON = 1 << 20
+LEXICON = 1 << 17
 HELD_OUT_OF = 10
 BASE_ADD = 0.1
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
 
 
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 class Tokens:
-    """Tokens of some texts: word hashes, classes, and where each text begins; every text ends in END."""
+    """Tokens of some texts: word hashes, classes, and where each text begins; every text ends in END.
+
+    Words are hashed from running polynomial sums over the bytes of all texts at once.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
         split = [text.lower().split() for text in texts]
         self.bounds = np.zeros(len(split) + 1, np.int64)
         np.cumsum([len(words) + 1 for words in split], out=self.bounds[1:])
         n = int(self.bounds[-1])
-        flat = [word for words in split for word in (*words, b"\n")]
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, n)
-        ends = b"".join([word[-2:].rjust(2, b"_") for word in flat])
-        ends = np.frombuffer(ends, "<u2").astype(np.uint64)
+        # Each word is followed by a space and each text by a line end, itself the token END.
+        data = np.frombuffer(b"".join([b" ".join(words) + b" \n " if words else b"\n " for words in split]), np.uint8)
+        stop = np.flatnonzero(data == 32)
+        start = np.concatenate([[0], stop[:-1] + 1])
+        room = 1 << max(10, len(data).bit_length())
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, room)[: len(data)], out=sums[1:])
+        self.hashes = mix((sums[stop] - sums[start]) * _powers(_INVERSE, room)[start])
+        before = np.where(stop - start > 1, data[stop - 2], 0).astype(np.uint64)
+        ends = before << np.uint64(8) | data[stop - 1]
         self.classes = (1 + (mix(ends) >> np.uint64(33)) % np.uint64(CLASSES - 1)).astype(np.int64)
         self.classes[self.bounds[1:] - 1] = 0
+        assert len(stop) == n
 
     def features(self) -> np.ndarray:
         """FEATURES row numbers per token; places before a text's first word are empty."""
@@ -118,6 +137,7 @@ def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.R
     """AdaGrad over the task's texts; yields the change of each block and how often its rows were touched."""
     own, squares = weights.copy(), np.full((ROWS, 1), 1e-6, np.float32)
     touched = np.zeros(ROWS, np.float32)
+    sums, lanes = np.zeros(ROWS * CLASSES, np.float32), np.arange(CLASSES)
     for batch in batches:
         texts = texts_of(batch.column("text"))
         for a, b in chunks(texts, 1 << 20):
@@ -127,13 +147,15 @@ def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.R
                 rows, classes = every[:, i : i + BATCH_TOKENS], tokens.classes[i : i + BATCH_TOKENS]
                 error = class_probabilities(own, bias, rows)
                 error[np.arange(len(classes)), classes] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat.astype(np.uint16), kind="stable")
-                used, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-                change = np.add.reduceat(error[order % rows.shape[1]], first, axis=0)
+                for feature in rows:
+                    np.add.at(sums, (feature[:, None] * CLASSES + lanes).ravel(), error.ravel())
+                n = np.bincount(rows.ravel(), minlength=ROWS)
+                used = np.flatnonzero(n)
+                change = sums.reshape(ROWS, CLASSES)[used]
+                sums[:] = 0
                 squares[used] += (change * change).mean(axis=1, keepdims=True)
                 own[used] -= RATE * change / np.sqrt(squares[used])
-                touched[used] += n
+                touched += n
     change = (own - weights) * touched[:, None]
     for block in range(ROWS // BLOCK_ROWS):
         part = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sealrank.session import materialize
 
 # Rows that one window group of ``running`` holds on average.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 10_000
 
 
 def buckets_for(rows: int) -> int:
