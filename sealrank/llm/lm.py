@@ -40,7 +40,9 @@ FEATURES = 6
 ROWS = 1 << 15
 BLOCK_ROWS = 256
 ROUNDS = 3
-BATCH_TOKENS = 32_768
+# Small enough that a batch's arrays stay in a core's cache.
+BATCH_TOKENS = 4096
+CHUNK_BYTES = 1 << 18
 RATE = 0.15
 LEXICON = 1 << 17
 HELD_OUT_OF = 10
@@ -137,10 +139,10 @@ def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.R
     """AdaGrad over the task's texts; yields the change of each block and how often its rows were touched."""
     own, squares = weights.copy(), np.full((ROWS, 1), 1e-6, np.float32)
     touched = np.zeros(ROWS, np.float32)
-    sums, lanes = np.zeros(ROWS * CLASSES, np.float32), np.arange(CLASSES)
+    sums = np.zeros((ROWS, CLASSES), np.float32)
     for batch in batches:
         texts = texts_of(batch.column("text"))
-        for a, b in chunks(texts, 1 << 20):
+        for a, b in chunks(texts, CHUNK_BYTES):
             tokens = Tokens(texts[a:b])
             every = tokens.features()
             for i in range(0, every.shape[1], BATCH_TOKENS):
@@ -148,11 +150,14 @@ def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.R
                 error = class_probabilities(own, bias, rows)
                 error[np.arange(len(classes)), classes] -= 1
                 for feature in rows:
-                    np.add.at(sums, (feature[:, None] * CLASSES + lanes).ravel(), error.ravel())
+                    order = np.argsort(feature.astype(np.uint16), kind="stable")
+                    ranked = feature[order]
+                    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                    sums[ranked[first]] += np.add.reduceat(error[order], first, axis=0)
                 n = np.bincount(rows.ravel(), minlength=ROWS)
                 used = np.flatnonzero(n)
-                change = sums.reshape(ROWS, CLASSES)[used]
-                sums[:] = 0
+                change = sums[used]
+                sums[used] = 0
                 squares[used] += (change * change).mean(axis=1, keepdims=True)
                 own[used] -= RATE * change / np.sqrt(squares[used])
                 touched += n
@@ -240,7 +245,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
         weights, lex_hash, lex_count = shared.value
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in chunks(texts, 1 << 20):
+            for a, b in chunks(texts, CHUNK_BYTES):
                 found = Tokens(texts[a:b])
                 every = found.features()
                 chance = np.empty(len(found.hashes))
