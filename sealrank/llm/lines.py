@@ -61,6 +61,15 @@ def drop_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pa
     return out.select(*columns, n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_dropped_lines"))
 
 
+def clean_pages(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """All pages without their host's boilerplate, in their own columns; n_chars follows the text."""
+    out = drop_lines(pages.select(F.struct(*pages.columns).alias("__page"), F.col(host).alias("host"), "text"), "host", max_ratio, min_pages)
+    own = {"text": F.col("text")}
+    if "n_chars" in pages.columns:
+        own["n_chars"] = F.length("text").cast(pages.schema["n_chars"].dataType)
+    return out.select(*[own.get(name, F.col("__page").getField(name)).alias(name) for name in pages.columns])
+
+
 ORACLE_SQL = f"""
 WITH l AS (
   SELECT doc_id, source, i, ls[i] AS line, trim(ls[i], ' ') AS k

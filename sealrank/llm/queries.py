@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealrank.llm import exact, lines, lm, mixing, packing, rules, simhash, substrings
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as run_pipeline
+from sealrank.llm import exact, lines, lm, mixing, packing, quality, rules, simhash, substrings, token_counts
 from sealrank.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +60,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host, and a source's language its path."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(documents(spark, sf_dir), labels, "source", "lang")
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(documents(spark, sf_dir))
@@ -81,3 +90,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_line_dedup"] = lines.ORACLE_SQL
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, and after masking their personal data."""
+    return token_counts.count_after_edits(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_pipeline(spark, sf_dir)
+
+
+if PIPELINE_SQL:
+    SQL["pipeline"] = PIPELINE_SQL
