@@ -9,37 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sealrank.llm import lines, mixing, packing, rules, simhash
-from sealrank.llm.tables import written
-from sealrank.session import ship_package
+from sealrank.llm.tables import prepare, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and with them documents that fail or lose too much."""
-    ship_package(spark)
+    prepare(spark)
     return rules.clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source is a site; its boilerplate lines go, its documents stay."""
-    ship_package(spark)
+    prepare(spark)
     return lines.clean_pages(docs, "source")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each epoch that takes words of a document."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents and their places in training sequences."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

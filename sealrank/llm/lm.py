@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import written
-from sealrank.llm.words import chunks, mix, texts_of
+from sealrank.llm.words import chunks, mix, slices, texts_of
 
 CLASSES = 16
 FEATURES = 6
@@ -123,7 +123,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(h, class, c) of every word of the training texts; tasks add up what they read first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for a, b in chunks(texts):
                 tokens = Tokens(texts[a:b])
@@ -140,7 +140,7 @@ def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.R
     own, squares = weights.copy(), np.full((ROWS, 1), 1e-6, np.float32)
     touched = np.zeros(ROWS, np.float32)
     sums = np.zeros((ROWS, CLASSES), np.float32)
-    for batch in batches:
+    for batch in slices(batches):
         texts = texts_of(batch.column("text"))
         for a, b in chunks(texts, CHUNK_BYTES):
             tokens = Tokens(texts[a:b])
@@ -243,7 +243,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, lex_hash, lex_count = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for a, b in chunks(texts, CHUNK_BYTES):
                 found = Tokens(texts[a:b])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sealrank.llm.tables import buckets_for, running, written
 from sealrank.llm.words import mix as scramble
-from sealrank.llm.words import texts_of
+from sealrank.llm.words import slices, texts_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -232,7 +232,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_block
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("__spans").to_pylist()
             texts = [_cut(text.decode(), [(s["lo"], s["hi"]) for s in spans]) for text, spans in zip(texts_of(batch.column("text")), lists)]
             own = {"text": pa.array(texts, pa.string())}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import buckets_for, running
-from sealrank.llm.words import texts_of
+from sealrank.llm.words import slices, texts_of
 from sealrank.session import materialize
 
 CAPACITY = 2048
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             rows, found = [], []
             for row, text in enumerate(texts_of(batch.column("text"))):
                 ids = np.array([*encoder.encode_ordinary(text.decode("utf-8", "replace")), END_ID], "<u4")

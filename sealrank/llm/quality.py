@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import written
-from sealrank.llm.words import chunks, texts_of
+from sealrank.llm.words import chunks, slices, texts_of
 
 FIT_ROWS = 20_000
 BITS = 18
@@ -70,7 +70,7 @@ def _steps(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     """Fits the task's labelled texts, one at a time; yields changed rows: row, touched, and a change per kind."""
     own, squares = weights.copy(), np.full(weights.shape, 1e-3)
     touched = np.zeros(1 << BITS)
-    for batch in batches:
+    for batch in slices(batches):
         # The bounded sample's features, not its texts, are what the epochs go over.
         rows, bounds = features(texts_of(batch.column("text")))
         labels = np.stack([np.asarray(batch.column(kind)) for kind in KINDS])
@@ -119,7 +119,7 @@ def evidence(docs: DataFrame, host: str, path: str, weights: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, found = texts_of(batch.column("text")), []
             for a, b in chunks(texts, CHUNK_BYTES):
                 rows, bounds = features(texts[a:b])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as run_pipeline
 from sealrank.llm import exact, lines, lm, mixing, packing, quality, rules, simhash, substrings, token_counts
-from sealrank.session import ship_package
+from sealrank.llm.tables import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 def query(fn: Query) -> Query:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

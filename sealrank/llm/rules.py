@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sealrank.llm.words import chunks, covered, gram_hashes, hash_words, mix, texts_of
+from sealrank.llm.words import chunks, covered, gram_hashes, hash_words, mix, slices, texts_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -136,7 +136,7 @@ def judge(docs: DataFrame, max_loss: int = MAX_LOSS_PERCENT) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, and what the line rules found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             numbers, failed, kept, _ = _judged(texts_of(batch.column("text")), max_loss)
             columns = [pa.array(numbers[:, i]) for i in range(8)]
             columns[5:5] = [pa.array(failed), pa.array(kept)]
@@ -152,7 +152,7 @@ def clean(docs: DataFrame, max_loss: int = MAX_LOSS_PERCENT) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, _, kept, cleaned = _judged(texts_of(batch.column("text")), max_loss)
             own = {"text": pa.array(cleaned, pa.string())}
             if "n_chars" in names:

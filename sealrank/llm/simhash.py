@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sealrank.llm.components import components
 from sealrank.llm.tables import written
-from sealrank.llm.words import mix, texts_of
+from sealrank.llm.words import mix, slices, texts_of
 
 SHINGLE = 4
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(text) for text in texts_of(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

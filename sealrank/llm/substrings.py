@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import written
-from sealrank.llm.words import chain_hashes, chunks, covered, gram_hashes, hash_words, mix, texts_of
+from sealrank.llm.words import chain_hashes, chunks, covered, gram_hashes, hash_words, mix, slices, texts_of
 
 LENGTH = 20
 PREFIX = 8
@@ -84,7 +84,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     """One row per anchor: doc_id, th, first window, number of windows, prefix hash, context hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for a, b in chunks(texts):
                 row, start, n, prefix, context = _anchor_runs(texts[a:b], length)
@@ -107,7 +107,7 @@ def _leaves(texts: DataFrame, length: int) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("runs")
             bounds = np.asarray(lists.offsets)
             starts, counts, prefixes, contexts = (np.asarray(lists.values.field(i)) for i in range(4))
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("runs").to_pylist()
             kept, numbers = [], np.zeros((batch.num_rows, 4), np.int64)
             for i, text in enumerate(texts_of(batch.column("text"))):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealrank.session import materialize
+from sealrank.session import materialize, ship_package
 
 # Rows that one window group of ``running`` holds on average.
 GROUP_ROWS = 10_000
+BATCH_ROWS = 2_000
 
 
 def buckets_for(rows: int) -> int:
@@ -42,6 +43,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     return joined.select(*out)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and let Arrow batches of texts hold at most ``BATCH_ROWS`` rows.
+
+    The batches' memory is outside the heap; texts are long, so the default of 10,000 rows is too much.
+    """
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``materialize``, freeing the shuffle files of the job once its rows are written."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

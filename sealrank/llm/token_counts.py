@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sealrank.llm.packing import RANKS, encoding
 from sealrank.llm.tables import written
-from sealrank.llm.words import texts_of
+from sealrank.llm.words import slices, texts_of
 
 LEAF_CHARS = 512
 # Characters beside a leaf's end that its boundary depends on.
@@ -148,7 +148,7 @@ def build_trees(docs: DataFrame, leaf_chars: int = LEAF_CHARS, ranks: str = RANK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(ranks).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             chars, tokens = [], []
             for text in texts_of(batch.column("text")):
                 text = text.decode("utf-8", "replace")
@@ -180,7 +180,7 @@ def count_after_edits(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(ranks).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             leaves = zip(batch.column("chars").to_pylist(), batch.column("tokens").to_pylist())
             for text, (chars, tokens) in zip(texts_of(batch.column("text")), leaves):
