@@ -28,24 +28,25 @@ from sealrank.operators.search import (
 from sealrank.operators.selection import hash_rank, smallest
 from sealrank.session import materialize
 
-TRAIN_PER_CELL = 256
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
 def pick_centroids(docs: DataFrame, n_cells: int, seed: int = 42) -> np.ndarray:
-    """The vectors of the ``n_cells`` ids of lowest hash rank, normalised, in id order."""
-    ranked = docs.select("doc_id", "vector", hash_rank(F.col("doc_id"), seed).alias("order"))
-    picked = smallest(ranked, "order", "doc_id", n_cells).orderBy("doc_id").select("vector").toArrow()
-    return arrow.unit_rows(arrow.as_matrix(picked["vector"]))
+    """A vector of each of the ``n_cells`` ids of lowest hash rank, normalised, in id order.
 
+    Ids are drawn without their copies, so at most ``n_cells`` rows are fetched.
+    """
+    ids = docs.select("doc_id").distinct().withColumn("order", hash_rank(F.col("doc_id"), seed))
+    drawn = F.broadcast(smallest(ids, "order", "doc_id", n_cells).select("doc_id"))
+    one = docs.select("doc_id", "vector").join(drawn, "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"))
+    picked = one.orderBy("doc_id").select("vector").toArrow()
+    return arrow.unit_rows(arrow.as_matrix(picked["vector"]))
 
-def train_centroids(docs: DataFrame, n_cells: int, rounds: int, seed: int = 42) -> np.ndarray:
-    """K-means centroids by cosine from a repeatable sample of 256 vectors per cell.
 
-    Only the placing of the centroids rests on the sample; every vector is indexed.
-    """
+def train_centroids(docs: DataFrame, n_cells: int, rounds: int, seed: int = 42, per_cell: int | None = None) -> np.ndarray:
+    """K-means centroids by cosine from all vectors, or from a repeatable sample of ``per_cell`` per cell."""
     ranked = docs.select("doc_id", "vector", hash_rank(F.col("doc_id"), seed).alias("order"))
-    sample = materialize(smallest(ranked, "order", "doc_id", TRAIN_PER_CELL * n_cells), "train")
+    sample = materialize(ranked if per_cell is None else smallest(ranked, "order", "doc_id", per_cell * n_cells), "train")
     if isinstance(sample.schema["vector"].dataType, T.BinaryType):
         sample = unpack_vectors(sample.select("vector")).withColumnRenamed("embedding", "vector")
     points = sample.filter(l2_norm(F.col("vector")) > 0).select(array_to_vector("vector").alias("features"))

@@ -20,16 +20,17 @@ from sealrank.functions.vectors import bind, normalize
 
 Model = Callable[[list[str]], np.ndarray]
 
-# Every byte but a-z and 0-9 as a blank; bytes of longer UTF-8 characters are among them.
-_TOKEN_BYTES = bytes(b if chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
+# A-Z as a-z, and every byte but these and 0-9 as a blank; bytes of longer UTF-8 characters are among them.
+_TOKEN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+# Text that goes to a model at once, so that its bytes fit one Arrow array.
+BATCH_BYTES = 64 << 20
 
 
 def deal_out(df: DataFrame) -> DataFrame:
-    """Rows in equal parts over all cores, whatever their keys: two parts per core, or
-    ``spark.sql.shuffle.partitions`` where that is less."""
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(wanted, 2 * spark.sparkContext.defaultParallelism))
+    """At least two parts per core: rows in fewer parts are dealt out evenly, whatever their
+    keys; more parts stay as they are. For tables read from files."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def embed(
@@ -49,8 +50,12 @@ def embed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_texts):
-                batch = whole.slice(at, batch_texts)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(text)), 0), np.int64))
+            at = 0
+            while at < whole.num_rows:
+                fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")) - at
+                batch = whole.slice(at, max(1, min(batch_texts, fits)))
+                at += batch.num_rows
                 model = model or make_model()
                 start = time.perf_counter()
                 vectors = np.asarray(model([t or "" for t in batch.column(text).to_pylist()]), dtype=float)
@@ -65,14 +70,14 @@ def embed(
 
 
 def token_counts(text: Column, width: int = 64) -> Column:
-    """Counts of the lower-case alphanumeric tokens of a text in ``width`` hash buckets.
+    """Counts of the alphanumeric tokens (A-Z folded, no other letters) of a text in ``width`` hash buckets.
 
     The whole text is counted inside its own row, so long texts cost time but no shuffle.
     """
     def bucket(token: Column) -> Column:
         return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint") % width
 
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    tokens = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+"), lambda t: t != "")
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))
     return bind(
         F.transform(tokens, bucket),
@@ -99,7 +104,7 @@ def hashed_model(width: int = 64) -> Callable[[], Model]:
             return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width if token else -1
 
         def model(texts: list[str]) -> np.ndarray:
-            low = pc.utf8_lower(pa.array(texts, pa.string()))
+            low = pa.array(texts, pa.string())
             body = pa.py_buffer(bytes(low.buffers()[2] or b"").translate(_TOKEN_BYTES))
             blanked = pa.Array.from_buffers(low.type, len(low), [None, low.buffers()[1], body], offset=low.offset)
             split = pc.ascii_split_whitespace(blanked)

@@ -54,11 +54,14 @@ def idcg(n_relevant: Column, k: int = 5) -> Column:
 
 
 def query_ndcg(judged: DataFrame, k: int = 5) -> DataFrame:
-    """Per query: relevances in rank order, DCG, IDCG and NDCG@k (0 without a hit)."""
+    """Per query: relevances in rank order, DCG, IDCG and NDCG@k (0 without a hit).
+
+    A row without a rank stands for a query that found nothing.
+    """
     groups = _groups(judged)
     lists = judged.groupBy(*groups, "query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel"))), lambda x: x["rel"]).alias("rels"),
-        dcg(k=k).alias("dcg"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "rel")))), lambda x: x["rel"]).alias("rels"),
+        F.coalesce(dcg(k=k), F.lit(0.0)).alias("dcg"),
         F.sum("rel").alias("n_rel"),
     )
     ideal = idcg(F.col("n_rel"), k)
@@ -102,11 +105,12 @@ def compare_backends(left: DataFrame, right: DataFrame, k: int = 5) -> DataFrame
 
 
 def compare_ndcg(left: DataFrame, right: DataFrame) -> DataFrame:
-    """NDCG difference of two reports per query and for the average."""
+    """NDCG difference of two reports per query and for the average; what a report lacks is 0."""
     keys = [*[c for c in ("sample_size",) if c in left.columns], "query_id"]
-    return left.select(*keys, F.col("ndcg").alias("left_ndcg")).join(
-        right.select(*keys, F.col("ndcg").alias("right_ndcg")), keys
-    ).withColumn("ndcg_gap", F.col("right_ndcg") - F.col("left_ndcg"))
+    both = left.select(*keys, F.col("ndcg").alias("left_ndcg")).join(
+        right.select(*keys, F.col("ndcg").alias("right_ndcg")), keys, "full"
+    )
+    return both.fillna(0.0, ["left_ndcg", "right_ndcg"]).withColumn("ndcg_gap", F.col("right_ndcg") - F.col("left_ndcg"))
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -70,11 +70,45 @@ def _nth_tie(inside: DataFrame, value: str, tie: str, n: int) -> tuple:
 
 
 def smallest(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
-    """The n smallest rows by ``(value, tie)``: a filter on the key of the n-th one."""
+    """The n smallest rows by ``(value, tie)``, exactly n where there are as many.
+
+    A filter on the key of the n-th row; of the rows that repeat this key, the remaining
+    number. Rows without a value come last, in the order of their ties; a missing tie comes
+    before all others.
+    """
     if n <= 0:
         return df.filter(F.lit(False))
-    (cut,) = nth_smallest(df, value, tie, [n])
-    return df if cut is None else df.filter(up_to(value, tie, cut))
+    total, last, missing = df.agg(F.count("*"), F.max(value), F.count_if(F.col(value).isNull())).first()
+    if n >= total:
+        return df
+    names = df.columns
+    keyed = df.withColumn("__value", F.coalesce(F.col(value), F.lit((last or 0) + 1)).cast("bigint") if missing else F.col(value))
+    (cut,) = nth_smallest(keyed.select("__value", tie), "__value", tie, [n])
+    at = (F.col("__value") == F.lit(cut[0])) & F.col(tie).eqNullSafe(F.lit(cut[1]))
+    before = F.coalesce((F.col("__value") < F.lit(cut[0])) | ((F.col("__value") == F.lit(cut[0])) & _less(tie, cut[1])), F.lit(False))
+    n_before, n_at = keyed.agg(F.count_if(before), F.count_if(at)).first()
+    if n_before + n_at == n:
+        return keyed.filter(before | at).select(names)
+    return keyed.filter(before).select(names).unionByName(_some(keyed.filter(at).select(names), n - n_before))
+
+
+def _less(tie: str, last: object) -> Column:
+    """Ties before ``last``; a missing tie is the first."""
+    return F.lit(False) if last is None else F.col(tie).isNull() | (F.col(tie) < F.lit(last))
+
+
+def _some(rows: DataFrame, n: int) -> DataFrame:
+    """Any n of interchangeable rows: whole partitions, and the beginning of one more."""
+    placed = materialize(
+        rows.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()), "repeats"
+    )
+    chosen = F.lit(False)
+    for part, start, count in sorted(map(tuple, placed.groupBy("__part").agg(F.min("__place"), F.count("*")).collect())):
+        if n < count:
+            chosen = (F.col("__part") < part) | ((F.col("__part") == part) & (F.col("__place") < start + n))
+            break
+        n -= count
+    return placed.filter(chosen).drop("__part", "__place")
 
 
 def up_to(value: str, tie: str, cut: tuple) -> Column:

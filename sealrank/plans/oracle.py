@@ -52,7 +52,7 @@ TOPK = "WITH " + HITS + "SELECT query_id, rank, doc_id, round(score, 6) AS score
 def hashed(name: str, table: str, id_column: str, text: str) -> str:
     """Unit vectors of hashed token counts of a table as the relation ``name(id, u)``."""
     return f"""
-{name}_tok AS (SELECT {id_column} AS id, unnest(regexp_split_to_array(lower({text}), '[^a-z0-9]+')) AS t FROM {table}),
+{name}_tok AS (SELECT {id_column} AS id, unnest(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) AS t FROM {table}),
 {name}_cnt AS (SELECT id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS b, count(*) AS c
       FROM {name}_tok WHERE t <> '' GROUP BY ALL),
 {name}_raw AS (SELECT d.{id_column} AS id, list(coalesce(c, 0)::DOUBLE ORDER BY p.b) AS e
@@ -229,7 +229,19 @@ SQL: dict[str, str] = {
     "ingest_metrics": """
         SELECT unnest(['total_time', 'wall_clock_time']) AS metric, count(*) AS n_docs FROM embeddings""",
     "skip_guard": "SELECT true AS first_run, false AS second_run, count(*) AS n_rows FROM embeddings",
-    "backend_compare": "SELECT vec_id AS query_id, 1.0::DOUBLE AS overlap, 0.0::DOUBLE AS score_gap FROM embeddings",
+    "backend_compare": "WITH " + CELLS + """
+        SELECT query_id, count(*) FILTER (h.doc_id IS NOT NULL AND ph.doc_id IS NOT NULL) / 5.0::DOUBLE AS overlap,
+               round(max(abs(h.score - ph.score)), 6) AS score_gap
+        FROM h FULL JOIN ph USING (query_id, doc_id) GROUP BY query_id""",
+    "limit_repeated": "SELECT n_chars, source FROM documents ORDER BY n_chars, source LIMIT (SELECT count(*) // 3 FROM documents)",
+    "ingest_first_n": "SELECT vec_id AS doc_id FROM embeddings ORDER BY vec_id DESC LIMIT (SELECT count(*) // 4 FROM embeddings)",
+    "ndcg_with_missing": "WITH " + CELLS + """,
+        lh AS (SELECT h.*, CAST(q.label = d.label AS INTEGER) AS rel FROM h
+               JOIN u q ON q.vec_id = h.query_id JOIN u d ON d.vec_id = h.doc_id WHERE h.query_id % 2 = 0),
+        """ + gains("query_id", "1", "lh") + """,
+        m AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, coalesce(r1.ndcg, 0) AS ndcg
+              FROM embeddings LEFT JOIN r1 ON r1.query_id = vec_id)
+        SELECT query_id, round(ndcg, 6) AS ndcg FROM m UNION ALL SELECT 'AVERAGE', round(avg(ndcg), 6) FROM m""",
     "stream_ingest": ELEMENTS,
     "stream_search": TOPK,
     "benchmark_sweep": "WITH " + ORDERED + "," + SIZES + "," + CONTENT_HITS + """,
@@ -245,4 +257,17 @@ SQL: dict[str, str] = {
               UNION ALL SELECT sample_size, 'AVERAGE', avg(ndcg) FROM r1 GROUP BY sample_size)
         SELECT unnest(['plain', 'sealed']) AS backend, CAST(sample_size AS INTEGER) AS sample_size, query_id,
                round(ndcg, 6) AS ndcg FROM t""",
+    "benchmark_limited": "WITH " + ORDERED + "," + SIZES + "," + CONTENT_HITS + """,
+        h0 AS (SELECT sample_size, q.id AS query_id, d.id AS doc_id,
+                      row_number() OVER (PARTITION BY sample_size, q.id
+                                         ORDER BY round(list_inner_product(q.u, d.u), 12) DESC, CAST(d.id AS VARCHAR)) AS rank
+               FROM (SELECT * FROM bv ORDER BY id LIMIT 10) q, dv d JOIN o ON o.doc_id = d.id JOIN z ON o.pos <= z.sample_size
+               QUALIFY rank <= 5),
+        h AS (SELECT sample_size, query_id, rank, CAST(contains(d.text, b.text) AS INTEGER) AS rel
+              FROM h0 JOIN documents d ON d.doc_id = h0.doc_id JOIN benchmark b ON b.item_id = h0.query_id),
+        """ + gains("sample_size, query_id", "1") + """,
+        t AS (SELECT sample_size, CAST(query_id AS VARCHAR) AS query_id, ndcg FROM r1
+              UNION ALL SELECT sample_size, 'AVERAGE', avg(ndcg) FROM r1 GROUP BY sample_size)
+        SELECT unnest(['plain', 'sealed']) AS backend, CAST(sample_size AS INTEGER) AS sample_size, query_id,
+               round(ndcg, 6) AS ndcg FROM t""",
 }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealrank import schemas
@@ -22,7 +22,7 @@ from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
 from sealrank.operators.selection import first_rows
 from sealrank.session import materialize
-from sealrank.sources.readers import read_table
+from sealrank.sources.readers import read_results, read_table
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
 
@@ -35,17 +35,19 @@ def prepare_corpus(
     """Sample the corpus around the judged documents, embed it and the queries, and save
     both. ``embed(df, text_column)`` adds ``embedding`` and ``embed_time``.
 
-    The sampled documents are dealt out before they are embedded, since a sample leaves the
-    splits of the corpus uneven.
+    The sampled documents are written and dealt out before they are embedded, since a sample
+    leaves the splits of the corpus uneven. ``doc_pos`` and ``query_pos`` are kept where the
+    tables have them; without a position the order is that of the ids.
     """
     spark = docs.sparkSession
     chosen = sample_documents(docs, qrels, sizes, seed).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         content(F.col("title"), F.col("text")).alias("content"),
+        _position(docs, "doc_pos"),
         "first_size",
     )
-    write_embeddings(embed(deal_out(chosen), "content"), f"{path}/doc_embeddings", "first_size")
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
+    write_embeddings(embed(deal_out(materialize(chosen, "chosen")), "content"), f"{path}/doc_embeddings", "first_size")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "text", _position(queries, "query_pos"))
     write_embeddings(embed(asked, "text"), f"{path}/query_embeddings")
     return (
         read_table(spark, f"{path}/doc_embeddings", schemas.DOC_EMBEDDINGS + ", first_size INT"),
@@ -53,6 +55,10 @@ def prepare_corpus(
     )
 
 
+def _position(df: DataFrame, name: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast("bigint").alias(name)
+
+
 def sizes_of(vectors: DataFrame) -> list[int]:
     """The sample sizes a table of vectors was made for; a handful of them."""
     return sorted(r[0] for r in vectors.select("first_size").distinct().collect() if r[0] is not None)
@@ -86,7 +92,7 @@ def ingest_sealed(
         return False
     start = time.perf_counter()
     if n is not None:
-        embeddings = first_rows(embeddings, position, "doc_id", n)
+        embeddings = first_rows(embeddings.withColumn(position, _position(embeddings, position)), position, "doc_id", n)
     before = time.perf_counter()
     store.add(embeddings)
     end = time.perf_counter()
@@ -96,8 +102,11 @@ def ingest_sealed(
 
 
 def first_queries(queries: DataFrame, limit: int | None) -> DataFrame:
-    """The first queries by ``query_pos``: None is all of them, 0 none."""
-    return queries if limit is None else first_rows(queries, "query_pos", "query_id", limit)
+    """The first queries by ``query_pos``, or by id without it: None is all of them, 0 none."""
+    if limit is None:
+        return queries
+    placed = queries.withColumn("query_pos", _position(queries, "query_pos"))
+    return first_rows(placed, "query_pos", "query_id", limit).select(queries.columns)
 
 
 def evaluate_plain(
@@ -108,11 +117,14 @@ def evaluate_plain(
 
 
 def evaluate_sealed(
-    queries: DataFrame, store: SealedStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None
+    queries: DataFrame, store: SealedStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None,
+    lenient: bool = False, latest: bool = False,
 ) -> DataFrame:
     """Ranked hits of the sealed store; the score is the cosine similarity. Texts stay
-    sealed and are not even read."""
-    return search(first_queries(queries, limit), store.vectors(), k, sizes)
+    sealed and are not even read. ``lenient`` names an id that does not open by its raw
+    form; ``latest`` searches the last version of each document only."""
+    rows = store.latest() if latest else None
+    return search(first_queries(queries, limit), store.vectors(rows, lenient), k, sizes)
 
 
 def run_backends(
@@ -133,12 +145,15 @@ def run_backends(
     }
     for backend, hits in stored.items():
         start = time.perf_counter()
-        write_results(hits.withColumn("backend", F.lit(backend)), f"{path}/results/{backend}")
+        asked = first_queries(queries, limit).select("query_id", F.explode(F.array(*map(F.lit, sizes))).alias("sample_size"))
+        write_results(
+            hits.withColumn("backend", F.lit(backend)), f"{path}/results/{backend}", asked.withColumn("backend", F.lit(backend))
+        )
         seconds = {"eval_time_sec": round(time.perf_counter() - start, 4)}
         append_metrics(spark, f"{path}/metrics", backend, None, seconds)
     write_ids(plain.ids(), f"{path}/ids/plain")
     write_ids(sealed.ids(), f"{path}/ids/sealed")
-    return reduce(DataFrame.unionByName, [long_results(spark, f"{path}/results/{b}") for b in stored])
+    return reduce(DataFrame.unionByName, [read_results(spark, f"{path}/results/{b}", ", backend STRING, sample_size INT") for b in stored])
 
 
 def report_ndcg(hits: DataFrame, qrels: DataFrame, path: str, k: int = 5) -> DataFrame:
@@ -158,10 +173,3 @@ def run_benchmark(
     hits = run_backends(embeddings, asked, key, path, sizes, k, limit)
     return report_ndcg(hits, qrels, path, k)
 
-
-def long_results(spark: SparkSession, path: str) -> DataFrame:
-    """Written results back in long form, with the backend and size of their folder."""
-    nested = spark.read.schema(schemas.RESULTS + ", backend STRING, sample_size INT").json(path)
-    return nested.select("backend", "sample_size", "query_id", F.explode("results").alias("hit")).select(
-        "backend", "sample_size", "query_id", "hit.rank", "hit.doc_id", "hit.score"
-    )

@@ -24,6 +24,7 @@ from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream
 
 K = 5
 CELLS, PROBES = 16, 4
+LIMIT = 10
 # Any 32 bytes do; on a cluster the caller brings a key table of their own.
 DEMO_KEY = bytes(range(32))
 
@@ -350,6 +351,21 @@ def limit_docs(spark, sf_dir):
     return first_rows(docs, "doc_pos", "doc_id", docs.count() // 2).select("doc_id", "text")
 
 
+@query
+def limit_repeated(spark, sf_dir):
+    """Exactly a third of the rows, though keys repeat."""
+    docs = table(spark, sf_dir, "documents").select("n_chars", "source")
+    return first_rows(docs, "n_chars", "source", docs.count() // 3)
+
+
+@query
+def ingest_first_n(spark, sf_dir):
+    _, docs = vectors(spark, sf_dir)
+    store = SealedStore(spark, new_path(spark, "sealed"), demo_key(spark))
+    pipeline.ingest_sealed(labelled(docs).withColumn("doc_pos", -F.col("doc_id")), store, n=docs.count() // 4)
+    return store.ids().select(F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
 # Embedding
 
 
@@ -428,6 +444,20 @@ def passage_ndcg(spark, sf_dir):
     return evaluation.ndcg_report(judged, K).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
+@query
+def ndcg_with_missing(spark, sf_dir):
+    """Every second query finds nothing, and counts as 0."""
+    queries, docs = vectors(spark, sf_dir)
+    path, asked = new_path(spark, "missing"), queries.select("query_id")
+    writers.write_results(search(queries, docs, K).filter("query_id % 2 = 0").withColumn("backend", F.lit("plain")),
+                          path, asked.withColumn("backend", F.lit("plain")))
+    hits = readers.read_results(spark, path)
+    labels = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "label")
+    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own"))
+    same = hits.join(labels, "doc_id", "left").join(own, "query_id").withColumn("rel", F.coalesce((F.col("label") == F.col("own")).cast("int"), F.lit(0)))
+    return evaluation.ndcg_report(same, K).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
 @query
 def nested_results(spark, sf_dir):
     nested = writers.nest_results(search(*vectors(spark, sf_dir), K))
@@ -575,9 +605,11 @@ def skip_guard(spark, sf_dir):
 
 @query
 def backend_compare(spark, sf_dir):
+    """The exact search of sealed vectors against the approximate one."""
     queries, docs = vectors(spark, sf_dir)
     opened = sealed_store(spark, labelled(docs)).vectors().withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    both = evaluation.compare_backends(search(queries, docs, K), search(queries, opened, K), K)
+    probed = cells.search_cells(queries, built_cells(spark, sf_dir), K, PROBES, exact=False)
+    both = evaluation.compare_backends(search(queries, opened, K), probed, K)
     return both.withColumn("score_gap", F.round("score_gap", 6))
 
 
@@ -604,13 +636,23 @@ def stream_search(spark, sf_dir):
 @query
 def benchmark_sweep(spark, sf_dir):
     """Sample, embed, both backends over three sample sizes, and their NDCG report."""
+    return benchmark(spark, sf_dir)
+
+
+@query
+def benchmark_limited(spark, sf_dir):
+    """The same for the first queries only."""
+    return benchmark(spark, sf_dir, LIMIT)
+
+
+def benchmark(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.col("item_id").alias("query_pos"))
     wanted, path = sizes(docs), new_path(spark, "benchmark")
     embedded, queries = pipeline.prepare_corpus(
         docs, asked, good_docs(spark, sf_dir), wanted, embed_hashed, f"{path}/embeddings"
     )
-    hits = pipeline.run_backends(embedded, queries, demo_key(spark), path, wanted, K)
+    hits = pipeline.run_backends(embedded, queries, demo_key(spark), path, wanted, K, limit)
     report = pipeline.report_ndcg(hits, pooled_judgements(hits, spark, sf_dir), path, K)
     return report.select("backend", "sample_size", "query_id", F.round("ndcg", 6).alias("ndcg"))
 

@@ -62,7 +62,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
-    """Ranked results in long form. No file: FileNotFoundError; no result: ValueError."""
+    """Ranked results in long form; a query with an empty list is one row without a hit.
+
+    No file: FileNotFoundError; no result: ValueError.
+    """
     try:
         nested = spark.read.schema(schemas.RESULTS + extra).json(path)
     except AnalysisException as missing:
@@ -72,7 +75,7 @@ def read_results(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     if nested.isEmpty():
         raise ValueError("no evaluation results")
     groups = [c for c in nested.columns if c not in ("query_id", "results")]
-    return nested.select(*groups, "query_id", F.explode("results").alias("hit")).select(
+    return nested.select(*groups, "query_id", F.explode_outer("results").alias("hit")).select(
         *groups, "query_id", "hit.rank", "hit.doc_id", "hit.score"
     )
 

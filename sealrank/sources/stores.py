@@ -126,15 +126,15 @@ class SealedStore(_Store):
         keep = F.col("last").isNull() | (order == F.col("last"))
         return rows.join(last, "doc_key", "left").filter(keep).drop("last")
 
-    def vectors(self, rows: DataFrame | None = None) -> DataFrame:
+    def vectors(self, rows: DataFrame | None = None, lenient: bool = False) -> DataFrame:
         """``doc_id`` and packed ``vector``, opened; each vector once, below any join.
 
-        A value that does not open fails the job.
+        A vector that does not open fails the job, and so does an id unless ``lenient``.
         """
         rows = self.read() if rows is None else rows
         tied = F.col("doc_key")
         return rows.select(
-            open_text(F.col("id_enc"), self.key, tied).alias("doc_id"),
+            open_text(F.col("id_enc"), self.key, tied, lenient).alias("doc_id"),
             unseal(F.col("vector_enc"), self.key, tied).alias("vector"),
             "first_size",
         )

@@ -27,19 +27,25 @@ def write_embeddings(df: DataFrame, path: str, partition_by: str | None = None,
     writer.format(fmt).save(path)
 
 
-def nest_results(hits: DataFrame) -> DataFrame:
-    """One row per query with its hits in rank order; a list holds at most k hits."""
-    groups = [c for c in ("backend", "sample_size") if c in hits.columns]
-    return hits.groupBy(*groups, "query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("results")
-    )
+def nest_results(hits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One row per query with its hits in rank order; a list holds at most k hits.
+
+    ``asked`` has the columns that name a list, one row per list; those without a hit are empty.
+    """
+    keys = [*[c for c in ("backend", "sample_size") if c in hits.columns], "query_id"]
+    nested = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("results"))
+    if asked is None:
+        return nested
+    every = asked.select(*[F.col(c).cast(hits.schema[c].dataType).alias(c) for c in keys]).distinct()
+    none = F.array().cast(nested.schema["results"].dataType)
+    return every.join(nested, keys, "left").withColumn("results", F.coalesce("results", none))
 
 
-def write_results(hits: DataFrame, path: str) -> None:
+def write_results(hits: DataFrame, path: str, asked: DataFrame | None = None) -> None:
     """Nested JSON, in one folder per backend and sample size, so that no run overwrites
-    the results of another backend."""
+    the results of another backend. With ``asked``, queries without a hit are written too."""
     groups = [c for c in ("backend", "sample_size") if c in hits.columns]
-    nest_results(hits).write.mode("overwrite").partitionBy(*groups).json(path)
+    nest_results(hits, asked).write.mode("overwrite").partitionBy(*groups).json(path)
 
 
 def ndcg_csv(report: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,9 @@ from sealrank.operators.search import search
 from sealrank.sources.stores import PlainStore, SealedStore
 
 
+CATCH_UP = {"availableNow": True}
+
+
 def read_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
@@ -20,26 +23,28 @@ def read_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.p
     return reader.parquet(path)
 
 
-def ingest_stream(vectors: DataFrame, store: PlainStore | SealedStore, checkpoint: str, name: str = "stream") -> StreamingQuery:
+def ingest_stream(vectors: DataFrame, store: PlainStore | SealedStore, checkpoint: str, name: str = "stream", trigger: dict | None = None) -> StreamingQuery:
     """Append a stream of ``doc_id, embedding[, content]`` to a store.
 
     ``name`` goes into the batch folders; streams that share a store need different ones.
+    ``trigger`` takes the arguments of ``DataStreamWriter.trigger``, for example
+    ``{"processingTime": "1 minute"}``; without it the stream ends when it has caught up.
     """
     def add(rows: DataFrame, batch_id: int) -> None:
         store.add(rows, batch=f"{name}-{batch_id}")
 
     return (
         vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or CATCH_UP)).start()
     )
 
 
-def search_stream(queries: DataFrame, store: PlainStore | SealedStore, k: int, path: str, checkpoint: str) -> StreamingQuery:
+def search_stream(queries: DataFrame, store: PlainStore | SealedStore, k: int, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Answer a stream of ``query_id, embedding`` from a store; hits go to ``path``."""
     def answer(rows: DataFrame, batch_id: int) -> None:
         search(rows, store.vectors(), k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or CATCH_UP)).start()
     )

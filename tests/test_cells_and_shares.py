@@ -3,7 +3,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sealrank.operators import shares
+from sealrank.operators import cells, shares
 from sealrank.operators.cells import build_cells, search_cells
 from sealrank.operators.packing import pack_vectors
 from sealrank.operators.search import search
@@ -118,8 +118,8 @@ def test_copies_and_versions_in_shares(spark, key):
     docs = spark.createDataFrame(made, "doc_id STRING, embedding ARRAY<DOUBLE>").repartition(4)
     first, second = (materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1))
     queries = spark.createDataFrame([("q", [0.0, 2.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
-    assert [r[2] for r in rows(shares.search_shares(queries, first, second, 5))] == ["hot", "other", "hot"]
-    assert shares.join_shares(first, second).count() == 3
+    assert [r[2] for r in rows(shares.search_shares(queries, first, second, 5))] == ["hot", "other", "hot", "hot", "hot"]
+    assert shares.join_shares(first, second).count() == 302
 
 
 def test_modular_product_is_exact():
@@ -129,3 +129,24 @@ def test_modular_product_is_exact():
         a[0], b[0] = prime - 1, prime - 1
         want = [[sum(int(x) * int(y) for x, y in zip(r, c)) % prime for c in b] for r in a]
         assert shares._product_mod(a, b, prime).tolist() == want
+
+
+def test_centroids_of_a_repeated_id(spark):
+    rows = spark.range(3000).select(F.lit("same").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    rows = rows.unionByName(spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector")))
+    assert len(cells.pick_centroids(rows, 8)) == 8
+
+
+def test_share_search_keeps_copies(spark, key):
+    rows = [("a", [1.0, 0.1])] * 3 + [("b", [0.9, 0.4])] + [("c", [0.0, 1.0])] * 7
+    docs = spark.createDataFrame(rows, "doc_id STRING, embedding ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [0.0, 1.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
+    split = [materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1)]
+    found, exact = (
+        sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits.collect())
+        for hits in (shares.search_shares(asked, *split, 5), search(asked, docs, 5))
+    )
+    assert found == exact
+    assert shares.join_shares(*split).count() == 11
+    plan = shares.search_shares(asked, *split, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -93,7 +93,7 @@ def test_whole_benchmark(spark, small, key, path):
     assert metrics == {("sealed", "total_time"), ("sealed", "wall_clock_time"), ("sealed", "eval_time_sec"), ("plain", "eval_time_sec")}
     csv = spark.read.option("header", True).csv(f"{place}/ndcg")
     assert csv.count() == len(rows) and "NDCG@5" in csv.columns
-    hits = pipeline.long_results(spark, f"{place}/results/sealed").filter("sample_size = 10")
+    hits = readers.read_results(spark, f"{place}/results/sealed", ", backend STRING, sample_size INT").filter("sample_size = 10")
     assert {int(r["doc_id"]) for r in hits.collect()} <= {int(r["doc_id"]) for r in embedded.filter("first_size = 10").collect()}
 
 
@@ -157,3 +157,40 @@ def test_stream_search_equals_batch(spark, path, vector_files):
     got = spark.read.parquet(place).drop("batch_id")
     want = search(docs.withColumnRenamed("doc_id", "query_id"), docs, 3)
     assert got.count() == 600 and got.exceptAll(want).count() == 0
+
+
+def test_first_queries_without_positions(spark):
+    queries = spark.createDataFrame([("b",), ("a",), ("c",)], "query_id STRING")
+    assert {r[0] for r in pipeline.first_queries(queries, 2).collect()} == {"a", "b"}
+    assert pipeline.first_queries(queries, None).count() == 3 and pipeline.first_queries(queries, 0).count() == 0
+    placed = spark.createDataFrame([("b", 1), ("a", 2), ("c", None)], "query_id STRING, query_pos BIGINT")
+    assert [r[0] for r in pipeline.first_queries(placed, 1).collect()] == ["b"]
+
+
+def test_queries_that_find_nothing_count_as_zero(spark, path):
+    from sealrank.operators.evaluation import compare_ndcg, judge, ndcg_report
+
+    hits = spark.createDataFrame([("plain", "q1", 1, "d", 1.0)], "backend STRING, query_id STRING, rank INT, doc_id STRING, score DOUBLE")
+    asked = spark.createDataFrame([("plain", "q1"), ("plain", "q2")], "backend STRING, query_id STRING")
+    place = path("results")
+    writers.write_results(hits, place, asked)
+    qrels = spark.createDataFrame([("q1", "d", 1)], schemas.QRELS)
+    report = ndcg_report(judge(readers.read_results(spark, place), qrels), 5)
+    rows = {r["query_id"]: r for r in report.collect()}
+    assert rows["AVERAGE"]["ndcg"] == 0.5 and rows["q2"]["ndcg"] == 0 and rows["q2"]["rels"] == []
+    gaps = {r["query_id"]: r["ndcg_gap"] for r in compare_ndcg(report, report.filter("query_id <> 'q1'")).collect()}
+    assert gaps == {"q1": -1.0, "q2": 0.0, "AVERAGE": 0.0}
+
+
+def test_dealing_out_never_lowers_the_number_of_parts(spark):
+    from sealrank.operators.embedding import deal_out
+
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    assert deal_out(spark.range(100).repartition(5 * wanted)).rdd.getNumPartitions() == 5 * wanted
+    assert deal_out(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == wanted
+
+
+def test_both_forms_fold_only_ascii(spark):
+    df = spark.createDataFrame([("\u0130stanbul KELVIN \u212a \u00c9t\u00c9",)], "t STRING")
+    plain = df.select(hashed_embedding(F.col("t")).alias("e")).first()["e"]
+    assert np.allclose(plain, embed_hashed(df, "t").first()["embedding"])

@@ -92,3 +92,12 @@ def test_first_rows(spark, monkeypatch):
         assert sorted(map(tuple, selection.first_rows(df, "pos", "tie", n).collect())) == everything[:n]
     assert selection.first_rows(df, "pos", "tie", None).count() == 1400
     assert selection.first_rows(df.limit(0), "pos", "tie", 3).count() == 0
+
+
+def test_exactly_n_rows_with_repeated_and_missing_keys(spark):
+    rows = [(i % 3, "abc"[i % 2]) for i in range(60)] + [(None, "z"), (None, "a"), (5, None), (5, None), (5, "x")]
+    df = spark.createDataFrame(rows, "pos BIGINT, tie STRING").repartition(7)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for n in (0, 1, 9, 10, 11, 37, 60, 61, 62, 63, 64, 65, 99):
+        got = sorted(map(tuple, selection.first_rows(df, "pos", "tie", n).collect()), key=str)
+        assert got == sorted(order[:n], key=str), n
