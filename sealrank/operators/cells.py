@@ -23,11 +23,15 @@ from sealrank.functions import arrow
 from sealrank.functions.vectors import l2_norm, widen
 from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import (
-    MAX_TAGS, QUERY_BYTES, QUERY_ROWS, QueryBlock, block_hits, no_hits, query_block, rank_hits, scan_hits, search,
+    QUERY_BYTES, QUERY_ROWS, QueryBlock, in_blocks, no_hits, rank_hits, scan_hits,
 )
 from sealrank.operators.selection import hash_rank, smallest
 from sealrank.session import materialize
 
+MAX_CELLS = 65_536
+# Queries times cells that are scored at once on the driver, which bounds its matrices and what
+# is sent to the tasks.
+SCORES_AT_ONCE = 1 << 22
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
@@ -89,8 +93,8 @@ def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds
     The rebalance hint groups rows by cell and splits the cells that are too large for a
     task, so a cell that holds a third of all vectors does not hold up the write.
     """
-    if not 1 <= n_cells <= MAX_TAGS:
-        raise ValueError(f"n_cells must lie between 1 and {MAX_TAGS}")
+    if not 1 <= n_cells <= MAX_CELLS:
+        raise ValueError(f"n_cells must lie between 1 and {MAX_CELLS}")
     spark = docs.sparkSession
     docs = _docs(docs).select("doc_id", "vector")
     centroids = train_centroids(docs, n_cells, rounds, seed) if rounds else pick_centroids(docs, n_cells, seed)
@@ -131,44 +135,36 @@ def search_cells(
     nprobe: int = 8,
     exact: bool = True,
     query_rows: int = QUERY_ROWS,
-    **blocks: int,
 ) -> DataFrame:
-    """Top-k through the index: ``query_id, rank, doc_id, score``."""
+    """Top-k through the index: ``query_id, rank, doc_id, score``; queries go through it in blocks."""
     spark = queries.sparkSession
     cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids").orderBy("cell").toArrow()
     centroids = arrow.as_matrix(cells["centroid"])
     n_docs, min_fit = cells["n_docs"].to_numpy(), cells["min_fit"].to_pandas().fillna(1.0).to_numpy()
     filled = np.flatnonzero(n_docs > 0)
     everything = spark.read.parquet(f"{path}/vectors").select("doc_id", "vector")
-    block = query_block(queries, rows=query_rows)
-    if block is None:
-        # Too many queries to be sent to each task. Without early stop there is nothing
-        # the index could save in the exact form, so that is the blocked full search.
-        if exact:
-            return search(queries, everything, k, query_rows=query_rows, **blocks)
-        probes = _probes(queries, centroids, filled, nprobe)
-        docs = spark.read.parquet(f"{path}/vectors").select("doc_id", "vector", F.col("cell").alias("tag"))
-        return rank_hits(block_hits(probes, docs, k, **blocks), k)
-    if len(block) == 0:
-        return no_hits(queries, everything)
-
-    scores = block.matrix @ centroids.T
-    wanted = _nearest(scores, filled, nprobe)
-    near = _lookup(wanted)
-    hits = scan_hits(block, _vectors(spark, path, near), k, subsets=near)
-    if not exact:
-        return rank_hits(hits, k)
-
-    hits = materialize(rank_hits(hits, k), "probe")
-    floor = _kth_scores(hits, block, k)
-    angle, reach = np.arccos(np.clip(scores, -1, 1)), np.arccos(np.clip(min_fit, -1, 1))
-    bound = np.cos(np.maximum(0.0, angle - reach[None, :]))
-    rest = (bound >= floor[:, None] - 1e-9) & ~wanted & (n_docs > 0)[None, :]
-    far = _lookup(rest)
-    if not far:
-        return hits
-    more = scan_hits(block, _vectors(spark, path, far), k, subsets=far)
-    return rank_hits(hits.drop("rank").unionByName(more), k)
+
+    def answer(block: QueryBlock) -> DataFrame:
+        scores = block.matrix @ centroids.T
+        wanted = _nearest(scores, filled, nprobe)
+        near = _lookup(wanted)
+        hits = scan_hits(block, _vectors(spark, path, near), k, subsets=near)
+        if not exact:
+            return rank_hits(hits, k)
+
+        hits = materialize(rank_hits(hits, k), "probe")
+        floor = _kth_scores(hits, block, k)
+        angle, reach = np.arccos(np.clip(scores, -1, 1)), np.arccos(np.clip(min_fit, -1, 1))
+        bound = np.cos(np.maximum(0.0, angle - reach[None, :]))
+        rest = (bound >= floor[:, None] - 1e-9) & ~wanted & (n_docs > 0)[None, :]
+        far = _lookup(rest)
+        if not far:
+            return hits
+        more = scan_hits(block, _vectors(spark, path, far), k, subsets=far)
+        return rank_hits(hits.drop("rank").unionByName(more), k)
+
+    held = max(1, min(query_rows, SCORES_AT_ONCE // max(1, len(centroids))))
+    return in_blocks(queries, answer, no_hits(queries, everything), held)
 
 
 def _nearest(scores: np.ndarray, filled: np.ndarray, nprobe: int) -> np.ndarray:
@@ -179,24 +175,6 @@ def _nearest(scores: np.ndarray, filled: np.ndarray, nprobe: int) -> np.ndarray:
     return wanted
 
 
-def _probes(queries: DataFrame, centroids: np.ndarray, filled: np.ndarray, nprobe: int) -> DataFrame:
-    """One row per query and cell to look at, for query tables of any size."""
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    sent = queries.sparkSession.sparkContext.broadcast((centroids, filled))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, some = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                scores = arrow.unit_rows(arrow.as_matrix(batch.column("embedding"), centers.shape[1])) @ centers.T
-                row, cell = np.nonzero(_nearest(scores, some, nprobe))
-                yield arrow.replace_columns(batch.take(pa.array(row)), (), tag=pa.array(cell.astype(np.int32)))
-
-    wide = queries.select("query_id", widen(F.col("embedding")).alias("embedding"))
-    return wide.mapInArrow(run, f"query_id {query_type}, embedding array<double>, tag int")
-
-
 def _kth_scores(hits: DataFrame, block: QueryBlock, k: int) -> np.ndarray:
     """The k-th best score per query; -inf where fewer than k hits were found."""
     found = hits.filter(F.col("rank") == k).select("query_id", "score").toArrow()

@@ -5,17 +5,17 @@ Every query meets every document, so the plan decides how the two sides meet:
 * A query table within the bound below travels to the tasks as one matrix. Documents are
   scanned where they lie and never shuffled; each task multiplies its Arrow batches with
   the query matrix and emits at most k rows per query.
-* A larger query table is cut into blocks, and documents into random slices, and the
-  blocks meet on (tag, block, slice). Every task streams its documents past one query
-  block at a time. The slices are drawn by hash, so no source or cell forms a hot key.
+* A larger query table is cut into blocks within the bound, and each block is answered in the
+  same way, one after the other. A document is read once per block and never moves.
 
 Both end with one window over ``k x tasks`` rows per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,11 @@ from sealrank.functions import arrow
 from sealrank.functions.vectors import distance, widen
 from sealrank.operators.best import BestHits, offer_all
 from sealrank.operators.packing import pack_vectors
+from sealrank.session import materialize, new_path
 
-# A query table is sent to the tasks only below both of these.
+# A block of queries is sent to the tasks only below both of these.
 QUERY_ROWS = 8192
 QUERY_BYTES = 64 << 20
-# Sizes of the blocks that meet in a task otherwise. A task holds one query block and
-# streams its slice; each document is sent once per query block, so blocks are as large as
-# a task can hold.
-BLOCK_QUERIES = 8192
-SLICE_DOCS = 200_000
-# Tags are sample sizes or cells of an index; there are never more of them than this.
-MAX_TAGS = 65_536
 
 
 @dataclass(frozen=True)
@@ -68,6 +62,40 @@ def query_block(queries: DataFrame, rows: int = QUERY_ROWS, size: int = QUERY_BY
     return QueryBlock(ids, arrow.as_matrix(pa.array([r["vector"] for r in rows_found], pa.binary())))
 
 
+def _cut(queries: DataFrame, rows: int, size: int, depth: int = 0) -> Iterator[QueryBlock]:
+    """The blocks of a query table over the bound, by hash; a part that is still over it is cut again."""
+    n, volume = queries.agg(F.count("*"), F.sum(8 * F.size("embedding"))).first()
+    parts = max(2, -(-2 * n // rows), -(-2 * (volume or 0) // size))
+    path = new_path(queries.sparkSession, "query-blocks")
+    part = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(parts))
+    queries.select("query_id", "embedding", part.alias("part")).hint("rebalance", "part").write.partitionBy("part").parquet(path)
+    schema = T.StructType([queries.schema["query_id"], queries.schema["embedding"], T.StructField("part", T.LongType())])
+    written = queries.sparkSession.read.schema(schema).parquet(path)
+    for i in range(parts):
+        own = written.filter(F.col("part") == i).select("query_id", "embedding")  # prunes folders
+        block = query_block(own, rows, size)
+        if block is None:
+            yield from _cut(own, rows, size, depth + 1)
+        elif len(block):
+            yield block
+
+
+def in_blocks(
+    queries: DataFrame, answer: Callable[[QueryBlock], DataFrame], nothing: DataFrame, rows: int = QUERY_ROWS, size: int = QUERY_BYTES
+) -> DataFrame:
+    """``answer`` for a query table of any size, block by block; ``nothing`` for an empty one.
+
+    The answers of several blocks are written, so that one block at a time is held.
+    """
+    whole = query_block(queries, rows, size)
+    if whole is not None:
+        return answer(whole) if len(whole) else nothing
+    queries = queries.select("query_id", widen(F.col("embedding")).alias("embedding"))
+    if not queries.groupBy("query_id").count().filter("count > 1").isEmpty():
+        raise ValueError("query_id is not unique")
+    return reduce(DataFrame.unionByName, [materialize(answer(block), "answers") for block in _cut(queries, rows, size)])
+
+
 def _hit_fields(docs: DataFrame, query_type: T.DataType, group_type: T.DataType | None) -> T.StructType:
     fields = [] if group_type is None else [T.StructField("sample_size", group_type)]
     return T.StructType(fields + [
@@ -132,105 +160,6 @@ def scan_hits(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def block_hits(
-    queries: DataFrame,
-    docs: DataFrame,
-    k: int,
-    grouped: bool = False,
-    block_queries: int = BLOCK_QUERIES,
-    slice_docs: int = SLICE_DOCS,
-) -> DataFrame:
-    """Local top-k where query blocks meet document slices; for query tables of any size.
-
-    ``queries`` has ``query_id``, ``embedding`` and ``tag``; ``docs`` has ``doc_id``,
-    ``vector`` and ``tag``. A query meets the documents of its own tags.
-    """
-    schema = _hit_fields(docs, queries.schema["query_id"].dataType, T.IntegerType() if grouped else None)
-    held = F.least(F.lit(block_queries), F.greatest(F.lit(1), F.floor(QUERY_BYTES / (8 * F.greatest(F.col("width"), F.lit(1))))))
-    cuts = (
-        queries.groupBy("tag").agg(F.count("*").alias("n_queries"), F.max(F.size("embedding")).alias("width"))
-        .join(docs.groupBy("tag").agg(F.count("*").alias("n_docs")), "tag")
-        .select(
-            F.col("tag").cast("int").alias("tag"),
-            F.ceil(F.col("n_queries") / held).cast("int").alias("blocks"),
-            F.ceil(F.col("n_docs") / slice_docs).cast("int").alias("slices"),
-        )
-        .limit(MAX_TAGS + 1)
-        .toArrow()
-    )
-    if cuts.num_rows > MAX_TAGS:
-        raise ValueError(f"more than {MAX_TAGS} tags")
-    def cut(side: DataFrame) -> DataFrame:
-        if cuts.num_rows == 1:
-            only = cuts.to_pylist()[0]
-            own = side.filter(F.col("tag") == only["tag"])
-            return own.select("*", F.lit(only["blocks"]).alias("blocks"), F.lit(only["slices"]).alias("slices"))
-        # One row per tag, so at most MAX_TAGS rows are broadcast; joining on the tag by
-        # shuffle would put all documents of a tag into one task.
-        return side.join(F.broadcast(docs.sparkSession.createDataFrame(cuts)), "tag")
-
-    if cuts.num_rows == 0:
-        return docs.sparkSession.createDataFrame([], schema)
-
-    def part(parts: str, *keys):
-        return F.pmod(F.xxhash64(*keys), F.col(parts).cast("bigint")).cast("int")
-
-    def each(parts: str):
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    left = (
-        cut(queries)
-        .withColumn("block", part("blocks", F.col("query_id")))
-        .select("tag", "block", each("slices").alias("slice"), F.lit(0).alias("side"),
-                "query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-                widen(F.col("embedding")).alias("vector"))
-    )
-    right = (
-        cut(docs)
-        # The partition counts too, so that rows which repeat one id do not share a slice.
-        .withColumn("slice", part("slices", F.col("doc_id"), F.spark_partition_id()))
-        .select("tag", each("blocks").alias("block"), "slice", F.lit(1).alias("side"),
-                F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
-                "doc_id", "vector")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, blocks, best = None, None, [], None
-
-        def close():
-            if best is not None:
-                yield from _emit(best, ids, at[0], grouped)
-
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("tag", "block", "slice", "side")])
-            edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if batch.num_rows else []
-            for start, end in zip(edges, [*edges[1:], batch.num_rows]):
-                piece = batch.slice(start, end - start)
-                cell, side = tuple(int(x) for x in keys[:3, start]), keys[3, start]
-                if cell != at:
-                    yield from close()
-                    at, ids, blocks, best = cell, None, [], None
-                if side == 0:
-                    blocks.append((piece.column("query_id"), arrow.unit_rows(arrow.as_matrix(piece.column("vector")))))
-                    continue
-                if not blocks:
-                    continue
-                if best is None:
-                    ids = pa.concat_arrays([b[0] for b in blocks])
-                    matrix = np.concatenate([b[1] for b in blocks])
-                    best = BestHits(len(ids), k)
-                vectors = arrow.unit_rows(arrow.as_matrix(piece.column("vector"), matrix.shape[1]))
-                offer_all([best], matrix, np.arange(len(ids)), vectors, piece.column("doc_id"))
-        yield from close()
-
-    return (
-        left.unionByName(right)
-        .repartition("tag", "block", "slice")
-        .sortWithinPartitions("tag", "block", "slice", "side")
-        .mapInArrow(run, schema)
-    )
-
-
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """Global top-k and ranks from 1; equal scores are ordered by id."""
     groups = ["sample_size"] if "sample_size" in hits.columns else []
@@ -248,18 +177,12 @@ def no_hits(queries: DataFrame, docs: DataFrame, grouped: bool = False) -> DataF
     return rank_hits(docs.sparkSession.createDataFrame([], schema), 1)
 
 
-def _check_unique(queries: DataFrame) -> None:
-    if not queries.groupBy("query_id").count().filter("count > 1").isEmpty():
-        raise ValueError("query_id is not unique")
-
-
 def search(
     queries: DataFrame,
     docs: DataFrame,
     k: int = 5,
     sizes: list[int] | None = None,
     query_rows: int = QUERY_ROWS,
-    **blocks: int,
 ) -> DataFrame:
     """The k nearest documents of every query: ``query_id, rank, doc_id, score``.
 
@@ -278,21 +201,10 @@ def search(
         every = F.array(*[F.lit(s) for s in sizes])
         tag = F.array_min(F.filter(every, lambda s: s >= F.col("first_size")))
         docs = docs.filter(tag.isNotNull()).select("doc_id", vector.alias("vector"), tag.alias("tag"))
-    block = query_block(queries, rows=query_rows)
-    if block is not None:
-        if len(block) == 0:
-            return no_hits(queries, docs, sizes is not None)
-        groups = None if sizes is None else {s: [g for g in sizes if g >= s] for s in sizes}
-        return rank_hits(scan_hits(block, docs, k, groups), k)
-
-    _check_unique(queries)
-    if sizes is None:
-        zero = F.lit(0)
-        return rank_hits(block_hits(queries.withColumn("tag", zero), docs.withColumn("tag", zero), k, **blocks), k)
-    # The best of the documents that first appear in one sample count for all larger ones.
-    hits = block_hits(queries.withColumn("tag", F.explode(every)), docs, k, True, **blocks)
-    spread = F.explode(F.filter(every, lambda s: s >= F.col("sample_size")))
-    return rank_hits(hits.select(spread.alias("sample_size"), "query_id", "doc_id", "score"), k)
+    groups = None if sizes is None else {s: [g for g in sizes if g >= s] for s in sizes}
+    return in_blocks(
+        queries, lambda block: rank_hits(scan_hits(block, docs, k, groups), k), no_hits(queries, docs, sizes is not None), query_rows
+    )
 
 
 def as_distance(hits: DataFrame) -> DataFrame:

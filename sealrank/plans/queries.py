@@ -184,8 +184,8 @@ def exact_topk(spark, sf_dir):
 
 @query
 def exact_topk_blocks(spark, sf_dir):
-    """The form for query tables that are too large to be sent to every task."""
-    return rounded(search(*vectors(spark, sf_dir), K, query_rows=64, block_queries=128, slice_docs=200))
+    """A query table over the bound of a block, answered block by block."""
+    return rounded(search(*vectors(spark, sf_dir), K, query_rows=256))
 
 
 @query

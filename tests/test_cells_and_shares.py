@@ -32,7 +32,7 @@ def test_exact_form_equals_the_full_scan(skewed, path, nprobe):
     queries, docs = skewed
     build_cells(docs, place := path("cells"), 12)
     assert rows(search_cells(queries, place, 5, nprobe)) == rows(search(queries, docs, 5))
-    small = {"query_rows": 4, "block_queries": 8, "slice_docs": 50}
+    small = {"query_rows": 24}
     assert rows(search_cells(queries, place, 5, nprobe, **small)) == rows(search(queries, docs, 5))
     probed = rows(search_cells(queries, place, 5, nprobe, exact=False))
     assert probed == rows(search_cells(queries, place, 5, nprobe, exact=False, **small))

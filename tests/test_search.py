@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sealrank.operators import search as search_module
 from sealrank.operators.best import BestHits, offer_all
 from sealrank.operators.search import as_distance, rank_hits, search, without_self
 from tests.conftest import SF_DIR
@@ -32,7 +33,7 @@ def brute(queries, docs, k):
     return out
 
 
-BOTH = pytest.mark.parametrize("options", [{}, {"query_rows": 1, "block_queries": 2, "slice_docs": 3}])
+BOTH = pytest.mark.parametrize("options", [{}, {"query_rows": 1}])
 
 
 @BOTH
@@ -137,3 +138,23 @@ def test_documents_are_neither_shuffled_nor_broadcast(spark):
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("Exchange") < plan.index("MapInArrow"), "the only shuffle is that of the hits"
     assert "label" not in plan.split("ReadSchema")[1]
+
+
+def test_blocks_read_documents_where_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    q = [(f"q{i:02}", rng.normal(size=4).tolist()) for i in range(30)]
+    d = [(f"d{i:02}", rng.normal(size=4).tolist()) for i in range(80)]
+    queries, docs = frames(spark, q, d)
+    plans, held = [], []
+    inner = search_module.scan_hits
+
+    def scan(block, *args):
+        found = inner(block, *args)
+        held.append(len(block))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(search_module, "scan_hits", scan)
+    assert rows(search(queries, docs, 5, query_rows=8)) == rows(search(queries, docs, 5))
+    assert sum(held[:-1]) == len(q) and max(held[:-1]) <= 8
+    assert all("Exchange" not in plan and "Sort" not in plan for plan in plans)
