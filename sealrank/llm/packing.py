@@ -10,7 +10,8 @@ pieces of length l, those ranked r .. r+n go to sequences s .. s+n at offset o".
 its run from its rank, in its own task. No piece visits the driver.
 
 Defined cases: a null text is empty and yields one piece holding id 0; repeated rows are packed
-as often as they come; an empty table gives no rows; other columns are ignored.
+as often as they come; the name of a special token in a text is ordinary text; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import pathlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sealrank.llm.tables import buckets_for, running
 from sealrank.llm.words import slices, texts_of
@@ -36,6 +40,9 @@ from sealrank.session import materialize
 CAPACITY = 2048
 END_ID = 0
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# White space of this length goes to the slower library: the faster one backtracks over it and
+# runs out of stack at about a million characters.
+LONG_SPACE = re.compile(r"(?<!\s)\s{10000}")
 
 
 @functools.cache
@@ -46,6 +53,26 @@ def encoding(path: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def vocabulary(path: str) -> Tokenizer:
+    """The vocabulary file itself; names of special tokens are ordinary text in it."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def encoder(ranks: str = RANKS) -> Callable[[str], list[int]]:
+    """Ids of a text of any form; the vocabulary file lies beside its rank file."""
+    plain, beside = encoding(ranks).encode_ordinary, str(pathlib.Path(ranks).with_suffix(".json"))
+
+    def encode(text: str) -> list[int]:
+        if len(text) > 10_000 and LONG_SPACE.search(text):
+            return vocabulary(beside).encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
     first = n % capacity or min(n, capacity)
@@ -56,11 +83,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS)
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding(ranks)
+        ids_of = encoder(ranks)
         for batch in slices(batches):
             rows, found = [], []
             for row, text in enumerate(texts_of(batch.column("text"))):
-                ids = np.array([*encoder.encode_ordinary(text.decode("utf-8", "replace")), END_ID], "<u4")
+                ids = np.array([*ids_of(text.decode("utf-8", "replace")), END_ID], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append(row)
                     found.append((piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))

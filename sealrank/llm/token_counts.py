@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealrank.llm.packing import RANKS, encoding
+from sealrank.llm.packing import RANKS, encoder
 from sealrank.llm.tables import written
 from sealrank.llm.words import slices, texts_of
 
@@ -147,7 +147,7 @@ def build_trees(docs: DataFrame, leaf_chars: int = LEAF_CHARS, ranks: str = RANK
     """Per document: doc_id, th (hash of the text), leaf chars and tokens, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks).encode_ordinary
+        encode = encoder(ranks)
         for batch in slices(batches):
             chars, tokens = [], []
             for text in texts_of(batch.column("text")):
@@ -179,7 +179,7 @@ def count_after_edits(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = m
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks).encode_ordinary
+        encode = encoder(ranks)
         for batch in slices(batches):
             found = []
             leaves = zip(batch.column("chars").to_pylist(), batch.column("tokens").to_pylist())

@@ -49,7 +49,17 @@ def test_every_operator_is_registered():
 def test_ids_are_those_of_the_vocabulary_file(given_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [text for _, text, _ in plain(given_docs)][:200] + ["", " a  b\n\n c", "don't 12é", " x y"]
-    assert [packing.encoding().encode_ordinary(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encoder()(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_of_long_white_space_and_names_of_special_tokens():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    for space in (" " * 1_000_000, "\n" * 1_000_000, " \t" * 5_000):
+        for text in (space, f"a{space}b", f"a <|endoftext|>{space}"):
+            assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    short = "a" + " " * 9_999 + "b <|endoftext|> c"
+    assert packing.encoder()(short) == tokenizer.encode(short, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("which", ["edge_docs", "given_docs"])
@@ -58,7 +68,7 @@ def test_packing_is_whole_and_gapless(request, which):
     found = packing.pack(docs).toPandas()
     want = collections.Counter()
     for doc_id, text, _ in plain(docs):
-        ids = np.array([*packing.encoding().encode_ordinary(text), 0], "<u4")
+        ids = np.array([*packing.encoder()(text), 0], "<u4")
         first = len(ids) % 2048 or min(len(ids), 2048)
         edges = [0, *range(first, len(ids) + 1, 2048)]
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -341,7 +351,7 @@ def test_lines_in_edge_cases(spark, edge_docs):
 
 
 def test_counts_follow_edits(given_docs):
-    encode = packing.encoding().encode_ordinary
+    encode = packing.encoder()
     found = {r["doc_id"]: r for r in token_counts.count_after_edits(given_docs).collect()}
     for doc_id, text, _ in plain(given_docs):
         new, at = "", 0
@@ -353,7 +363,7 @@ def test_counts_follow_edits(given_docs):
 
 
 def test_any_edit_anywhere():
-    encode = packing.encoding().encode_ordinary
+    encode = packing.encoder()
     rng = np.random.default_rng(3)
     alphabet = list("ab  '\n1é.,s")
     for _ in range(300):
