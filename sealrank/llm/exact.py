@@ -39,17 +39,22 @@ def _slot(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
+def _fullest(entries: DataFrame, depth: int) -> int:
+    """Entries of the fullest slot."""
+    return entries.groupBy(_slot(F.col("key"), depth)).count().agg(F.max("count")).first()[0] or 0
+
+
 def build_directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
     """(slot, local_depth, bucket) of every used slot, and the directory's depth.
 
     Doubling ends at 40 bits, or earlier when no bucket is overfull; keys are mixed 64-bit
     hashes of distinct texts, so a bucket that still overflows then only makes a longer chain.
     """
-    depth = 0
-    most = entries.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    while most > bucket_rows and depth < 40:
+    # A directory of fewer slots than full buckets has an overfull one, so it is doubled past those unseen.
+    entries_found = entries.count()
+    depth = min(40, (-(-entries_found // bucket_rows) - 1).bit_length()) if entries_found else 0
+    while depth < 40 and _fullest(entries, depth) > bucket_rows:
         depth += 1
-        most = entries.groupBy(_slot(F.col("key"), depth)).count().agg(F.max("count")).first()[0]
     slots = entries.groupBy(_slot(F.col("key"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # A slot's bucket is its shortest prefix that is not overfull.
     above = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local_depth"))
