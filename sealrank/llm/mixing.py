@@ -151,10 +151,10 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SH
     numbered = written(numbered, "numbered")
     good = _units(numbered, F.col("first"), F.col("good"), "slot", "shard", "src")
     vacant = numbered.where("n > good").select("shard", "src", (F.col("n") - F.col("good")).alias("n"))
-    vacant = _units(running(vacant, [], ["shard", "src"], "n", "first", 1), F.col("first"), F.col("n"), "number", "shard")
+    vacant = _units(running(vacant, [], ["shard", "src"], "n", "first", buckets_for(vacant.count())), F.col("first"), F.col("n"), "number", "shard")
     drawn = numbered.groupBy("src").agg(F.sum("n").alias("drawn"))
     short = sources.join(drawn, "src", "left").select("src", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("n")).where("n > 0")
-    short = _units(running(short, [], ["src"], "n", "first", 1), F.col("first"), F.col("n"), "number", "src", "drawn", F.col("first").alias("base"))
+    short = _units(running(short, [], ["src"], "n", "first", buckets_for(short.count())), F.col("first"), F.col("n"), "number", "src", "drawn", F.col("first").alias("base"))
     filled = vacant.join(short, "number").select("shard", "src", (F.col("drawn") + F.col("number") - F.col("base")).alias("slot"))
 
     @F.pandas_udf("long")
