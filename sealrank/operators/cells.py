@@ -83,9 +83,11 @@ def _docs(df: DataFrame) -> DataFrame:
     return df if "vector" in df.columns else df.withColumn("vector", widen(F.col("embedding"))).drop("embedding")
 
 
-def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds: int = 0) -> None:
+def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds: int = 0, mode: str = "error") -> None:
     """Write the index of ``docs`` (``doc_id`` and ``embedding`` or ``vector``) to ``path``.
 
+    ``first_size`` is kept where there is one, for searches of samples. The centroids are written last.
+
     The index holds the vectors in the clear, like the plain store.
 
     Centroids are sampled vectors, or with ``rounds`` those of that many rounds of k-means.
@@ -96,12 +98,13 @@ def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds
     if not 1 <= n_cells <= MAX_CELLS:
         raise ValueError(f"n_cells must lie between 1 and {MAX_CELLS}")
     spark = docs.sparkSession
-    docs = _docs(docs).select("doc_id", "vector")
+    docs = _docs(docs)
+    docs = docs.select("doc_id", "vector", *[c for c in docs.columns if c == "first_size"])
     centroids = train_centroids(docs, n_cells, rounds, seed) if rounds else pick_centroids(docs, n_cells, seed)
     if centroids.nbytes > QUERY_BYTES:
         raise ValueError("the centroids are too large to be sent to every task; use fewer cells")
     assigned = assign_cells(docs, centroids)
-    assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+    assigned.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
     table = pa.table({
         "cell": pa.array(np.arange(len(centroids), dtype=np.int32)),
         "centroid": arrow.list_column(centroids),
@@ -111,16 +114,18 @@ def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds
     )
     spark.createDataFrame(table).join(reach, "cell", "left").select(
         "cell", "centroid", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "min_fit"
-    ).coalesce(1).write.parquet(f"{path}/centroids")
+    ).coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
 
 
-def _vectors(spark: SparkSession, path: str, cells) -> DataFrame:
-    """The vectors of some cells; the filter prunes folders."""
-    return (
-        spark.read.parquet(f"{path}/vectors")
-        .filter(F.col("cell").isin([int(c) for c in cells]))
-        .select("doc_id", "vector", F.col("cell").alias("tag"))
-    )
+def _vectors(spark: SparkSession, path: str, cells, sizes: list[int] | None = None) -> DataFrame:
+    """The vectors of some cells; the filter prunes folders. The tag is the cell or, with ``sizes``
+    (in ascending order), the cell and the smallest of the samples that hold the document."""
+    rows = spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin([int(c) for c in cells]))
+    if sizes is None:
+        return rows.select("doc_id", "vector", F.col("cell").alias("tag"))
+    smaller = F.size(F.filter(F.array(*map(F.lit, sizes)), lambda s: s < F.col("first_size")))
+    rows = rows.filter(F.col("first_size").isNotNull() & (smaller < len(sizes)))
+    return rows.select("doc_id", "vector", (F.col("cell") * len(sizes) + smaller).cast("int").alias("tag"))
 
 
 def _lookup(wanted: np.ndarray) -> dict[int, np.ndarray]:
@@ -135,8 +140,15 @@ def search_cells(
     nprobe: int = 8,
     exact: bool = True,
     query_rows: int = QUERY_ROWS,
+    sizes: list[int] | None = None,
 ) -> DataFrame:
-    """Top-k through the index: ``query_id, rank, doc_id, score``; queries go through it in blocks."""
+    """Top-k through the index: ``query_id, rank, doc_id, score``; queries go through it in blocks.
+
+    With ``sizes``, in the approximate form only, there is one ranking per sample, all from one pass.
+    """
+    if sizes is not None and exact:
+        raise ValueError("samples are searched in the approximate form only")
+    sizes = None if sizes is None else sorted(sizes)
     spark = queries.sparkSession
     cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids").orderBy("cell").toArrow()
     centroids = arrow.as_matrix(cells["centroid"])
@@ -148,6 +160,11 @@ def search_cells(
         scores = block.matrix @ centroids.T
         wanted = _nearest(scores, filled, nprobe)
         near = _lookup(wanted)
+        if sizes is not None:
+            n = len(sizes)
+            groups = {cell * n + i: sizes[i:] for cell in near for i in range(n)}
+            look = {tag: near[tag // n] for tag in groups}
+            return rank_hits(scan_hits(block, _vectors(spark, path, near, sizes), k, groups, look), k)
         hits = scan_hits(block, _vectors(spark, path, near), k, subsets=near)
         if not exact:
             return rank_hits(hits, k)
@@ -164,7 +181,7 @@ def search_cells(
         return rank_hits(hits.drop("rank").unionByName(more), k)
 
     held = max(1, min(query_rows, SCORES_AT_ONCE // max(1, len(centroids))))
-    return in_blocks(queries, answer, no_hits(queries, everything), held)
+    return in_blocks(queries, answer, no_hits(queries, everything, sizes is not None), held)
 
 
 def _nearest(scores: np.ndarray, filled: np.ndarray, nprobe: int) -> np.ndarray:

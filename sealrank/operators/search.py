@@ -127,7 +127,7 @@ def scan_hits(
 
     ``docs`` has ``doc_id``, ``vector`` and, with ``groups`` or ``subsets``, an integer
     ``tag``. ``groups`` names the sample sizes a tag counts for, each ranked by itself
-    from one matrix product; ``subsets`` names the queries that look at a tag.
+    from one matrix product; ``subsets`` names the queries that look at a tag. Both may be given.
     """
     grouped, tagged = groups is not None, groups is not None or subsets is not None
     schema = _hit_fields(docs, from_arrow_type(block.ids.type), T.IntegerType() if grouped else None)

@@ -6,6 +6,7 @@ and scored once with the smallest sample that holds it, and counts for all large
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from functools import reduce
@@ -16,17 +17,20 @@ from pyspark.sql import functions as F
 
 from sealrank import schemas
 from sealrank.functions.text import content
+from sealrank.operators.cells import CENTROIDS, build_cells, search_cells
 from sealrank.operators.embedding import deal_out
 from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
 from sealrank.operators.selection import first_rows
 from sealrank.session import materialize
-from sealrank.sources.readers import read_results, read_table
+from sealrank.sources.readers import read_or_empty, read_results, read_table
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
 
 Embed = Callable[[DataFrame, str], DataFrame]
+# Cells of the benchmark's index where the caller names no number.
+MOST_CELLS = 4096
 
 
 def prepare_corpus(
@@ -127,21 +131,33 @@ def evaluate_sealed(
     return search(first_queries(queries, limit), store.vectors(rows, lenient), k, sizes)
 
 
+def evaluate_cells(
+    queries: DataFrame, path: str, k: int = 5, sizes: list[int] | None = None, limit: int | None = None, nprobe: int = 8
+) -> DataFrame:
+    """Ranked hits of the cell index in its approximate form; the score is the cosine distance."""
+    return as_distance(search_cells(first_queries(queries, limit), path, k, nprobe, exact=False, sizes=sizes))
+
+
 def run_backends(
     embeddings: DataFrame, queries: DataFrame, key: DataFrame, path: str,
-    sizes: list[int], k: int = 5, limit: int | None = None,
+    sizes: list[int], k: int = 5, limit: int | None = None, n_cells: int | None = None, nprobe: int = 8,
 ) -> DataFrame:
-    """Load and query both stores over all sample sizes. Writes stores, results, metrics,
-    load log and id dumps under ``path``; returns the written hits with ``backend`` and
-    ``sample_size``."""
+    """Load and query both stores, and the cell index of the plain one, over all sample sizes.
+    Writes stores, index, results, metrics, load log and id dumps under ``path``; returns the
+    written hits with ``backend`` and ``sample_size``. Without ``n_cells`` the index has as many
+    cells as the square root of the rows, and ``MOST_CELLS`` at most."""
     spark = embeddings.sparkSession
     plain, sealed = PlainStore(spark, f"{path}/plain"), SealedStore(spark, f"{path}/sealed", key)
     if plain.is_empty():
         load_plain(embeddings, plain, f"{path}/load_times")
     ingest_sealed(embeddings, sealed, metrics=f"{path}/metrics")
+    if read_or_empty(spark, f"{path}/cells/centroids", CENTROIDS).isEmpty() and not plain.is_empty():
+        n_cells = n_cells or min(MOST_CELLS, math.isqrt(plain.read().count()))
+        build_cells(plain.vectors(), f"{path}/cells", n_cells, mode="overwrite")
     stored = {
         "plain": evaluate_plain(queries, plain, k, sizes, limit),
         "sealed": evaluate_sealed(queries, sealed, k, sizes, limit),
+        "cells": evaluate_cells(queries, f"{path}/cells", k, sizes, limit, nprobe),
     }
     for backend, hits in stored.items():
         start = time.perf_counter()
@@ -168,7 +184,7 @@ def run_benchmark(
     docs: DataFrame, queries: DataFrame, qrels: DataFrame, sizes: list[int], embed: Embed, key: DataFrame,
     path: str, k: int = 5, limit: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Everything in order: prepare, both backends, report."""
+    """Everything in order: prepare, all backends, report."""
     embeddings, asked = prepare_corpus(docs, queries, qrels, sizes, embed, f"{path}/embeddings", seed)
     hits = run_backends(embeddings, asked, key, path, sizes, k, limit)
     return report_ndcg(hits, qrels, path, k)

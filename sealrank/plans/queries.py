@@ -635,7 +635,7 @@ def stream_search(spark, sf_dir):
 
 @query
 def benchmark_sweep(spark, sf_dir):
-    """Sample, embed, both backends over three sample sizes, and their NDCG report."""
+    """Sample, embed, three backends over three sample sizes, and their NDCG report."""
     return benchmark(spark, sf_dir)
 
 
@@ -652,7 +652,7 @@ def benchmark(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Dat
     embedded, queries = pipeline.prepare_corpus(
         docs, asked, good_docs(spark, sf_dir), wanted, embed_hashed, f"{path}/embeddings"
     )
-    hits = pipeline.run_backends(embedded, queries, demo_key(spark), path, wanted, K, limit)
+    hits = pipeline.run_backends(embedded, queries, demo_key(spark), path, wanted, K, limit, CELLS, PROBES)
     report = pipeline.report_ndcg(hits, pooled_judgements(hits, spark, sf_dir), path, K)
     return report.select("backend", "sample_size", "query_id", F.round("ndcg", 6).alias("ndcg"))
 
