@@ -3,9 +3,13 @@
 P(word | history) = P(class | history) * P(word | class). The class is a function of a word's last
 two letters, so that unseen words have one too; the end of a text is class 0. P(class | history) is
 a log-linear model over hashed features: the word before, the two words before, the second and the
-third word back (skips), and two pairs of earlier classes. Within a class the only feature is the
-word itself, whose maximum-entropy solution is the relative frequency; an absolute discount moves
-mass to the class's unseen words, which count as one word.
+third word back (skips), and two pairs of earlier classes. Within a class the features are the word
+itself, whose weight is the log of its relative frequency (an absolute discount moves mass to the
+class's unseen words, which count as one word), the word with the word before, and the word before
+with the class. The last two are those of absolute discounting with back-off: a pair's weight takes
+the word to its discounted frequency after that word before, a context's weight scales the other
+words of the class to the mass that is left. Their table has a row per distinct pair and context of
+the training texts, so it grows with the corpus.
 
 Training. Word counts are summed over all training texts in one grouped aggregate. The weights
 then see every training text once, in ``ROUNDS`` rounds over disjoint parts: a task starts from the
@@ -15,7 +19,7 @@ size (ROWS x CLASSES), and so has what a round sends to the driver.
 
 Scoring works on sparse batches: a token is six row numbers, and its logits are the sum of six
 rows. Counts of the frequent words, at most ``LEXICON`` of them, go to each task; all rarer words
-of a text are joined with the whole table of counts.
+of a text are joined with the whole table of counts. So it is with the weights of pairs and contexts.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is empty and scores its end alone;
 a null id is not held out; repeated rows are trained on and scored each; with no training text every
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import written
@@ -45,6 +49,7 @@ BATCH_TOKENS = 4096
 CHUNK_BYTES = 1 << 18
 RATE = 0.15
 LEXICON = 1 << 17
+PAIR_DISCOUNT = 0.75
 HELD_OUT_OF = 10
 BASE_ADD = 0.1
 
@@ -88,6 +93,12 @@ class Tokens:
         self.classes[self.bounds[1:] - 1] = 0
         assert len(stop) == n
 
+    def contexts(self) -> np.ndarray:
+        """Per token the hash of the word before and the token's class; 0 stands before the first word."""
+        before = np.concatenate([np.zeros(1, np.uint64), self.hashes[:-1]])
+        before[self.bounds[:-1][self.bounds[:-1] < len(before)]] = 0
+        return mix(mix(before + np.uint64(0x2545F4914F6CDD1D)) + self.classes.astype(np.uint64))
+
     def features(self) -> np.ndarray:
         """FEATURES row numbers per token; places before a text's first word are empty."""
         n = len(self.hashes)
@@ -154,6 +165,51 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("c"))
 
 
+def pair_counts(train: DataFrame) -> DataFrame:
+    """(g, h, n): how often the word h follows in the context g; ends of texts are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = texts_of(batch.column("text"))
+            for a, b in chunks(texts):
+                tokens = Tokens(texts[a:b])
+                inner = tokens.classes > 0
+                g, h = tokens.contexts()[inner], tokens.hashes[inner]
+                _, first, n = np.unique(g ^ h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[first].view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], ["g", "h", "n"]
+                )
+
+    return train.select("text").mapInArrow(run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+
+
+def pair_weights(train: DataFrame, counts: DataFrame, discount: float, log_class: np.ndarray) -> DataFrame:
+    """(k, v, n): the weight v of each context (k = g) and each pair (k = g xor h), and how often it was seen.
+
+    A pair's weight, its context's and the word's own add up to the log of (n - d) / N; a context's
+    weight and the own of a word not seen there to the log of its share of the mass d T / N.
+    """
+    in_class = F.element_at(F.array(*map(F.lit, map(float, log_class))), F.col("class") + 1)
+    words = counts.select("h", (F.log10(F.col("c") - discount) - in_class).alias("own"))
+    every = Window.partitionBy("g").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = pair_counts(train).join(words, "h").select(
+        "g", "h", "n", "own",
+        F.sum("n").over(every).alias("seen"), F.count(F.lit(1)).over(every).alias("types"), F.sum(F.pow(F.lit(10.0), "own")).over(every).alias("told"),
+        F.row_number().over(Window.partitionBy("g").orderBy("h")).alias("i"),
+    )
+    rows = rows.withColumn("left", F.log10(F.lit(PAIR_DISCOUNT) * F.col("types") / F.col("seen") / F.greatest(1 - F.col("told"), F.lit(1e-12))))
+    pair = F.log10((F.col("n") - PAIR_DISCOUNT) / F.col("seen")) - F.col("left") - F.col("own")
+    pair = F.struct(F.col("g").bitwiseXOR(F.col("h")).alias("k"), pair.cast("float").alias("v"), F.col("n").alias("n"))
+    context = F.struct(F.col("g").alias("k"), F.col("left").cast("float").alias("v"), F.col("seen").alias("n"))
+    return rows.select(F.explode(F.when(F.col("i") == 1, F.array(pair, context)).otherwise(F.array(pair))).alias("f")).select("f.k", "f.v", "f.n")
+
+
+def least_of(table: DataFrame, column: str, limit: int) -> float:
+    """The smallest power of two that at most ``limit`` rows of a table reach in ``column``."""
+    sizes = {r["e"]: r["count"] for r in table.groupBy(F.floor(F.log2(column)).alias("e")).count().collect()}
+    return float(2 ** next(e for e in range(65) if sum(n for k, n in sizes.items() if k >= e) <= limit))
+
+
 def _local_changes(weights: np.ndarray, bias: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """AdaGrad over the task's texts; yields the change of each block and how often its rows were touched."""
     own, squares = weights.copy(), np.full(ROWS, 1e-6, np.float32)
@@ -245,16 +301,21 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
     bias = np.log((n_class + 1) / (tokens + CLASSES)).astype(np.float32)
     weights = train_weights(train, bias, rounds)
 
-    # The smallest power of two that at most ``lexicon`` words reach.
-    sizes = {r["e"]: r["count"] for r in counts.groupBy(F.floor(F.log2("c")).alias("e")).count().collect()}
-    least = next(e for e in range(65) if sum(n for k, n in sizes.items() if k >= e) <= lexicon)
-    common = counts.where(F.col("c") >= float(2**least)).select("h", "c").toPandas()
+    least = least_of(counts, "c", lexicon)
+    common = counts.where(F.col("c") >= least).select("h", "c").toPandas()
     lex_hash = common["h"].to_numpy().view(np.uint64)
     order = np.argsort(lex_hash)
-    shared = spark.sparkContext.broadcast((weights, lex_hash[order], common["c"].to_numpy()[order].astype(np.float64)))
+    pairs = written(pair_weights(train, counts, discount, log_class), "pairs")
+    least_pair = least_of(pairs, "n", lexicon)
+    often = pairs.where(F.col("n") >= least_pair).select("k", "v").toPandas()
+    pair_keys = often["k"].to_numpy().view(np.uint64)
+    by_key = np.argsort(pair_keys)
+    shared = spark.sparkContext.broadcast((
+        weights, lex_hash[order], common["c"].to_numpy()[order].astype(np.float64), pair_keys[by_key], often["v"].to_numpy()[by_key].astype(np.float64),
+    ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, lex_hash, lex_count = shared.value
+        weights, lex_hash, lex_count, pair_keys, pair_values = shared.value
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             for a, b in chunks(texts, CHUNK_BYTES):
@@ -270,10 +331,18 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
                 c = lex_count[at] if len(lex_hash) else np.zeros(len(chance))
                 base = np.where(known, np.log10(c + BASE_ADD), 0.0)
                 own = np.log10(chance) + np.where(known, np.log10(np.maximum(c - discount, 1e-9)) - log_class[found.classes], 0.0)
+                inner, context = found.classes > 0, found.contexts()
+                keys = np.stack([context, context ^ found.hashes], axis=1)
+                near = np.minimum(np.searchsorted(pair_keys, keys), max(0, len(pair_keys) - 1))
+                met = (pair_keys[near] == keys) & inner[:, None] if len(pair_keys) else np.zeros(keys.shape, bool)
+                if len(pair_keys):
+                    own += np.where(met, pair_values[near], 0.0).sum(axis=1)
+                open_keys = np.flatnonzero((~met & inner[:, None]).ravel())
+                key_splits = np.searchsorted(open_keys, 2 * found.bounds)
                 starts = found.bounds[:-1]
                 rare = np.flatnonzero(~known)
                 splits = np.searchsorted(rare, found.bounds)
-                pairs = pa.StructArray.from_arrays(
+                rare_words = pa.StructArray.from_arrays(
                     [pa.array(found.hashes[rare].view(np.int64)), pa.array(found.classes[rare].astype(np.int32))], ["h", "class"]
                 )
                 yield pa.RecordBatch.from_arrays(
@@ -281,31 +350,34 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
                         batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a),
                         pa.array(np.diff(found.bounds)), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
                         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts)),
-                        pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), pairs),
+                        pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), rare_words),
+                        pa.ListArray.from_arrays(pa.array(key_splits.astype(np.int32)), pa.array(keys.ravel()[open_keys].view(np.int64))),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare", "keys"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<h:long,class:int>>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<h:long,class:int>>, keys array<long>"
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     parts = written(numbered.mapInArrow(run, schema), "scores")
 
     per_class = F.array(*map(F.lit, map(float, log_class))), F.array(*map(F.lit, map(float, log_unseen)))
     in_class, if_unseen = (F.element_at(values, F.col("class") + 1) for values in per_class)
     words = parts.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.class").groupBy("row", "h", "class").agg(F.count(F.lit(1)).alias("tf"))
-    looked = words.join(counts.where(F.col("c") < float(2**least)).select("h", "c"), "h", "left")
+    looked = words.join(counts.where(F.col("c") < least).select("h", "c"), "h", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
     per_row = looked.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("r_known"),
         F.sum(F.col("tf") * F.log10(c + BASE_ADD)).alias("r_base"),
         F.sum(F.col("tf") * F.when(c > 0, F.log10(c - discount) - in_class).otherwise(if_unseen)).alias("r_own"),
     )
-    total = parts.drop("rare").join(per_row, "row", "left")
+    asked = parts.select("row", F.explode("keys").alias("k"))
+    per_pair = asked.join(pairs.where(F.col("n") < least_pair).select("k", "v"), "k").groupBy("row").agg(F.sum("v").alias("r_pair"))
+    total = parts.drop("rare", "keys").join(per_row, "row", "left").join(per_pair, "row", "left")
     return total.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("r_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("r_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + BASE_ADD * (types + 1)))).alias("base_score"),
-        (F.col("own") + F.coalesce("r_own", F.lit(0.0))).alias("score"),
+        (F.col("own") + F.coalesce("r_own", F.lit(0.0)) + F.coalesce("r_pair", F.lit(0.0))).alias("score"),
     )

@@ -164,6 +164,54 @@ def test_rare_words_by_join_score_the_same(given_docs):
     assert np.allclose(few["score"], many["score"], rtol=0.01)
 
 
+def test_words_of_one_class_depend_on_the_word_before(spark):
+    texts = ["big cat", "tiny rat"] * 40 + ["big rat", "tiny cat", "one two six ten"]
+    score = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cat, rat = lm.Tokens([b"cat", b"rat"]).classes[[0, 2]]
+    assert cat == rat
+    assert (score[0] - score[80]) - (score[81] - score[1]) > 1
+
+
+@pytest.mark.parametrize("lexicon", [1, 1 << 17])
+def test_pairs_score_as_by_plain_counts(spark, monkeypatch, lexicon):
+    texts = {i: t for i, t in enumerate(["a cat sat on a mat", "a rat sat", "", "the cat on the mat sat on a rat", "a new hat sat on it"] * 3)}
+    monkeypatch.setattr(lm, "class_probabilities", lambda weights, bias, rows: np.full((rows.shape[1], lm.CLASSES), 1 / lm.CLASSES, np.float32))
+    found = lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), rounds=0, lexicon=lexicon).collect()
+    split = {i: [(w, int(c)) for w, c in zip(t.split(), lm.Tokens([t.encode()]).classes)] for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    uni = collections.Counter(w for i in train for w in split[i])
+    uni["\n", 0] = len(train)
+    n1, n2 = (sum(c == i for c in uni.values()) for i in (1, 2))
+    d = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.9)) if n1 else 0.1
+    total, kinds = collections.Counter(), collections.Counter()
+    for (_, c), n in uni.items():
+        total[c] += n
+        kinds[c] += 1
+    pairs, mass, seen = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for i in train:
+        for before, (w, c) in zip([None, *[w for w, _ in split[i]]], split[i]):
+            pairs[before, w, c] += 1
+            mass[before, c] += 1
+            seen[before, c].add(w)
+
+    def own(w, c):
+        return (uni[w, c] - d) / total[c] if uni[w, c] else d * kinds[c] / total[c] if total[c] else 1.0
+
+    def chance(before, w, c):
+        n, many = pairs[before, w, c], mass[before, c]
+        if not many:
+            return own(w, c)
+        if n:
+            return (n - 0.75) / many
+        return own(w, c) * 0.75 * len(seen[before, c]) / many / (1 - sum(own(x, c) for x in seen[before, c]))
+
+    for r in found:
+        words_of = split[r["doc_id"]]
+        want = sum(math.log10(chance(b, w, c)) for b, (w, c) in zip([None, *[w for w, _ in words_of]], words_of))
+        want += math.log10(own("\n", 0)) - (len(words_of) + 1) * math.log10(lm.CLASSES)
+        assert r["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     found = lm.Tokens([b"The cat sat", b"", b"on the mat"])
