@@ -2,7 +2,9 @@
 
 A line is boilerplate of a host when it stands on more than ``max_ratio`` of the host's pages, and
 on at least ``min_pages`` of them. Pages are the rows of a host; a line repeated on one page
-counts once. Lines are compared after trimming spaces; blank lines stay.
+counts once. Lines are compared after trimming spaces; blank lines stay. With ``copies_once`` the
+rows of a host that have one text are one page, so a group of exact copies does not make its own
+lines boilerplate; ``clean_pages``, the stage of the pipeline, counts so.
 
 Counting aggregates in the reading tasks first, so a host with a third of all pages sends at
 most one row per task and line. Lines travel as two 64-bit hashes. What is dropped is small: a
@@ -33,9 +35,14 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """Per host with boilerplate: __host, __drop (keys of its lines)."""
     rows = pages.select(F.col(host).alias("h"), F.col("text").alias("t"))
+    if copies_once:
+        same = F.xxhash64("t"), F.xxhash64(F.lit(1), "t")
+        rows = rows.groupBy("h", same[0].alias("a"), same[1].alias("b")).agg(F.any_value("t").alias("t"))
     totals = rows.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.filter(F.split("t", "\n", -1), lambda line: F.trim(line) != "")
     keys = F.array_distinct(F.transform(lines, _line_key))
@@ -46,9 +53,11 @@ def boilerplate(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_p
     return found.groupBy(F.col("h").alias("__host")).agg(F.collect_list("k").alias("__drop"))
 
 
-def drop_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(
+    pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """All pages without their host's boilerplate; adds n_lines, n_dropped_lines."""
-    lists = materialize(boilerplate(pages, host, max_ratio, min_pages), "boilerplate")
+    lists = materialize(boilerplate(pages, host, max_ratio, min_pages, copies_once), "boilerplate")
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = F.split("text", "\n", -1)
     stay = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains("__drop", _line_key(line)))
@@ -63,7 +72,7 @@ def drop_lines(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pa
 
 def clean_pages(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All pages without their host's boilerplate, in their own columns; n_chars follows the text."""
-    out = drop_lines(pages.select(F.struct(*pages.columns).alias("__page"), F.col(host).alias("host"), "text"), "host", max_ratio, min_pages)
+    out = drop_lines(pages.select(F.struct(*pages.columns).alias("__page"), F.col(host).alias("host"), "text"), "host", max_ratio, min_pages, copies_once=True)
     own = {"text": F.col("text")}
     if "n_chars" in pages.columns:
         own["n_chars"] = F.length("text").cast(pages.schema["n_chars"].dataType)

@@ -395,6 +395,13 @@ def test_lines_in_edge_cases(spark, edge_docs):
     assert got == {**{i: f"own {i}\n" for i in range(10)}, 20: "menu", 21: "menu", 22: None}
 
 
+def test_copies_of_a_page_do_not_empty_it(spark):
+    page = "A first line of its own.\nA second line of its own."
+    rows = [(i, f"menu\nown {i}" if i < 20 else page, "a") for i in range(30)]
+    got = {r["doc_id"]: r["text"] for r in lines.clean_pages(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source").collect()}
+    assert got == {i: f"own {i}" if i < 20 else page for i in range(30)}
+
+
 # Token counts
 
 
