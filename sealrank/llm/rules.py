@@ -2,7 +2,8 @@
 
 Every line with a word is judged alone: it must hold the end of a sentence (punctuation), must
 not be a row of links (navigation), nor symbol noise, nor shouting, nor a stock phrase
-(boilerplate). Failing lines are removed. A document is rejected when the failing lines hold
+(boilerplate; only lines of at most ``PHRASE_WORDS`` words, for a longer line is text that mentions
+it). Failing lines are removed. A document is rejected when the failing lines hold
 more than ``max_loss`` percent of its words, or when it fails the two base rules: fewer than 10
 words, or over a fifth of its words inside repeated 5-word windows.
 
@@ -30,7 +31,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_LOSS_PERCENT = 50
 
-SENTENCE_END = re.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)""")
+# Ends of other scripts' sentences need no space after them.
+SENTENCE_END = re.compile(r"""[.!?…]["'”’»)\]]*(?=\s|$)|[。！？｡．।॥؟۔။።፧։។៕]""")
+PHRASE_WORDS = 30
 SEPARATORS = frozenset("| > < » « • · / -".split())
 SYMBOLS = frozenset("#*$%&|<>")
 BOILERPLATE = (
@@ -59,6 +62,8 @@ def line_fails(line: str, words: list[str]) -> bool:
         return True
     if n >= 3 and 2 * sum(word.isupper() for word in words) > n:
         return True
+    if n > PHRASE_WORDS:
+        return False
     folded = line.lower()
     return any(phrase in folded for phrase in BOILERPLATE)
 

@@ -386,6 +386,17 @@ def test_failing_lines_go_and_the_rest_stays(spark):
     assert [r["text"] for r in rules.clean(docs, 70).collect()] == ["\n".join([good, "", "A second one follows here, and it is different."])]
 
 
+def test_long_lines_may_mention_a_stock_phrase(spark):
+    long = " ".join(f"word{i}" for i in range(20_000)) + " of the privacy policy."
+    docs = spark.createDataFrame([(1, long), (2, "Read our privacy policy. " + "It goes on a bit. " * 4)], "doc_id long, text string")
+    assert [(r["doc_id"], r["kept"], r["n_failed_lines"]) for r in rules.judge(docs).orderBy("doc_id").collect()] == [(1, True, 0), (2, False, 1)]
+
+
+@pytest.mark.parametrize("line", ["这是一个完整的句子。", "这是真的吗？", "यह एक पूरा वाक्य है।", "هل هذه جملة كاملة؟"])
+def test_sentences_of_other_scripts_pass(line):
+    assert not rules.line_fails(line, line.split())
+
+
 def test_lines_in_edge_cases(spark, edge_docs):
     found = lines.clean_pages(edge_docs, "source")
     assert found.columns == edge_docs.columns and found.count() == edge_docs.count()
