@@ -22,7 +22,7 @@ from sealrank.operators.embedding import deal_out
 from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
 from sealrank.operators.search import as_distance, search
-from sealrank.operators.selection import first_rows
+from sealrank.operators.selection import first_rows, hash_rank, smallest
 from sealrank.session import materialize
 from sealrank.sources.readers import read_or_empty, read_results, read_table
 from sealrank.sources.stores import PlainStore, SealedStore
@@ -31,6 +31,8 @@ from sealrank.sources.writers import append_load_log, append_metrics, write_embe
 Embed = Callable[[DataFrame, str], DataFrame]
 # Cells of the benchmark's index where the caller names no number.
 MOST_CELLS = 4096
+# Where the caller names no number of probes: the recall to reach, on so many queries at most.
+RECALL, RECALL_QUERIES = 0.9, 500
 
 
 def prepare_corpus(
@@ -138,14 +140,37 @@ def evaluate_cells(
     return as_distance(search_cells(first_queries(queries, limit), path, k, nprobe, exact=False, sizes=sizes))
 
 
+def measured_probes(
+    queries: DataFrame, docs: DataFrame, path: str, k: int = 5, sizes: list[int] | None = None, limit: int | None = None, recall: float = RECALL
+) -> tuple[int, float]:
+    """The probes at which the index finds ``recall`` of the exact hits in every sample, doubling from 1, and that
+    recall. Measured on queries drawn by hash; at all cells the search is whole."""
+    spark = queries.sparkSession
+    asked = first_queries(queries, limit).withColumn("order", hash_rank(F.col("query_id"), 42))
+    asked = materialize(smallest(asked, "order", "query_id", RECALL_QUERIES).drop("order"), "asked")
+    keys = ["query_id", "doc_id", *(["sample_size"] if sizes else [])]
+    exact = materialize(search(asked, docs, k, sizes).select(*keys), "exact")
+    n_cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids").count()
+    nprobe = 1
+    while True:
+        found = search_cells(asked, path, k, nprobe, exact=False, sizes=sizes).select(*keys, F.lit(1).alias("hit"))
+        shares = exact.join(found, keys, "left").groupBy(*keys[2:]).agg((F.count("hit") / F.count("*")).alias("recall"))
+        reached = shares.agg(F.min("recall")).first()[0]
+        reached = 1.0 if reached is None else reached
+        if reached >= recall or nprobe >= n_cells:
+            return nprobe, reached
+        nprobe = min(2 * nprobe, n_cells)
+
+
 def run_backends(
     embeddings: DataFrame, queries: DataFrame, key: DataFrame, path: str,
-    sizes: list[int], k: int = 5, limit: int | None = None, n_cells: int | None = None, nprobe: int = 8,
+    sizes: list[int], k: int = 5, limit: int | None = None, n_cells: int | None = None, nprobe: int | None = None,
 ) -> DataFrame:
     """Load and query both stores, and the cell index of the plain one, over all sample sizes.
     Writes stores, index, results, metrics, load log and id dumps under ``path``; returns the
     written hits with ``backend`` and ``sample_size``. Without ``n_cells`` the index has as many
-    cells as the square root of the rows, and ``MOST_CELLS`` at most."""
+    cells as the square root of the rows, and ``MOST_CELLS`` at most. Without ``nprobe`` as many are probed as
+    ``measured_probes`` finds; the number and its recall go to ``path``/recall."""
     spark = embeddings.sparkSession
     plain, sealed = PlainStore(spark, f"{path}/plain"), SealedStore(spark, f"{path}/sealed", key)
     if plain.is_empty():
@@ -154,6 +179,11 @@ def run_backends(
     if read_or_empty(spark, f"{path}/cells/centroids", CENTROIDS).isEmpty() and not plain.is_empty():
         n_cells = n_cells or min(MOST_CELLS, math.isqrt(plain.read().count()))
         build_cells(plain.vectors(), f"{path}/cells", n_cells, mode="overwrite")
+    if nprobe is None:
+        nprobe = 1
+        if not plain.is_empty():
+            nprobe, reached = measured_probes(queries, plain.vectors(), f"{path}/cells", k, sizes, limit)
+            append_metrics(spark, f"{path}/recall", "cells", None, {"nprobe": nprobe, "recall": reached})
     stored = {
         "plain": evaluate_plain(queries, plain, k, sizes, limit),
         "sealed": evaluate_sealed(queries, sealed, k, sizes, limit),

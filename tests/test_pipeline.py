@@ -97,6 +97,20 @@ def test_whole_benchmark(spark, small, key, path):
     assert {int(r["doc_id"]) for r in hits.collect()} <= {int(r["doc_id"]) for r in embedded.filter("first_size = 10").collect()}
 
 
+def test_probes_reach_the_recall(spark, key, path):
+    points = np.random.default_rng(3).normal(size=(600, 16))
+    docs = spark.createDataFrame([(str(i), p.tolist(), 300 if i % 2 else 600) for i, p in enumerate(points)], "doc_id STRING, embedding ARRAY<DOUBLE>, first_size INT")
+    docs = docs.withColumn("content", F.lit(""))
+    queries = docs.selectExpr("concat('q', doc_id) query_id", "embedding").limit(60)
+    hits = pipeline.run_backends(docs, queries, key, place := path("run"), [300, 600], n_cells=24)
+    found = {b: {(r["query_id"], r["sample_size"], r["doc_id"]) for r in hits.filter(F.col("backend") == b).collect()} for b in ("plain", "cells")}
+    for size in (300, 600):
+        exact = {x for x in found["plain"] if x[1] == size}
+        assert len(exact & found["cells"]) >= 0.9 * len(exact)
+    noted = {r["metric"]: r["value"] for r in writers.latest_metrics(spark, f"{place}/recall").collect()}
+    assert noted["recall"] >= 0.9 and 1 <= noted["nprobe"] <= 24
+
+
 def test_ingest_takes_the_first_documents_and_skips_a_full_store(spark, key, path):
     rows = spark.range(50).select(
         F.col("id").cast("string").alias("doc_id"), (50 - F.col("id")).alias("doc_pos"), F.array(F.lit(1.0)).alias("embedding")
