@@ -41,7 +41,8 @@ MASKS = (
     (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<IP>"),
     (r"\+?\d[\d ()-]{7,}\d", "<NUMBER>"),
 )
-ANY_MASK = "|".join(f"(?:{pattern})" for pattern, _ in MASKS)
+# Without \b, which takes every Unicode letter for a word character in Java: it may match more texts, never fewer.
+ANY_MASK = "|".join(f"(?:{pattern})" for pattern, _ in MASKS).replace(r"\b", "")
 _MASKS = re.compile("|".join(f"({pattern})" for pattern, _ in MASKS), re.ASCII)
 
 

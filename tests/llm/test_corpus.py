@@ -270,6 +270,13 @@ def test_near_dedup_keeps_one_of_each_group(edge_docs):
     assert {r["doc_id"] for r in kept.collect()} == {component for _, component in groups}
 
 
+def test_near_dedup_keeps_one_row_without_ids_or_with_repeated_ones(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (1, b), (1, b), (1, c), (0, c)]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, a), (0, c), (1, b)]
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
@@ -428,6 +435,12 @@ def test_counts_follow_edits(given_docs):
         assert row["n_chars_encoded"] <= len(new) + len(text[at:])
 
 
+@pytest.mark.parametrize("text", ["地址192.168.0.1在这里", "é192.168.0.1é"])
+def test_addresses_beside_letters_of_any_script(spark, text):
+    assert token_counts.mask_edits(text)
+    assert [r["n_edits"] for r in token_counts.count_after_edits(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [1]
+
+
 def test_any_edit_anywhere():
     encode = packing.encoder()
     rng = np.random.default_rng(3)
