@@ -63,15 +63,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, th (hash of the text) and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(text) for text in texts_of(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found.view(np.int64))], ["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def blocks_for(classes: int) -> int:
@@ -188,24 +188,40 @@ def links(classes: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links, "a long, b long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, fp (signed long), component_id."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, th, fp, component_id, and root, which tells groups apart that lack an id."""
     prints = written(fingerprints(docs), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes))
     rooted = classes.join(roots, classes["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    membership = written(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "membership")
-    return prints.join(membership, "fp").select("doc_id", "fp", "component_id")
+    membership = written(rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id"), "membership")
+    return prints.join(membership, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, fp (signed long), component_id."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group, the one with the smallest id; all columns stay.
+    """One row of each group, of the smallest id and then the smallest hash of the text; all columns stay.
 
-    Rows without an id stay only where no document of their group has one.
+    A row without an id stays only where no document of its group has one. Of rows that repeat id and text any one stays.
     """
-    stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__keep"]), "left_semi")
+    rows = _grouped(docs).groupBy("root", "doc_id", "th").count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "count")).alias("f")
+    stay = written(rows.groupBy("root").agg(first).select(F.col("f.doc_id").alias("__keep"), F.col("f.th").alias("__kept"), F.col("f.count").alias("__n")), "stay")
+
+    def held(rows: DataFrame, stay: DataFrame) -> DataFrame:
+        return rows.join(stay, rows["doc_id"].eqNullSafe(stay["__keep"]) & (rows["__th"] == stay["__kept"]), "left_semi")
+
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    several = stay.where("__n > 1")
+    if several.isEmpty():
+        return held(rows, stay).drop("__th")
+    once = held(rows, several).dropDuplicates(["doc_id", "__th"])
+    return held(rows, stay.where("__n = 1")).unionByName(once).drop("__th")
 
 
 def digests(groups: DataFrame) -> DataFrame:
