@@ -25,6 +25,9 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     for name in df.columns:
         if pd.api.types.is_float_dtype(df[name]):
             df[name] = df[name] + 0.0
+        elif pd.api.types.is_extension_array_dtype(df[name]) and pd.api.types.is_integer_dtype(df[name]):
+            # Spark hands over whole numbers with nulls as floats.
+            df[name] = df[name].astype("float64" if df[name].isna().any() else "int64")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
