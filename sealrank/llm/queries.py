@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as run_pipeline
-from sealrank.llm import exact, lines, lm, mixing, packing, quality, rules, simhash, substrings, token_counts
+from sealrank.llm import (
+    exact, lines, lm, mixing, packing, quality, resampling, rules, sentencepieces, simhash, substrings, token_counts, whitening,
+)
 from sealrank.llm.tables import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +100,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_after_edits(documents(spark, sf_dir))
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = resampling.resample(documents(spark, sf_dir), target)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op12_importance_resampling"] = resampling.ORACLE_SQL
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(documents(spark, sf_dir), sentencepieces.DIGESTS)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(spark, sf_dir)
