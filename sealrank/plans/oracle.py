@@ -201,6 +201,7 @@ SQL: dict[str, str] = {
     "json_results": "WITH " + HITS + """
         SELECT CAST(query_id AS VARCHAR) AS query_id, rank, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 6) AS score FROM h""",
     "json_embeddings": ELEMENTS,
+    "json_array_embeddings": ELEMENTS,
     "trec_qrels": """
         SELECT source AS query_id, CAST(l.doc_id AS VARCHAR) AS doc_id, CAST(quality AS INTEGER) AS relevance
         FROM labels l JOIN documents d USING (doc_id)""",

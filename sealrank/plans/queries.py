@@ -488,6 +488,18 @@ def json_embeddings(spark, sf_dir):
     return elements(store.vectors().withColumn("embedding", normalize(F.col("embedding"))))
 
 
+@query
+def json_array_embeddings(spark, sf_dir):
+    """Embeddings as JSON arrays, each cut into byte ranges and read in parallel, loaded into the plain store."""
+    _, docs = vectors(spark, sf_dir)
+    lines, arrays = new_path(spark, "json"), new_path(spark, "arrays")
+    writers.write_embeddings(labelled(docs).withColumn("embedding", widen(F.col("embedding"))), lines, fmt="json")
+    writers.write_json_arrays(spark.read.text(lines), arrays)
+    store = PlainStore(spark, new_path(spark, "plain"))
+    pipeline.load_plain(readers.read_doc_embeddings(spark, arrays, "json_array"), store)
+    return elements(store.vectors().withColumn("embedding", normalize(F.col("embedding"))))
+
+
 @query
 def trec_qrels(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 
 from sealrank import schemas
 from sealrank.functions.text import LOAD_LOG_PATTERN
+from sealrank.sources.json_arrays import read_json_arrays
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """A table in parquet, JSON lines, ``json_array`` (one array per file) or CSV.
-
-    One JSON array is one task however large it is, so prefer parquet or JSON lines.
-    """
-    reader = spark.read.schema(schema)
+    """A table in parquet, JSON lines, ``json_array`` (arrays of objects, read in parallel) or CSV."""
     if fmt == "json_array":
-        return reader.option("multiLine", True).json(path)
+        return read_json_arrays(spark, path, schema)
+    reader = spark.read.schema(schema)
     if fmt == "csv":
         return reader.option("header", True).csv(path)
     return reader.format(fmt).load(path)

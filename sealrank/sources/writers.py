@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,21 @@ def write_embeddings(df: DataFrame, path: str, partition_by: str | None = None,
     writer.format(fmt).save(path)
 
 
+def write_json_arrays(lines: DataFrame, path: str) -> None:
+    """JSON lines (``value``) as arrays, one per file and task; ``json_array`` reads them."""
+    def bracket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("value").cast(pa.string())
+                leads = pa.array([lead] + [","] * (batch.num_rows - 1))
+                lead = ","
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(leads, values, "")], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
+
+    lines.mapInArrow(bracket, "value string").write.mode("overwrite").text(path)
+
+
 def nest_results(hits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """One row per query with its hits in rank order; a list holds at most k hits.
 
