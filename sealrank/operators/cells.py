@@ -1,7 +1,8 @@
 """A cell index for cosine search: vectors grouped around sampled centroids.
 
 ``build_cells`` writes the vectors in one folder per cell with, per cell, how far its
-vectors reach from the centroid. ``search_cells`` reads the nearest cells of each query.
+vectors reach from the centroid. ``search_cells`` joins queries and vectors by cell: each query
+goes to its nearest cells, and only the folders of those are read.
 The exact form then also reads every cell whose reach could still hold a better hit, so
 its result is that of the full scan; the approximate form stops at ``nprobe`` cells, which
 is what an approximate collection does, and ``recall_at_k`` tells what that cost.
@@ -10,6 +11,7 @@ is what an approximate collection does, and ``recall_at_k`` tells what that cost
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +20,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sealrank.functions import arrow
 from sealrank.functions.vectors import l2_norm, widen
-from sealrank.operators.packing import unpack_vectors
-from sealrank.operators.search import (
-    QUERY_BYTES, QUERY_ROWS, QueryBlock, in_blocks, no_hits, rank_hits, scan_hits,
-)
+from sealrank.operators.best import BestHits, offer_all
+from sealrank.operators.packing import pack_vectors, unpack_vectors
+from sealrank.operators.search import QUERY_BYTES, QUERY_ROWS, QueryBlock, emit, hit_fields, rank_hits, scan_hits
 from sealrank.operators.selection import hash_rank, smallest
 from sealrank.session import materialize
 
 MAX_CELLS = 65_536
-# Queries times cells that are scored at once on the driver, which bounds its matrices and what
-# is sent to the tasks.
+# Queries times cells that a task scores at once, and bytes of vectors that meet in one group.
 SCORES_AT_ONCE = 1 << 22
+GROUP_BYTES = 32 << 20
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
@@ -117,20 +119,160 @@ def build_cells(docs: DataFrame, path: str, n_cells: int, seed: int = 42, rounds
     ).coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
 
 
-def _vectors(spark: SparkSession, path: str, cells, sizes: list[int] | None = None) -> DataFrame:
-    """The vectors of some cells; the filter prunes folders. The tag is the cell or, with ``sizes``
-    (in ascending order), the cell and the smallest of the samples that hold the document."""
-    rows = spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin([int(c) for c in cells]))
+def _tagged(vectors: DataFrame, sizes: list[int] | None) -> DataFrame:
+    """``cell, doc_id, vector`` and, with ``sizes`` (in ascending order), ``tag``: which is the smallest of the samples that
+    hold the document. Documents of none are left out."""
     if sizes is None:
-        return rows.select("doc_id", "vector", F.col("cell").alias("tag"))
+        return vectors.select("cell", "doc_id", "vector")
     smaller = F.size(F.filter(F.array(*map(F.lit, sizes)), lambda s: s < F.col("first_size")))
-    rows = rows.filter(F.col("first_size").isNotNull() & (smaller < len(sizes)))
-    return rows.select("doc_id", "vector", (F.col("cell") * len(sizes) + smaller).cast("int").alias("tag"))
+    rows = vectors.filter(F.col("first_size").isNotNull() & (smaller < len(sizes)))
+    return rows.select("cell", "doc_id", "vector", smaller.alias("tag"))
 
 
-def _lookup(wanted: np.ndarray) -> dict[int, np.ndarray]:
-    """Per cell the queries (rows of the boolean matrix) that look at it."""
-    return {int(c): np.flatnonzero(wanted[:, c]) for c in np.flatnonzero(wanted.any(axis=0))}
+@dataclass(frozen=True)
+class CellTable:
+    """The cells of an index as every task knows them."""
+
+    centroids: np.ndarray
+    n_docs: np.ndarray
+    min_fit: np.ndarray
+
+    def nearest(self, scores: np.ndarray, nprobe: int) -> np.ndarray:
+        """The ``nprobe`` nearest cells with vectors of each query, the first of equals."""
+        filled = np.flatnonzero(self.n_docs > 0)
+        return filled[np.argsort(-np.round(scores[:, filled], 12), axis=1, kind="stable")[:, :nprobe]]
+
+    def within_reach(self, scores: np.ndarray, floor: np.ndarray, nprobe: int) -> np.ndarray:
+        """Which other cells may hold a vector that scores at least ``floor``, as a boolean matrix."""
+        angle, reach = np.arccos(np.clip(scores, -1, 1)), np.arccos(np.clip(self.min_fit, -1, 1))
+        bound = np.cos(np.maximum(0.0, angle - reach[None, :]))
+        rest = (bound >= floor[:, None] - 1e-9) & (self.n_docs > 0)[None, :]
+        np.put_along_axis(rest, self.nearest(scores, nprobe), False, axis=1)
+        return rest
+
+
+def read_cells(spark: SparkSession, path: str) -> CellTable:
+    """At most ``MAX_CELLS`` rows and ``QUERY_BYTES`` of centroids, as ``build_cells`` sees to."""
+    cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids").orderBy("cell").toArrow()
+    return CellTable(
+        arrow.as_matrix(cells["centroid"]), cells["n_docs"].to_numpy(), cells["min_fit"].to_pandas().fillna(1.0).to_numpy()
+    )
+
+
+def probes(queries: DataFrame, table: CellTable, nprobe: int) -> DataFrame:
+    """``query_id, vector, cell``: the cells each query looks at, found in the tasks that hold the queries.
+
+    ``queries`` has ``query_id`` and a packed unit ``vector``. Where it has ``floor``, the cells are those beyond
+    the ``nprobe`` nearest that may still hold a vector of that score.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(table)
+    floored = "floor" in queries.columns
+    step = max(1, SCORES_AT_ONCE // max(1, len(table.centroids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                scores = arrow.as_matrix(batch.column("vector"), cells.centroids.shape[1]) @ cells.centroids.T
+                if floored:
+                    row, cell = np.nonzero(cells.within_reach(scores, batch.column("floor").to_numpy(), nprobe))
+                else:
+                    near = cells.nearest(scores, nprobe)
+                    row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                for low in range(0, len(row), 4096):
+                    own = pa.array(row[low:low + 4096])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("query_id").take(own), batch.column("vector").take(own), pa.array(cell[low:low + 4096].astype(np.int32))],
+                        ["query_id", "vector", "cell"],
+                    )
+
+    schema = T.StructType([queries.schema["query_id"], T.StructField("vector", T.BinaryType()), T.StructField("cell", T.IntegerType())])
+    return queries.mapInArrow(run, schema)
+
+
+def _scan_in_cells(asked: DataFrame, vectors: DataFrame, k: int, sizes: list[int] | None) -> DataFrame:
+    """``meet_in_cells`` for few queries: a scan of their cells that knows which queries look at a cell."""
+    pairs = asked.toArrow().combine_chunks()
+    cells, ids = pairs["cell"].to_numpy(), pairs["query_id"].combine_chunks().dictionary_encode()
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    row = ids.indices.to_numpy(zero_copy_only=False)
+    first = np.unique(row, return_index=True)[1]
+    block = QueryBlock(ids.dictionary, arrow.as_matrix(pairs["vector"].take(pa.array(first))))
+    look = {int(c): row[cells == c] for c in np.unique(cells)}
+    near = vectors.filter(F.col("cell").isin(list(look)))
+    if sizes is None:
+        return scan_hits(block, near.withColumnRenamed("cell", "tag"), k, subsets=look)
+    n = len(sizes)
+    groups = {cell * n + i: sizes[i:] for cell in look for i in range(n)}
+    near = near.withColumn("tag", (F.col("cell") * n + F.col("tag")).cast("int"))
+    return scan_hits(block, near, k, groups, {tag: look[tag // n] for tag in groups})
+
+
+def _dealt(asked: DataFrame, vectors: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries with the parts of their cell that they go to."""
+    within = F.broadcast(loads.filter(F.col("n_asked") > 0).drop("n_asked"))
+    # Places within a task tell copies of a row apart, so a cell of copies is dealt evenly too.
+    place = F.xxhash64(F.monotonically_increasing_id())
+    left = vectors.join(within, "cell").withColumn("place", place).select(
+        *vectors.columns, F.pmod("place", "doc_parts").cast("int").alias("doc_part"),
+        F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
+    )
+    right = asked.join(within, "cell").withColumn("place", place).select(
+        "query_id", F.col("vector").alias("query"), "cell", F.pmod("place", "query_parts").cast("int").alias("query_part"),
+        F.explode(F.sequence(F.lit(0), F.col("doc_parts") - 1)).alias("doc_part"),
+    )
+    return left, right
+
+
+def meet_in_cells(
+    asked: DataFrame, vectors: DataFrame, cells: DataFrame, k: int, width: int, sizes: list[int] | None = None, query_rows: int = QUERY_ROWS
+) -> DataFrame:
+    """The best k hits of each query among the vectors of its cells, per task or group that holds some of them.
+
+    ``asked`` (``query_id, vector, cell``; written) and ``vectors`` (``cell, doc_id, vector[, tag]``) meet by cell. Up to
+    8 times ``query_rows`` rows and ``QUERY_BYTES`` of ``asked`` go to the tasks that scan the vectors, which do not move. Beyond
+    that both meet in groups. A cell with more vectors or queries than a group may hold is dealt over several: each
+    vector goes to one part of the vectors and every part of the queries, each query the other way round, so every
+    pair meets once. ``cells`` (``cell, n_docs``) gives the sizes; its rows for the cells asked for are what the join
+    broadcasts. Either way the cells asked for prune the folders of the vectors.
+    """
+    n_asked, volume = asked.agg(F.count("*"), F.sum(F.octet_length("vector"))).first()
+    if n_asked <= 8 * query_rows and (volume or 0) <= QUERY_BYTES:
+        return _scan_in_cells(asked, vectors, k, sizes)
+    doc_rows = max(1, GROUP_BYTES // (8 * max(1, width)))
+    parts = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
+    loads = asked.groupBy("cell").agg(F.count("*").alias("n_asked")).join(cells.select("cell", "n_docs"), "cell")
+    loads = materialize(loads.select(
+        "cell", "n_asked", parts("n_docs", doc_rows).alias("doc_parts"), parts("n_asked", min(doc_rows, query_rows)).alias("query_parts")
+    ), "loads")
+    left, right = _dealt(asked, vectors, loads)
+    query_type = asked.schema["query_id"].dataType
+    schema = hit_fields(vectors, query_type, None if sizes is None else T.IntegerType())
+    labels = [None] if sizes is None else list(sizes)
+
+    def best(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        own = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+        ids, found = queries["query_id"].combine_chunks(), []
+        if len(ids) and docs.num_rows:
+            matrix = arrow.as_matrix(queries["query"])
+            everyone, bests = np.arange(len(ids)), [BestHits(len(ids), k) for _ in labels]
+            for batch in docs.combine_chunks().to_batches(max_chunksize=4096):
+                rows = arrow.unit_rows(arrow.as_matrix(batch.column("vector"), matrix.shape[1]))
+                if sizes is None:
+                    offer_all(bests, matrix, everyone, rows, batch.column("doc_id"))
+                    continue
+                tags = batch.column("tag").to_numpy()
+                for tag in np.unique(tags):
+                    at = np.flatnonzero(tags == tag)
+                    offer_all(bests[tag:], matrix, everyone, rows[at], batch.column("doc_id").take(pa.array(at)))
+            for label, one in zip(labels, bests):
+                found += emit(one, ids, label, sizes is not None)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=own) for b in found], own)
+
+    keys = ["cell", "doc_part", "query_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
 
 
 def search_cells(
@@ -142,61 +284,32 @@ def search_cells(
     query_rows: int = QUERY_ROWS,
     sizes: list[int] | None = None,
 ) -> DataFrame:
-    """Top-k through the index: ``query_id, rank, doc_id, score``; queries go through it in blocks.
+    """Top-k through the index: ``query_id, rank, doc_id, score``, for a query table of any size in one pass.
 
-    With ``sizes``, in the approximate form only, there is one ranking per sample, all from one pass.
+    Queries find their cells in the tasks that hold them, and meet the vectors by cell; see ``meet_in_cells`` for
+    ``query_rows``. With ``sizes``, in the approximate form only, there is one ranking per sample.
     """
     if sizes is not None and exact:
         raise ValueError("samples are searched in the approximate form only")
     sizes = None if sizes is None else sorted(sizes)
-    spark = queries.sparkSession
-    cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids").orderBy("cell").toArrow()
-    centroids = arrow.as_matrix(cells["centroid"])
-    n_docs, min_fit = cells["n_docs"].to_numpy(), cells["min_fit"].to_pandas().fillna(1.0).to_numpy()
-    filled = np.flatnonzero(n_docs > 0)
-    everything = spark.read.parquet(f"{path}/vectors").select("doc_id", "vector")
-
-    def answer(block: QueryBlock) -> DataFrame:
-        scores = block.matrix @ centroids.T
-        wanted = _nearest(scores, filled, nprobe)
-        near = _lookup(wanted)
-        if sizes is not None:
-            n = len(sizes)
-            groups = {cell * n + i: sizes[i:] for cell in near for i in range(n)}
-            look = {tag: near[tag // n] for tag in groups}
-            return rank_hits(scan_hits(block, _vectors(spark, path, near, sizes), k, groups, look), k)
-        hits = scan_hits(block, _vectors(spark, path, near), k, subsets=near)
-        if not exact:
-            return rank_hits(hits, k)
-
-        hits = materialize(rank_hits(hits, k), "probe")
-        floor = _kth_scores(hits, block, k)
-        angle, reach = np.arccos(np.clip(scores, -1, 1)), np.arccos(np.clip(min_fit, -1, 1))
-        bound = np.cos(np.maximum(0.0, angle - reach[None, :]))
-        rest = (bound >= floor[:, None] - 1e-9) & ~wanted & (n_docs > 0)[None, :]
-        far = _lookup(rest)
-        if not far:
-            return hits
-        more = scan_hits(block, _vectors(spark, path, far), k, subsets=far)
-        return rank_hits(hits.drop("rank").unionByName(more), k)
-
-    held = max(1, min(query_rows, SCORES_AT_ONCE // max(1, len(centroids))))
-    return in_blocks(queries, answer, no_hits(queries, everything, sizes is not None), held)
-
-
-def _nearest(scores: np.ndarray, filled: np.ndarray, nprobe: int) -> np.ndarray:
-    """Which of the filled cells are among the ``nprobe`` nearest of a query."""
-    order = np.argsort(-np.round(scores[:, filled], 12), axis=1, kind="stable")[:, :nprobe]
-    wanted = np.zeros(scores.shape, dtype=bool)
-    wanted[np.arange(len(scores))[:, None], filled[order]] = True
-    return wanted
-
-
-def _kth_scores(hits: DataFrame, block: QueryBlock, k: int) -> np.ndarray:
-    """The k-th best score per query; -inf where fewer than k hits were found."""
-    found = hits.filter(F.col("rank") == k).select("query_id", "score").toArrow()
-    place = {q: i for i, q in enumerate(block.ids.to_pylist())}
-    floor = np.full(len(block), -np.inf)
-    for q, s in zip(found["query_id"].to_pylist(), found["score"].to_pylist()):
-        floor[place[q]] = s
-    return floor
+    spark, table = queries.sparkSession, read_cells(queries.sparkSession, path)
+    width = table.centroids.shape[1]
+    if not queries.groupBy("query_id").count().filter("count > 1").isEmpty():
+        raise ValueError("query_id is not unique")
+    packed = pack_vectors(queries.select("query_id", widen(F.col("embedding")).alias("embedding")))
+    # Parquet gives the cell of a folder back as it was written.
+    vectors = _tagged(spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("int")), sizes)
+    cells = spark.read.schema(CENTROIDS).parquet(f"{path}/centroids")
+
+    asked = materialize(probes(packed, table, nprobe), "probes")
+    hits = rank_hits(meet_in_cells(asked, vectors, cells, k, width, sizes, query_rows), k)
+    if not exact:
+        return hits
+    hits = materialize(hits, "probe")
+    floor = hits.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    floored = packed.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    more = materialize(probes(floored, table, nprobe), "probes")
+    if more.isEmpty():
+        return hits
+    rest = meet_in_cells(more, vectors, cells, k, width, None, query_rows)
+    return rank_hits(hits.drop("rank").unionByName(rest), k)

@@ -96,7 +96,7 @@ def in_blocks(
     return reduce(DataFrame.unionByName, [materialize(answer(block), "answers") for block in _cut(queries, rows, size)])
 
 
-def _hit_fields(docs: DataFrame, query_type: T.DataType, group_type: T.DataType | None) -> T.StructType:
+def hit_fields(docs: DataFrame, query_type: T.DataType, group_type: T.DataType | None) -> T.StructType:
     fields = [] if group_type is None else [T.StructField("sample_size", group_type)]
     return T.StructType(fields + [
         T.StructField("query_id", query_type),
@@ -105,7 +105,7 @@ def _hit_fields(docs: DataFrame, query_type: T.DataType, group_type: T.DataType
     ])
 
 
-def _emit(best: BestHits, ids: pa.Array, group: int | None, grouped: bool) -> Iterator[pa.RecordBatch]:
+def emit(best: BestHits, ids: pa.Array, group: int | None, grouped: bool) -> Iterator[pa.RecordBatch]:
     found = best.hits()
     if found is None:
         return
@@ -130,7 +130,7 @@ def scan_hits(
     from one matrix product; ``subsets`` names the queries that look at a tag. Both may be given.
     """
     grouped, tagged = groups is not None, groups is not None or subsets is not None
-    schema = _hit_fields(docs, from_arrow_type(block.ids.type), T.IntegerType() if grouped else None)
+    schema = hit_fields(docs, from_arrow_type(block.ids.type), T.IntegerType() if grouped else None)
     sent = docs.sparkSession.sparkContext.broadcast((block.ids, block.matrix, groups, subsets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def scan_hits(
                 if len(rows) and targets:
                     offer_all(targets, matrix[rows], rows, vectors[at], doc_ids.take(pa.array(at)))
         for label, best in bests.items():
-            yield from _emit(best, ids, label, grouped)
+            yield from emit(best, ids, label, grouped)
 
     columns = ["doc_id", "vector"] + (["tag"] if tagged else [])
     return docs.select(*columns).mapInArrow(run, schema)
@@ -173,7 +173,7 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
 
 def no_hits(queries: DataFrame, docs: DataFrame, grouped: bool = False) -> DataFrame:
     """The empty result with the full schema."""
-    schema = _hit_fields(docs, queries.schema["query_id"].dataType, T.IntegerType() if grouped else None)
+    schema = hit_fields(docs, queries.schema["query_id"].dataType, T.IntegerType() if grouped else None)
     return rank_hits(docs.sparkSession.createDataFrame([], schema), 1)
 
 

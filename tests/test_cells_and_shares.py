@@ -66,6 +66,50 @@ def test_cells_are_pruned(skewed, path, spark):
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
 
 
+def test_queries_beyond_the_bound_meet_vectors_by_cell(skewed, path, monkeypatch):
+    """Neither side is broadcast or collected: what is broadcast has a row per cell."""
+    queries, docs = skewed
+    build_cells(docs, place := path("cells"), 12)
+    monkeypatch.setattr(cells, "GROUP_BYTES", 50 * 64)  # fifty vectors to a group
+    found = search_cells(queries, place, 5, 4, exact=False, query_rows=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    assert "dynamicpruning" in plan and plan.count("BroadcastExchange") >= 1
+    assert rows(found) == rows(search_cells(queries, place, 5, 4, exact=False))
+    assert rows(search_cells(queries, place, 5, 2, query_rows=3)) == rows(search(queries, docs, 5))
+
+
+def test_a_cell_of_copies_is_dealt_evenly(skewed, path, monkeypatch):
+    """A third of all vectors are copies of one: groups of about 20 vectors and one query all the same."""
+    queries, docs = skewed
+    build_cells(docs, place := path("cells"), 3)
+    monkeypatch.setattr(cells, "GROUP_BYTES", 20 * 64)
+    groups, deal = [], cells._dealt
+    monkeypatch.setattr(cells, "_dealt", lambda *given: groups.append(deal(*given)) or groups[-1])
+    search_cells(queries, place, 5, 3, exact=False, query_rows=1).count()
+    ((left, right),) = groups
+    by = ("cell", "doc_part", "query_part")
+    assert left.groupBy(*by).count().agg(F.max("count")).first()[0] <= 45
+    assert right.groupBy(*by).count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_repeated_query_ids_are_an_error(skewed, path):
+    queries, docs = skewed
+    build_cells(docs, place := path("cells"), 4)
+    with pytest.raises(ValueError, match="unique"):
+        search_cells(queries.union(queries), place, 5, 2)
+
+
+def test_samples_over_the_join(skewed, path):
+    queries, docs = skewed
+    sized = docs.withColumn("first_size", F.when(F.col("doc_id") % 3 == 0, 100).when(F.col("doc_id") % 3 == 1, 300))
+    build_cells(sized, place := path("cells"), 6)
+    one = search_cells(queries, place, 4, 6, exact=False, sizes=[100, 300])
+    two = search_cells(queries, place, 4, 6, exact=False, sizes=[100, 300], query_rows=2)
+    by = lambda df: sorted(map(tuple, df.collect()))
+    assert by(one) == by(two) == by(search(queries, sized, 4, [100, 300]))
+
+
 def test_share_search(skewed, key):
     queries, docs = skewed
     first, second = (materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1))
