@@ -161,13 +161,14 @@ def scan_hits(
 
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Global top-k and ranks from 1; equal scores are ordered by id."""
+    """Global top-k and ranks from 1; equal scores are ordered by id. A hit keeps its ``content``, if it has one."""
     groups = ["sample_size"] if "sample_size" in hits.columns else []
+    carried = ["content"] if "content" in hits.columns else []
     order = Window.partitionBy(*groups, "query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return (
         hits.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select(*groups, "query_id", "rank", "doc_id", "score")
+        .select(*groups, "query_id", "rank", "doc_id", "score", *carried)
     )
 
 

@@ -157,6 +157,10 @@ SQL: dict[str, str] = {
     "topk_distance": "WITH " + HITS + "SELECT query_id, rank, doc_id, round(1 - score, 6) AS score FROM h",
     "sealed_topk": TOPK,
     "sealed_topk_texts": "WITH " + TEXT_HITS + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM h",
+    # Opened ids are texts, and equal scores rank by them.
+    "sealed_hits_texts": "WITH " + TEXT_HITS.replace(", d.id) AS INTEGER", ", CAST(d.id AS VARCHAR)) AS INTEGER") + """
+        SELECT query_id, rank, h.doc_id, round(score, 6) AS score, coalesce(text, '') AS content
+        FROM h JOIN documents d ON d.doc_id = h.doc_id""",
     "sealed_roundtrip": ELEMENTS,
     "sealed_docids": DOC_IDS,
     "open_lenient": DOC_IDS,

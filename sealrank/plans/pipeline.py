@@ -21,7 +21,7 @@ from sealrank.operators.cells import CENTROIDS, build_cells, search_cells
 from sealrank.operators.embedding import deal_out
 from sealrank.operators.evaluation import judge, ndcg_report
 from sealrank.operators.sampling import sample_documents
-from sealrank.operators.search import as_distance, search
+from sealrank.operators.search import as_distance, rank_hits, search
 from sealrank.operators.selection import first_rows, hash_rank, smallest
 from sealrank.session import materialize
 from sealrank.sources.readers import read_or_empty, read_results, read_table
@@ -124,13 +124,30 @@ def evaluate_plain(
 
 def evaluate_sealed(
     queries: DataFrame, store: SealedStore, k: int = 5, sizes: list[int] | None = None, limit: int | None = None,
-    lenient: bool = False, latest: bool = False,
+    lenient: bool = False, latest: bool = False, texts: bool = False,
 ) -> DataFrame:
-    """Ranked hits of the sealed store; the score is the cosine similarity. Texts stay
-    sealed and are not even read. ``lenient`` names an id that does not open by its raw
-    form; ``latest`` searches the last version of each document only."""
-    rows = store.latest() if latest else None
-    return search(first_queries(queries, limit), store.vectors(rows, lenient), k, sizes)
+    """Ranked hits of the sealed store; the score is the cosine similarity. ``texts`` adds the ``content`` of each hit.
+
+    The search knows rows by their keys; ids and texts are opened for the final hits only. Equal scores rank by
+    opened id. Where hits beyond the k-th tie with it, which of them count depends on ids that are still sealed: such
+    queries, and no others, are searched again with ids opened in the scan.
+
+    ``lenient`` names an id that does not open by its raw form; ``latest`` searches the last version of each
+    document only."""
+    rows = store.latest() if latest else store.read()
+    asked = first_queries(queries, limit)
+    keys = ["query_id", *(["sample_size"] if sizes else [])]
+    hits = materialize(search(asked, store.keyed_vectors(rows), k + 1, sizes), "keyed-hits")
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("score")))
+    tied = materialize(hits.groupBy(*keys).agg(at(k).alias("last"), at(k + 1).alias("beyond")).filter("last = beyond").select(*keys), "tied")
+    hits = hits.filter(F.col("rank") <= k)
+    if not tied.isEmpty():
+        again = asked.join(tied.select("query_id").distinct(), "query_id", "left_semi")
+        named = search(again, store.named_vectors(rows, lenient), k, sizes).join(tied, keys, "left_semi")
+        named = named.withColumn("doc_id", F.substring_index("doc_id", "\0", -1)).select(hits.columns)
+        hits = materialize(hits.join(tied, keys, "left_anti").unionByName(named), "keyed-hits")
+    opened = rank_hits(store.open_hits(hits, rows, lenient), k)
+    return opened if texts else opened.drop("content")
 
 
 def evaluate_cells(

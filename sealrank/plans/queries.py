@@ -211,6 +211,14 @@ def sealed_topk_texts(spark, sf_dir):
     return rounded(search(passages(spark, sf_dir), opened, K))
 
 
+@query
+def sealed_hits_texts(spark, sf_dir):
+    """Hits with the texts of their documents; ids and texts are opened for the hits only."""
+    docs = embed_hashed(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "content")
+    hits = pipeline.evaluate_sealed(passages(spark, sf_dir), sealed_store(spark, docs), K, texts=True)
+    return numbered(hits)
+
+
 @query
 def sealed_roundtrip(spark, sf_dir):
     _, docs = vectors(spark, sf_dir)

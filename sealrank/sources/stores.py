@@ -8,7 +8,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealrank import schemas
@@ -58,6 +58,11 @@ class _Store:
         return batch
 
 
+def _row_key() -> Column:
+    """The key of a stored row: the 64 digits of ``doc_key``, its batch, its position there."""
+    return F.concat_ws("|", "doc_key", "batch", F.col("pos").cast("string"))
+
+
 class PlainStore(_Store):
     """Ids, texts and vectors in the clear, in cosine space."""
 
@@ -139,6 +144,44 @@ class SealedStore(_Store):
             "first_size",
         )
 
+    def keyed_vectors(self, rows: DataFrame | None = None) -> DataFrame:
+        """``doc_id`` and packed ``vector`` with nothing opened but the vector: the id is the key of the stored row."""
+        rows = self.read() if rows is None else rows
+        opened = unseal(F.col("vector_enc"), self.key, F.col("doc_key")).alias("vector")
+        return rows.select(_row_key().alias("doc_id"), opened, "first_size")
+
+    def named_vectors(self, rows: DataFrame | None = None, lenient: bool = False) -> DataFrame:
+        """``keyed_vectors`` in the order of the opened ids: id, a zero character, row key."""
+        rows = self.read() if rows is None else rows
+        tied = F.col("doc_key")
+        name = F.concat(open_text(F.col("id_enc"), self.key, tied, lenient), F.lit("\0"), _row_key())
+        return rows.select(name.alias("doc_id"), unseal(F.col("vector_enc"), self.key, tied).alias("vector"), "first_size")
+
+    def open_hits(self, hits: DataFrame, rows: DataFrame | None = None, lenient: bool = False) -> DataFrame:
+        """``hits`` (written, ``doc_id`` a row key) with the opened ``doc_id`` and ``content`` of their rows.
+
+        The hits' keys meet the stored rows by batch and position. Ids and texts are opened above that
+        join, so of these rows only; which form the join takes is left to the size of the hits.
+        """
+        rows = self.read() if rows is None else rows
+        key = F.col("doc_id")
+        wanted = hits.select(
+            key.alias("row_key"),
+            F.substring_index(key, "|", 1).alias("doc_key"),
+            F.expr("substring(doc_id, 66, length(doc_id) - 66 - length(substring_index(doc_id, '|', -1)))").alias("batch"),
+            F.substring_index(key, "|", -1).cast("bigint").alias("pos"),
+        ).distinct()
+        tied = F.col("doc_key")
+        found = rows.select("doc_key", "batch", "pos", "id_enc", "text_enc").join(wanted, ["doc_key", "batch", "pos"])
+        opened = found.select(
+            "row_key",
+            open_text(F.col("id_enc"), self.key, tied, lenient).alias("opened"),
+            open_text(F.col("text_enc"), self.key, tied, lenient).alias("content"),
+        )
+        return hits.join(opened, hits["doc_id"] == opened["row_key"]).select(
+            *[F.col("opened").alias("doc_id") if c == "doc_id" else hits[c] for c in hits.columns], "content"
+        )
+
     def sealed_ids(self) -> DataFrame:
         return self.read().select("id_enc")
 

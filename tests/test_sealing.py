@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sealrank.functions.sealing import blind_index, load_key, open_text, save_key, seal
 from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import search
+from sealrank.plans.pipeline import evaluate_sealed
+from sealrank.session import materialize
 from sealrank.sources.stores import PlainStore, SealedStore
 from tests.conftest import SF_DIR
 
@@ -156,3 +158,61 @@ def test_key_sizes(spark, path):
 def test_key_from_a_raw_file(spark, tmp_path):
     (tmp_path / "data.key").write_bytes(b"k" * 32)
     assert bytes(load_key(spark, str(tmp_path / "data.key")).first()[0]) == b"k" * 32
+
+
+def tied_store(spark, key, path, corrupt=()):
+    """Forty documents in the plane, three of each direction, ids out of order; the ids of ``corrupt`` do not open."""
+    store = SealedStore(spark, path("late"), key)
+    rows = [(f"d{(7 * i) % 40:02d}", [float(i // 3), 5.0], f"text {i}", 10 if i % 2 else 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", first_size INT")
+    sealed = materialize(store.seal_rows(docs, 0), "rows")
+    broken = F.col("doc_key").isin([r[0] for r in spark.createDataFrame([(i,) for i in corrupt], "doc_id STRING").select(store._doc_key(F.col("doc_id"))).collect()])
+    store._write(sealed.withColumn("id_enc", F.when(broken, F.reverse("id_enc").cast("binary")).otherwise(F.col("id_enc"))), "a|b-1")
+    asked = spark.createDataFrame([(f"q{i}", [float(i), 4.0]) for i in range(9)], "query_id STRING, embedding ARRAY<DOUBLE>")
+    return store, docs, asked
+
+
+def hit_rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 50])
+def test_late_opening_gives_the_hits_of_the_full_scan(spark, key, path, k):
+    store, docs, asked = tied_store(spark, key, path)
+    whole = search(asked, docs, k)
+    assert hit_rows(evaluate_sealed(asked, store, k)) == hit_rows(whole)
+    texts = whole.join(docs.select("doc_id", "content"), "doc_id").select("query_id", "rank", "doc_id", "score", "content")
+    assert hit_rows(evaluate_sealed(asked, store, k, texts=True)) == hit_rows(texts)
+    assert hit_rows(evaluate_sealed(asked, store, k, [10, 20])) == hit_rows(search(asked, docs, k, [10, 20]))
+
+
+def test_ids_of_other_documents_stay_sealed(spark, key, path):
+    """Three of each direction and k = 3: no tie at the end, so only the hits are opened."""
+    asked = spark.createDataFrame([("q", [0.0, 1.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
+    others = [f"d{(7 * i) % 40:02d}" for i in range(3, 40)]
+    store, docs, _ = tied_store(spark, key, path, others)
+    assert hit_rows(evaluate_sealed(asked, store, 3)) == hit_rows(search(asked, docs, 3))
+    with pytest.raises(PySparkException):
+        search(asked, store.vectors(), 3).collect()
+    with pytest.raises(PySparkException):  # the hits' own
+        evaluate_sealed(asked, store, 6).collect()
+    assert len(evaluate_sealed(asked, store, 6, lenient=True).collect()) == 6
+
+
+def test_the_scan_under_the_search_reads_keys_and_vectors_only(spark, store):
+    queries = spark.createDataFrame([("q", [1.0, 1.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
+    plan = search(queries, store.keyed_vectors(), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "vector_enc" in plan and "doc_key" in plan and "id_enc" not in plan and "text_enc" not in plan
+
+
+def test_late_opening_of_the_latest_versions_and_of_nothing(spark, key, path):
+    store = SealedStore(spark, path("s"), key)
+    store.add(spark.createDataFrame(DOCS, SCHEMA), version=1)
+    store.add(spark.createDataFrame(DOCS[:1], SCHEMA).withColumn("content", F.lit("new")), version=2)
+    asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id STRING, embedding ARRAY<DOUBLE>")
+    found = evaluate_sealed(asked, store, 10, latest=True, texts=True).collect()
+    assert len(found) == 3 and sum(r["content"] == "new" for r in found) == 1
+    assert len(evaluate_sealed(asked, store, 10).collect()) == 4
+    assert evaluate_sealed(asked.limit(0), store, 10, texts=True).collect() == []
+    empty = SealedStore(spark, path("none"), key)
+    assert evaluate_sealed(asked, empty, 10).collect() == []
