@@ -75,6 +75,10 @@ class BestHits:
         self.parts = [(q, score, ids)]
         self.pending = len(q)
 
+    def settle(self) -> None:
+        """Hold at most k hits per query from here on."""
+        self._trim()
+
     def hits(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
         self._trim()
         return self.parts[0] if self.parts else None

@@ -34,6 +34,8 @@ MAX_CELLS = 65_536
 # Queries times cells that a task scores at once, and bytes of vectors that meet in one group.
 SCORES_AT_ONCE = 1 << 22
 GROUP_BYTES = 32 << 20
+# A cell tree has folders of cells; a cell's number then begins with that of its folder.
+FOLDER, FOLDER_BITS = "branch", 20
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
@@ -202,6 +204,8 @@ def _scan_in_cells(asked: DataFrame, vectors: DataFrame, k: int, sizes: list[int
     block = QueryBlock(ids.dictionary, arrow.as_matrix(pairs["vector"].take(pa.array(first))))
     look = {int(c): row[cells == c] for c in np.unique(cells)}
     near = vectors.filter(F.col("cell").isin(list(look)))
+    if FOLDER in vectors.columns:
+        near = near.filter(F.col(FOLDER).isin(sorted({cell >> FOLDER_BITS for cell in look})))
     if sizes is None:
         return scan_hits(block, near.withColumnRenamed("cell", "tag"), k, subsets=look)
     n = len(sizes)
@@ -212,14 +216,18 @@ def _scan_in_cells(asked: DataFrame, vectors: DataFrame, k: int, sizes: list[int
 
 def _dealt(asked: DataFrame, vectors: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors and queries with the parts of their cell that they go to."""
-    within = F.broadcast(loads.filter(F.col("n_asked") > 0).drop("n_asked"))
+    within, keys = loads.filter(F.col("n_asked") > 0).drop("n_asked"), ["cell"]
+    if FOLDER in vectors.columns:
+        keys = ["cell", FOLDER]
+        within = within.withColumn(FOLDER, F.shiftright("cell", FOLDER_BITS).cast("int"))
+    within = F.broadcast(within)
     # Places within a task tell copies of a row apart, so a cell of copies is dealt evenly too.
     place = F.xxhash64(F.monotonically_increasing_id())
-    left = vectors.join(within, "cell").withColumn("place", place).select(
+    left = vectors.join(within, keys).withColumn("place", place).select(
         *vectors.columns, F.pmod("place", "doc_parts").cast("int").alias("doc_part"),
         F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
     )
-    right = asked.join(within, "cell").withColumn("place", place).select(
+    right = asked.join(within.drop(FOLDER), "cell").withColumn("place", place).select(
         "query_id", F.col("vector").alias("query"), "cell", F.pmod("place", "query_parts").cast("int").alias("query_part"),
         F.explode(F.sequence(F.lit(0), F.col("doc_parts") - 1)).alias("doc_part"),
     )

@@ -102,6 +102,30 @@ h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
       FROM s QUALIFY rank <= 5)
 """
 
+TREE = PAIRS + """,
+w AS (SELECT vec_id FROM u ORDER BY md5('42|' || vec_id), vec_id LIMIT 64),
+t AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS branch
+      FROM (SELECT vec_id FROM w ORDER BY md5('42|' || vec_id), vec_id LIMIT 8)),
+b AS (SELECT s.query_id AS vec_id, branch, round(s.score, 12) AS fit FROM s JOIN t ON t.vec_id = s.doc_id),
+n1 AS (SELECT vec_id, branch FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, branch) = 1),
+c AS (SELECT vec_id, branch, branch * 1048576 + row_number() OVER (PARTITION BY branch ORDER BY vec_id) - 1 AS cell
+      FROM n1 SEMI JOIN w USING (vec_id)),
+f AS (SELECT s.query_id AS vec_id, c.branch, c.cell, round(s.score, 12) AS fit FROM s JOIN c ON c.vec_id = s.doc_id),
+a AS (SELECT f.vec_id, cell FROM f JOIN n1 USING (vec_id, branch)
+      QUALIFY row_number() OVER (PARTITION BY f.vec_id ORDER BY fit DESC, cell) = 1),
+qb AS (SELECT vec_id, branch FROM b WHERE branch IN (SELECT branch FROM c WHERE cell IN (SELECT cell FROM a))
+       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, branch) <= 7),
+p AS (SELECT f.vec_id AS query_id, cell FROM f JOIN qb USING (vec_id, branch) WHERE cell IN (SELECT cell FROM a)
+      QUALIFY row_number() OVER (PARTITION BY f.vec_id ORDER BY fit DESC, cell) <= 50),
+ph AS (SELECT s.query_id, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id) AS INTEGER) AS rank,
+              s.doc_id, s.score
+       FROM s JOIN a ON a.vec_id = s.doc_id JOIN p ON p.query_id = s.query_id AND p.cell = a.cell
+       QUALIFY rank <= 5),
+h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+             doc_id, score
+      FROM s QUALIFY rank <= 5)
+"""
+
 ELEMENTS = "WITH " + UNIT + """
 SELECT vec_id AS doc_id, CAST(unnest(range(len(u))) AS INTEGER) AS pos, round(unnest(u), 6) AS val FROM u"""
 
@@ -250,6 +274,10 @@ SQL: dict[str, str] = {
         SELECT h.query_id, count(ph.doc_id) / count(*) AS recall
         FROM h LEFT JOIN ph ON ph.query_id = h.query_id AND ph.doc_id = h.doc_id GROUP BY h.query_id""",
     "ivf_trained_topk": TOPK,
+    "ivf_two_level_topk": "WITH " + TREE + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ph",
+    "ivf_two_level_recall": "WITH " + TREE + """
+        SELECT h.query_id, count(ph.doc_id) / count(*) AS recall
+        FROM h LEFT JOIN ph ON ph.query_id = h.query_id AND ph.doc_id = h.doc_id GROUP BY h.query_id""",
     "ndcg_compare": "WITH " + CELLS + """,
         lh AS (SELECT h.*, CAST(q.label = d.label AS INTEGER) AS rel FROM h
                JOIN u q ON q.vec_id = h.query_id JOIN u d ON d.vec_id = h.doc_id),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sealrank.functions.sealing import load_key, open_text, save_key
 from sealrank.functions.text import content, first_text
 from sealrank.functions.vectors import cosine, distance, dot, l2_norm, normalize, widen
-from sealrank.operators import cells, evaluation, sampling, shares
+from sealrank.operators import cell_tree, cells, evaluation, sampling, shares
 from sealrank.operators.embedding import deal_out, embed_hashed, hashed_embedding
 from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import search, without_self
@@ -25,6 +25,7 @@ from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream
 K = 5
 # The vectors have little structure: twelve of sixteen cells hold 0.9 of the true neighbours, see ivf_recall.
 CELLS, PROBES = 16, 12
+TREE_CELLS, BRANCHES, BRANCH_PROBES, TREE_PROBES = 64, 8, 7, 50
 LIMIT = 10
 # Any 32 bytes do; on a cluster the caller brings a key table of their own.
 DEMO_KEY = bytes(range(32))
@@ -573,6 +574,23 @@ def ivf_trained_topk(spark, sf_dir):
     return rounded(cells.search_cells(queries, path, K, PROBES))
 
 
+def tree_hits(spark, sf_dir, **options) -> DataFrame:
+    queries, docs = vectors(spark, sf_dir)
+    path = new_path(spark, "tree")
+    cell_tree.build_tree(docs, path, TREE_CELLS, BRANCHES)
+    return cell_tree.search_tree(queries, path, K, BRANCH_PROBES, TREE_PROBES, **options)
+
+
+@query
+def ivf_two_level_topk(spark, sf_dir):
+    return rounded(tree_hits(spark, sf_dir, query_rows=64))
+
+
+@query
+def ivf_two_level_recall(spark, sf_dir):
+    return evaluation.recall_at_k(tree_hits(spark, sf_dir), search(*vectors(spark, sf_dir), K))
+
+
 @query
 def ndcg_compare(spark, sf_dir):
     """NDCG of the full search against that of the approximate one, per query and average."""

@@ -155,6 +155,55 @@ def test_blocks_read_documents_where_they_lie(spark, monkeypatch):
         return found
 
     monkeypatch.setattr(search_module, "scan_hits", scan)
+    monkeypatch.setattr(search_module, "tasks_can_read", lambda path: False)
     assert rows(search(queries, docs, 5, query_rows=8)) == rows(search(queries, docs, 5))
     assert sum(held[:-1]) == len(q) and max(held[:-1]) <= 8
     assert all("Exchange" not in plan and "Sort" not in plan for plan in plans)
+
+
+def many(spark):
+    rng = np.random.default_rng(6)
+    q = [(f"q{i:02}", rng.normal(size=4).tolist()) for i in range(50)]
+    d = [(f"d{i:02}", rng.normal(size=4).tolist()) for i in range(80)] + [(f"e{i:03}", [1.0, 0.0, 0.0, 0.0]) for i in range(60)]
+    return frames(spark, q, d)
+
+
+@pytest.mark.parametrize("doc_bytes, held", [(64 << 20, 1 << 22), (200, 1 << 22), (200, 100)])
+def test_blocks_pass_by_the_documents(spark, monkeypatch, doc_bytes, held):
+    """Blocks within the bound; as many in a pass as the lists allow; the same hits whatever is gathered."""
+    queries, docs = many(spark)
+    want = rows(search(queries, docs, 5))
+    monkeypatch.setattr(search_module, "DOC_BYTES", doc_bytes)
+    monkeypatch.setattr(search_module, "HELD_HITS", held)
+    seen, inner = [], search_module.scan_blocks
+    monkeypatch.setattr(search_module, "scan_blocks", lambda blocks, *args: seen.append(blocks) or inner(blocks, *args))
+    assert rows(search(queries, docs, 5, query_rows=8)) == want
+    assert all(block.rows <= 8 for blocks in seen for block in blocks) and sum(b.rows for blocks in seen for b in blocks) == 50
+    assert len(seen) == 1 if held > 1000 else all(len(b) == 1 or 5 * sum(x.rows for x in b) <= held for b in seen)
+
+
+def test_many_blocks_scan_the_documents_once(spark, path):
+    queries, docs = many(spark)
+    docs.write.parquet(path := path("docs"))
+    stored = spark.read.parquet(path)
+    plan = search(queries, stored, 5, query_rows=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Sort" not in below
+
+
+def test_blocks_with_samples_and_repeated_ids(spark):
+    queries, docs = many(spark)
+    sized = docs.withColumn("first_size", F.when(F.col("doc_id") < "d40", 10).when(F.col("doc_id") < "e030", 20))
+    by = lambda df: sorted(map(tuple, df.collect()))
+    assert by(search(queries, sized, 3, [10, 20], query_rows=8)) == by(search(queries, sized, 3, [10, 20]))
+    with pytest.raises(ValueError, match="unique"):
+        search(queries.union(queries), docs, 5, query_rows=8)
+
+
+def test_a_block_that_is_over_the_bound_is_cut_again(spark):
+    queries, _ = many(spark)
+    blocks = search_module.store_blocks(queries, 1, 1 << 20)
+    assert [block.rows for block in blocks] == [1] * 50
+    ids = sorted(i for block in blocks for i in block.load().ids.to_pylist())
+    assert ids == sorted(r["query_id"] for r in queries.collect())
