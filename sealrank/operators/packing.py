@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -11,18 +13,28 @@ from pyspark.sql import types as T
 from sealrank.functions import arrow
 
 
-def pack_vectors(df: DataFrame, name: str = "vector") -> DataFrame:
-    """Replace ``embedding`` by its unit vector as packed float64 bytes."""
+def pack_vectors(df: DataFrame, name: str = "vector", timed: str | None = None) -> DataFrame:
+    """Replace ``embedding`` by its unit vector as packed float64 bytes.
+
+    ``timed`` names a column for the seconds a row took its task: those from one batch's arrival to the
+    next one's, in which the rows before were read, packed and handed on, shared among the batch.
+    """
     schema = T.StructType([f for f in df.schema if f.name != "embedding"]).add(name, T.BinaryType())
+    if timed:
+        schema = schema.add(timed, T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = None
+        width, since = None, time.perf_counter()
         for batch in batches:
             if batch.num_rows:
                 matrix = arrow.as_matrix(batch.column("embedding"), width)
                 width = matrix.shape[1]
-                packed = arrow.packed_column(arrow.unit_rows(matrix))
-                yield arrow.replace_columns(batch, ("embedding",), **{name: packed})
+                new = {name: arrow.packed_column(arrow.unit_rows(matrix))}
+                if timed:
+                    now = time.perf_counter()
+                    new[timed] = pa.array(np.full(batch.num_rows, (now - since) / batch.num_rows))
+                    since = now
+                yield arrow.replace_columns(batch, ("embedding",), **new)
 
     return df.mapInArrow(run, schema)
 

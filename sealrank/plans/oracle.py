@@ -302,6 +302,13 @@ SQL: dict[str, str] = {
         SELECT CAST(size AS INTEGER) AS size, count, CAST(seconds AS DOUBLE) AS seconds FROM l""",
     "ingest_metrics": """
         SELECT unnest(['total_time', 'wall_clock_time']) AS metric, count(*) AS n_docs FROM embeddings""",
+    "ingest_observed": "WITH " + ORDERED + "," + SIZES + """,
+        g AS (SELECT sample_size, count(*)::DOUBLE AS n, sum(n_chars / 1000.0::DOUBLE) AS t
+              FROM o JOIN documents USING (doc_id) JOIN z ON pos <= sample_size GROUP BY sample_size)
+        SELECT CAST(sample_size AS INTEGER) AS sample_size, 'n_docs' AS metric, n AS value FROM g
+        UNION ALL SELECT CAST(sample_size AS INTEGER), 'embed_time', round(t, 3) FROM g""",
+    "load_observed": "WITH " + ORDERED + "," + SIZES + """
+        SELECT CAST(sample_size AS INTEGER) AS size, count(*) AS count FROM o JOIN z ON pos <= sample_size GROUP BY sample_size""",
     "skip_guard": "SELECT true AS first_run, false AS second_run, count(*) AS n_rows FROM embeddings",
     "backend_compare": "WITH " + CELLS + """
         SELECT query_id, count(*) FILTER (h.doc_id IS NOT NULL AND ph.doc_id IS NOT NULL) / 5.0::DOUBLE AS overlap,

@@ -6,11 +6,11 @@ and scored once with the smallest sample that holds it, and counts for all large
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from collections.abc import Callable
 from functools import reduce
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from sealrank.functions.text import content
 from sealrank.operators.cells import CENTROIDS, build_cells, search_cells
 from sealrank.operators.embedding import deal_out
 from sealrank.operators.evaluation import judge, ndcg_report
-from sealrank.operators.sampling import sample_documents
+from sealrank.operators.sampling import corpus_counts, sample_documents
 from sealrank.operators.search import as_distance, rank_hits, search
 from sealrank.operators.selection import first_rows, hash_rank, smallest
 from sealrank.session import materialize
@@ -28,6 +28,7 @@ from sealrank.sources.readers import read_or_empty, read_results, read_table
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
 
+LOG = logging.getLogger(__name__)
 Embed = Callable[[DataFrame, str], DataFrame]
 # Cells of the benchmark's index where the caller names no number.
 MOST_CELLS = 4096
@@ -43,9 +44,13 @@ def prepare_corpus(
 
     The sampled documents are written and dealt out before they are embedded, since a sample
     leaves the splits of the corpus uneven. ``doc_pos`` and ``query_pos`` are kept where the
-    tables have them; without a position the order is that of the ids.
+    tables have them; without a position the order is that of the ids. The documents and judgements there are
+    go to the log before anything else, and to ``path``/counts.
     """
     spark = docs.sparkSession
+    n_docs, n_qrels = corpus_counts(docs, qrels)
+    LOG.info("%d documents, %d judgements", n_docs, n_qrels)
+    append_metrics(spark, f"{path}/counts", "corpus", n_docs, {"n_docs": n_docs, "n_qrels": n_qrels})
     chosen = sample_documents(docs, qrels, sizes, seed).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         content(F.col("title"), F.col("text")).alias("content"),
@@ -70,40 +75,46 @@ def sizes_of(vectors: DataFrame) -> list[int]:
     return sorted(r[0] for r in vectors.select("first_size").distinct().collect() if r[0] is not None)
 
 
-def load_plain(embeddings: DataFrame, store: PlainStore, log: str | None = None) -> float:
+def load_plain(embeddings: DataFrame, store: PlainStore, log: str | None = None, sizes: list[int] | None = None) -> float:
     """Append all embeddings to the plain store in one job; returns the seconds taken.
 
-    The log gets one line per sample size with the documents of that sample, all loaded by
-    the same job, or one line for the whole where there are no sample sizes.
+    The log gets one line per sample size with the documents of that sample and their share of the seconds, or
+    one line for the whole where there are no sample sizes. Rows are counted while they are written.
     """
-    start = time.perf_counter()
-    batch = store.add(embeddings)
-    seconds = time.perf_counter() - start
+    if log and sizes is None:
+        sizes = sizes_of(embeddings) if "first_size" in embeddings.columns else []
+    loaded = store.load(embeddings, sizes or [])
     if log:
-        added = store.read().filter(F.col("batch") == batch).groupBy("first_size").count()
-        counts = sorted((r["first_size"] or 0, r["count"]) for r in added.collect())
-        sums = list(accumulate(n for _, n in counts))
-        lines = [(size or total, total, seconds) for (size, _), total in zip(counts, sums)]
+        found = loaded.by_size or {int(loaded.whole["n_docs"]): loaded.whole}
+        lines = [(size, int(own["n_docs"]), own["wall_clock_time"]) for size, own in sorted(found.items())]
         loads = store.spark.createDataFrame(lines, "size INT, count BIGINT, seconds DOUBLE")
         append_load_log(loads.coalesce(1), log, start=True)
-    return seconds
+    return loaded.seconds
 
 
 def ingest_sealed(
-    embeddings: DataFrame, store: SealedStore, n: int | None = None, position: str = "doc_pos", metrics: str | None = None
+    embeddings: DataFrame, store: SealedStore, n: int | None = None, position: str = "doc_pos", metrics: str | None = None,
+    sizes: list[int] | None = None, observed: str | None = None,
 ) -> bool:
     """Seal the first n documents into an empty store; a store that has rows is left as it
-    is and False returned. ``total_time`` and ``wall_clock_time`` go to the metrics."""
+    is and False returned. Per sample size, or else for all documents, ``metrics`` gets ``total_time``, the seconds that
+    the documents took their tasks, and ``wall_clock_time``; ``observed`` gets ``n_docs`` and the sum of ``embed_time``. All
+    of it is observed by the job that writes."""
     if not store.is_empty():
         return False
     start = time.perf_counter()
     if n is not None:
         embeddings = first_rows(embeddings.withColumn(position, _position(embeddings, position)), position, "doc_id", n)
     before = time.perf_counter()
-    store.add(embeddings)
-    end = time.perf_counter()
-    if metrics:
-        append_metrics(store.spark, metrics, "sealed", n, {"total_time": end - before, "wall_clock_time": end - start})
+    loaded = store.load(embeddings, sizes or [])
+    found = loaded.by_size or {int(loaded.whole["n_docs"]): loaded.whole}
+    for size, own in found.items():
+        if metrics:
+            share = own["wall_clock_time"] / loaded.seconds
+            wall = own["wall_clock_time"] + share * (before - start)
+            append_metrics(store.spark, metrics, "sealed", size, {"total_time": own["total_time"], "wall_clock_time": wall})
+        if observed:
+            append_metrics(store.spark, observed, "sealed", size, {c: own[c] for c in ("n_docs", "embed_time") if c in own})
     return True
 
 
@@ -191,8 +202,8 @@ def run_backends(
     spark = embeddings.sparkSession
     plain, sealed = PlainStore(spark, f"{path}/plain"), SealedStore(spark, f"{path}/sealed", key)
     if plain.is_empty():
-        load_plain(embeddings, plain, f"{path}/load_times")
-    ingest_sealed(embeddings, sealed, metrics=f"{path}/metrics")
+        load_plain(embeddings, plain, f"{path}/load_times", sizes)
+    ingest_sealed(embeddings, sealed, metrics=f"{path}/metrics", sizes=sizes, observed=f"{path}/observed")
     if read_or_empty(spark, f"{path}/cells/centroids", CENTROIDS).isEmpty() and not plain.is_empty():
         n_cells = n_cells or min(MOST_CELLS, math.isqrt(plain.read().count()))
         build_cells(plain.vectors(), f"{path}/cells", n_cells, mode="overwrite")
@@ -200,7 +211,7 @@ def run_backends(
         nprobe = 1
         if not plain.is_empty():
             nprobe, reached = measured_probes(queries, plain.vectors(), f"{path}/cells", k, sizes, limit)
-            append_metrics(spark, f"{path}/recall", "cells", None, {"nprobe": nprobe, "recall": reached})
+            append_metrics(spark, f"{path}/recall", "cells", max(sizes), {"nprobe": nprobe, "recall": reached})
     stored = {
         "plain": evaluate_plain(queries, plain, k, sizes, limit),
         "sealed": evaluate_sealed(queries, sealed, k, sizes, limit),
@@ -212,8 +223,10 @@ def run_backends(
         write_results(
             hits.withColumn("backend", F.lit(backend)), f"{path}/results/{backend}", asked.withColumn("backend", F.lit(backend))
         )
-        seconds = {"eval_time_sec": round(time.perf_counter() - start, 4)}
-        append_metrics(spark, f"{path}/metrics", backend, None, seconds)
+        # One job ranks all samples; a sample's time is the job's by its share of the documents.
+        seconds = time.perf_counter() - start
+        for size in sizes:
+            append_metrics(spark, f"{path}/metrics", backend, size, {"eval_time_sec": round(seconds * size / max(sizes), 4)})
     write_ids(plain.ids(), f"{path}/ids/plain")
     write_ids(sealed.ids(), f"{path}/ids/sealed")
     return reduce(DataFrame.unionByName, [read_results(spark, f"{path}/results/{b}", ", backend STRING, sample_size INT") for b in stored])

@@ -648,6 +648,28 @@ def ingest_metrics(spark, sf_dir):
     return writers.latest_metrics(spark, path).filter("value > 0").select("metric", n_docs.alias("n_docs"))
 
 
+@query
+def ingest_observed(spark, sf_dir):
+    """Rows and embedding time per sample size as the ingest itself observed them."""
+    docs = table(spark, sf_dir, "documents")
+    wanted, path = sizes(docs), new_path(spark, "observed")
+    chosen = sampling.sample_documents(docs.select("doc_id", "n_chars", F.col("text").alias("content")), good_docs(spark, sf_dir), wanted)
+    timed = embed_hashed(chosen, "content").withColumn("embed_time", F.col("n_chars") / 1000.0)
+    store = SealedStore(spark, new_path(spark, "sealed"), demo_key(spark))
+    pipeline.ingest_sealed(timed, store, sizes=wanted, observed=path)
+    return writers.latest_metrics(spark, path).select("sample_size", "metric", F.round("value", 3).alias("value"))
+
+
+@query
+def load_observed(spark, sf_dir):
+    """The load log of the plain store: a line per sample size, counted by the job that loads."""
+    docs = table(spark, sf_dir, "documents")
+    wanted, log = sizes(docs), new_path(spark, "log")
+    chosen = sampling.sample_documents(docs.select("doc_id", F.col("text").alias("content")), good_docs(spark, sf_dir), wanted)
+    pipeline.load_plain(embed_hashed(chosen, "content"), PlainStore(spark, new_path(spark, "plain")), log, wanted)
+    return readers.read_load_log(spark, log).select("size", "count")
+
+
 @query
 def skip_guard(spark, sf_dir):
     _, docs = vectors(spark, sf_dir)

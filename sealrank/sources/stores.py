@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sealrank import schemas
@@ -20,9 +21,35 @@ from sealrank.session import materialize
 from sealrank.sources.readers import read_or_empty
 
 
+class Loaded(NamedTuple):
+    """What a load observed while it wrote: its batch, its wall-clock seconds, and sums over all rows and per sample size.
+
+    The sums are ``n_docs``, ``embed_time`` and, of a sealed store, ``total_time``: the seconds its documents took their
+    tasks. All sizes are loaded by one job; ``wall_clock_time`` of a size is the job's by the size's share of the rows.
+    """
+
+    batch: str
+    seconds: float
+    whole: dict[str, float]
+    by_size: dict[int, dict[str, float]]
+
+
+SUMS = ("embed_time", "total_time")
+
+
+def _sums(columns: list[str], sizes: list[int]) -> list[Column]:
+    """Aggregates to observe: rows and sums of all rows, and of those within each sample."""
+    found = []
+    for size in (None, *sizes):
+        within = F.lit(True) if size is None else F.coalesce(F.col("first_size") <= size, F.lit(False))
+        found.append(F.count_if(within).alias(f"n_docs {size}"))
+        found += [F.sum(F.when(within, F.col(c))).alias(f"{c} {size}") for c in SUMS if c in columns]
+    return found
+
+
 def fill_defaults(df: DataFrame) -> DataFrame:
     """``doc_id, content, embedding, first_size`` with what is missing filled in: a new
-    id, the text of ``content``, ``documents`` or ``texts``, else the empty text."""
+    id, the text of ``content``, ``documents`` or ``texts``, else the empty text. ``embed_time`` is kept where there is one."""
     if "embedding" not in df.columns:
         raise ValueError("vectors are needed: embed the texts first")
     texts = [F.col(c) for c in ("content", "documents", "texts") if c in df.columns]
@@ -33,6 +60,7 @@ def fill_defaults(df: DataFrame) -> DataFrame:
         first_text(*texts).alias("content"),
         widen(F.col("embedding")).alias("embedding"),
         size.cast("int").alias("first_size"),
+        *[F.col(c) for c in df.columns if c == "embed_time"],
     )
 
 
@@ -54,9 +82,24 @@ class _Store:
 
     def _write(self, rows: DataFrame, batch: str | None) -> str:
         batch = batch or uuid.uuid4().hex
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        rows.drop(*SUMS).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return batch
 
+    def _observe(self, rows: DataFrame, batch: str | None, sizes: list[int]) -> Loaded:
+        """Write with the sums taken in the same pass."""
+        watch = Observation()
+        start = time.perf_counter()
+        batch = self._write(rows.observe(watch, *_sums(rows.columns, sizes)), batch)
+        seconds = time.perf_counter() - start
+        found = watch.get
+        n = found.get("n_docs None") or 0
+        by_size = {}
+        for size in (None, *sizes):
+            own = {name: float(found.get(f"{name} {size}") or 0) for name in ("n_docs", *SUMS) if f"{name} {size}" in found}
+            own["wall_clock_time"] = seconds * own.get("n_docs", 0) / n if n else 0.0
+            by_size[size] = own
+        return Loaded(batch, seconds, by_size.pop(None), by_size)
+
 
 def _row_key() -> Column:
     """The key of a stored row: the 64 digits of ``doc_key``, its batch, its position there."""
@@ -71,6 +114,10 @@ class PlainStore(_Store):
     def add(self, df: DataFrame, batch: str | None = None) -> str:
         return self._write(fill_defaults(df), batch)
 
+    def load(self, df: DataFrame, sizes: list[int] = (), batch: str | None = None) -> Loaded:
+        """``add`` with what it observed, also per sample size."""
+        return self._observe(fill_defaults(df), batch, list(sizes))
+
     def vectors(self) -> DataFrame:
         return self.read().select("doc_id", "embedding", "first_size")
 
@@ -97,8 +144,9 @@ class SealedStore(_Store):
     def _doc_key(self, doc_id):
         return F.sha2(doc_id, 256) if self.key is None else blind_index(doc_id, self.key)
 
-    def seal_rows(self, df: DataFrame, version) -> DataFrame:
-        packed = pack_vectors(fill_defaults(df).withColumn("pos", F.monotonically_increasing_id()))
+    def seal_rows(self, df: DataFrame, version, timed: bool = False) -> DataFrame:
+        filled = fill_defaults(df).withColumn("pos", F.monotonically_increasing_id())
+        packed = pack_vectors(filled, timed="total_time" if timed else None)
         keyed = packed.withColumn("doc_key", self._doc_key(F.col("doc_id")))
         tied = F.col("doc_key")
         return keyed.select(
@@ -109,6 +157,7 @@ class SealedStore(_Store):
             F.lit(version).cast("bigint").alias("version"),
             "pos",
             "first_size",
+            *[F.col(c) for c in packed.columns if timed and c in SUMS],
         )
 
     def add(self, df: DataFrame, batch: str | None = None, version: int | None = None) -> str:
@@ -116,6 +165,11 @@ class SealedStore(_Store):
         version = time.time_ns() // 1000 if version is None else version
         return self._write(self.seal_rows(df, version), batch)
 
+    def load(self, df: DataFrame, sizes: list[int] = (), batch: str | None = None, version: int | None = None) -> Loaded:
+        """``add`` with what it observed, also per sample size."""
+        version = time.time_ns() // 1000 if version is None else version
+        return self._observe(self.seal_rows(df, version, timed=True), batch, list(sizes))
+
     def latest(self) -> DataFrame:
         """One row per document: of the highest version, there the last one added.
 

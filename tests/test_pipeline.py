@@ -127,6 +127,42 @@ def test_load_log_without_sample_sizes(spark, path):
     assert [(r["size"], r["count"]) for r in readers.read_load_log(spark, log).collect()] == [(7, 7)]
 
 
+def test_a_load_observes_itself(spark, key, path):
+    rows = spark.range(60).select(
+        F.col("id").cast("string").alias("doc_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"),
+        F.when(F.col("id") < 10, 10).when(F.col("id") < 50, 50).alias("first_size"), F.lit(0.25).alias("embed_time"),
+    )
+    for store in (PlainStore(spark, path("p")), SealedStore(spark, path("s"), key)):
+        loaded = store.load(rows, [10, 50])
+        assert store.count() == 60 and "embed_time" not in store.read().columns
+        assert loaded.whole["n_docs"] == 60 and loaded.whole["embed_time"] == 15.0
+        assert {s: (own["n_docs"], own["embed_time"]) for s, own in loaded.by_size.items()} == {10: (10, 2.5), 50: (50, 12.5)}
+        assert loaded.by_size[10]["wall_clock_time"] == pytest.approx(loaded.seconds / 6)
+    assert 0 < loaded.by_size[10]["total_time"] < loaded.by_size[50]["total_time"] < loaded.whole["total_time"]
+
+
+def test_a_load_of_nothing_observes_nothing(spark, key, path):
+    none = spark.createDataFrame([], VECTORS)
+    for store in (PlainStore(spark, path("p")), SealedStore(spark, path("s"), key)):
+        loaded = store.load(none.repartition(3), [10])
+        assert loaded.whole["n_docs"] == 0 and loaded.by_size[10]["n_docs"] == 0
+
+
+def test_metrics_name_their_sample(spark, small, key, path, caplog):
+    place = path("run")
+    with caplog.at_level("INFO"):
+        pipeline.run_benchmark(*small, [10, 40], embed_hashed, key, place, k=3)
+    assert "40 documents, 7 judgements" in caplog.text
+    for name in ("metrics", "observed", "recall", "embeddings/counts"):
+        assert writers.latest_metrics(spark, f"{place}/{name}").filter("sample_size IS NULL").count() == 0
+    taken = writers.latest_metrics(spark, f"{place}/metrics").collect()
+    assert {(r["metric"], r["sample_size"]) for r in taken if r["backend"] == "sealed"} == {
+        (m, s) for m in ("total_time", "wall_clock_time", "eval_time_sec") for s in (10, 40)
+    }
+    observed = {(r["metric"], r["sample_size"]): r["value"] for r in writers.latest_metrics(spark, f"{place}/observed").collect()}
+    assert observed["n_docs", 10] == 10 and observed["n_docs", 40] == 40 and observed["embed_time", 40] > 0
+
+
 def test_query_limit(spark, path):
     queries = spark.createDataFrame([("b", 0, [1.0]), ("a", 1, [1.0])], "query_id STRING, query_pos BIGINT, embedding ARRAY<DOUBLE>")
     store = PlainStore(spark, path("p"))
