@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sealrank.functions import arrow
 from sealrank.functions.vectors import bind, normalize
+from sealrank.session import materialize
 
 Model = Callable[[list[str]], np.ndarray]
 
@@ -24,6 +25,9 @@ Model = Callable[[list[str]], np.ndarray]
 _TOKEN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 # Text that goes to a model at once, so that its bytes fit one Arrow array.
 BATCH_BYTES = 64 << 20
+# Rows of one text that meet its vector in one group, and a bound of the texts with more.
+PART_ROWS = 10_000
+HOT_TEXTS = 100_000
 
 
 def deal_out(df: DataFrame) -> DataFrame:
@@ -69,6 +73,31 @@ def embed(
     return df.mapInArrow(run, schema)
 
 
+def embed_distinct(
+    df: DataFrame, text: str, make_model: Callable[[], Model], batch_texts: int = 256, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """``embed`` with one call of the model per distinct text, however many rows hold it; null counts as empty.
+
+    Texts are told apart by their SHA-256, by an aggregate that combines copies before it moves them. The vectors meet
+    the rows by hash; a text with more than ``part_rows`` rows, and a share of one in ``HOT_TEXTS`` or more, meets them in
+    several parts, so that a text of a third of all rows does not end in one task. ``embed_time`` of a text is shared
+    among its rows. ``df`` is read twice: write it first where that costs much.
+    """
+    key, own = "__text_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    texts = df.groupBy(own.alias(key)).agg(F.any_value(F.coalesce(F.col(text), F.lit(""))).alias("__text"), F.count("*").alias("__rows"))
+    vectors = materialize(embed(deal_out(materialize(texts, "texts")), "__text", make_model, batch_texts).drop("__text"), "vectors")
+    n_rows = vectors.agg(F.sum("__rows")).first()[0] or 0
+    most = max(part_rows, -(-n_rows // HOT_TEXTS))
+    parts = F.ceil(F.col("__rows") / F.lit(most)).cast("int")
+    # Fewer than HOT_TEXTS texts can have that many rows each.
+    hot = F.broadcast(vectors.filter(F.col("__rows") > most).select(F.col(key).alias("__hot"), parts.alias("__parts")))
+    placed = df.withColumn(key, own).join(hot, F.col(key) == F.col("__hot"), "left")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1))).cast("int")
+    placed = placed.withColumn("__part", place).drop("__hot", "__parts")
+    dealt = vectors.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("embed_time", F.col("embed_time") / F.col("__rows"))
+    return placed.join(dealt.drop("__rows"), [key, "__part"]).select(*df.columns, "embedding", "embed_time")
+
+
 def token_counts(text: Column, width: int = 64) -> Column:
     """Counts of the alphanumeric tokens (A-Z folded, no other letters) of a text in ``width`` hash buckets.
 

@@ -278,6 +278,25 @@ SQL: dict[str, str] = {
     "ivf_two_level_recall": "WITH " + TREE + """
         SELECT h.query_id, count(ph.doc_id) / count(*) AS recall
         FROM h LEFT JOIN ph ON ph.query_id = h.query_id AND ph.doc_id = h.doc_id GROUP BY h.query_id""",
+    # Sixteen parts of four dimensions; the words of a part are those of the 64 vectors of lowest hash, in the order of ids.
+    "code_recall": "WITH " + PAIRS + """,
+        m AS (SELECT vec_id, p, u[4 * p + 1:4 * p + 4] AS x FROM u, (SELECT unnest(range(16)) AS p)),
+        w AS (SELECT vec_id AS word, p, x AS w FROM m
+              WHERE vec_id IN (SELECT vec_id FROM u ORDER BY md5('42|' || vec_id), vec_id LIMIT 64)),
+        c AS (SELECT vec_id, m.p, word FROM m JOIN w ON m.p = w.p
+              QUALIFY row_number() OVER (PARTITION BY vec_id, m.p
+                  ORDER BY round(list_inner_product(x, x) - 2 * list_inner_product(x, w) + list_inner_product(w, w), 12), word) = 1),
+        l AS (SELECT m.vec_id AS query_id, m.p, word, list_inner_product(x, w) AS part
+              FROM m JOIN w ON m.p = w.p WHERE m.vec_id % 20 = 0),
+        r AS (SELECT query_id, vec_id AS doc_id, round(sum(part), 12) AS near FROM l JOIN c ON c.p = l.p AND c.word = l.word GROUP BY ALL),
+        k AS (SELECT query_id, doc_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near DESC, doc_id) <= 100),
+        f AS (SELECT query_id, doc_id, score FROM s JOIN k USING (query_id, doc_id)
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5),
+        h AS (SELECT query_id, doc_id FROM s WHERE query_id % 20 = 0
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5)
+        SELECT h.query_id, count(f.doc_id) / count(*) AS recall, round(sum(z.total), 6) AS total
+        FROM h LEFT JOIN f USING (query_id, doc_id)
+        JOIN (SELECT query_id, sum(score) / 5 AS total FROM f GROUP BY query_id) z ON z.query_id = h.query_id GROUP BY h.query_id""",
     "ndcg_compare": "WITH " + CELLS + """,
         lh AS (SELECT h.*, CAST(q.label = d.label AS INTEGER) AS rel FROM h
                JOIN u q ON q.vec_id = h.query_id JOIN u d ON d.vec_id = h.doc_id),
@@ -323,8 +342,16 @@ SQL: dict[str, str] = {
         m AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, coalesce(r1.ndcg, 0) AS ndcg
               FROM embeddings LEFT JOIN r1 ON r1.query_id = vec_id)
         SELECT query_id, round(ndcg, 6) AS ndcg FROM m UNION ALL SELECT 'AVERAGE', round(avg(ndcg), 6) FROM m""",
+    "keyless_roundtrip": ELEMENTS,
+    "new_ids": """
+        SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) FILTER (WHERE label < 5) AS n_given FROM embeddings""",
+    "sized_files": "WITH " + SIZES + """
+        SELECT CAST(sample_size AS INTEGER) AS size, sample_size AS n_docs, (SELECT count(*) FROM benchmark) AS n_queries FROM z""",
+    "repeated_queries": "WITH " + HITS + "SELECT query_id, rank, doc_id, round(score, 6) AS score, true AS refused FROM h",
+    "embed_once": DOC_ELEMENTS,
     "stream_ingest": ELEMENTS,
     "stream_search": TOPK,
     "benchmark_sweep": benchmark_sql("bv"),
     "benchmark_limited": benchmark_sql("bv ORDER BY id LIMIT 10"),
 }
+SQL["stream_upsert"] = SQL["upsert_latest"]

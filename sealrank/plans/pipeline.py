@@ -193,12 +193,14 @@ def measured_probes(
 def run_backends(
     embeddings: DataFrame, queries: DataFrame, key: DataFrame, path: str,
     sizes: list[int], k: int = 5, limit: int | None = None, n_cells: int | None = None, nprobe: int | None = None,
+    lenient: bool = False, latest: bool = False,
 ) -> DataFrame:
     """Load and query both stores, and the cell index of the plain one, over all sample sizes.
     Writes stores, index, results, metrics, load log and id dumps under ``path``; returns the
     written hits with ``backend`` and ``sample_size``. Without ``n_cells`` the index has as many
     cells as the square root of the rows, and ``MOST_CELLS`` at most. Without ``nprobe`` as many are probed as
-    ``measured_probes`` finds; the number and its recall go to ``path``/recall."""
+    ``measured_probes`` finds; the number and its recall go to ``path``/recall. ``lenient`` and ``latest`` are those of
+    ``evaluate_sealed``."""
     spark = embeddings.sparkSession
     plain, sealed = PlainStore(spark, f"{path}/plain"), SealedStore(spark, f"{path}/sealed", key)
     if plain.is_empty():
@@ -214,7 +216,7 @@ def run_backends(
             append_metrics(spark, f"{path}/recall", "cells", max(sizes), {"nprobe": nprobe, "recall": reached})
     stored = {
         "plain": evaluate_plain(queries, plain, k, sizes, limit),
-        "sealed": evaluate_sealed(queries, sealed, k, sizes, limit),
+        "sealed": evaluate_sealed(queries, sealed, k, sizes, limit, lenient, latest),
         "cells": evaluate_cells(queries, f"{path}/cells", k, sizes, limit, nprobe),
     }
     for backend, hits in stored.items():

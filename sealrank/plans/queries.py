@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from sealrank.functions.sealing import load_key, open_text, save_key
 from sealrank.functions.text import content, first_text
 from sealrank.functions.vectors import cosine, distance, dot, l2_norm, normalize, widen
-from sealrank.operators import cell_tree, cells, evaluation, sampling, shares
-from sealrank.operators.embedding import deal_out, embed_hashed, hashed_embedding
+from sealrank.operators import cell_tree, cells, codes, evaluation, sampling, shares
+from sealrank.operators.embedding import deal_out, embed_distinct, embed_hashed, hashed_embedding, hashed_model
 from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import search, without_self
 from sealrank.operators.selection import first_rows
@@ -20,11 +20,12 @@ from sealrank.plans import pipeline
 from sealrank.session import materialize, new_path, ship_package
 from sealrank.sources import readers, writers
 from sealrank.sources.stores import PlainStore, SealedStore
-from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream
+from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream, upsert_stream
 
 K = 5
 # The vectors have little structure: twelve of sixteen cells hold 0.9 of the true neighbours, see ivf_recall.
 CELLS, PROBES = 16, 12
+CODE_PARTS, CODE_WORDS, SURVIVORS = 16, 64, 100
 TREE_CELLS, BRANCHES, BRANCH_PROBES, TREE_PROBES = 64, 8, 7, 50
 LIMIT = 10
 # Any 32 bytes do; on a cluster the caller brings a key table of their own.
@@ -226,6 +227,59 @@ def sealed_roundtrip(spark, sf_dir):
     return elements(unpack_vectors(sealed_store(spark, labelled(docs)).vectors().select("doc_id", "vector")))
 
 
+@query
+def keyless_roundtrip(spark, sf_dir):
+    """A store without a key: its columns hold plain bytes, and read back the same."""
+    _, docs = vectors(spark, sf_dir)
+    store = SealedStore(spark, new_path(spark, "open"), None)
+    store.add(labelled(docs))
+    readable = store.read().filter(F.col("id_enc").cast("string").cast("bigint").isNotNull())
+    return elements(unpack_vectors(store.vectors(readable).select("doc_id", "vector")))
+
+
+@query
+def new_ids(spark, sf_dir):
+    """Vectors of half the labels come without an id, and each gets a new one."""
+    _, docs = vectors(spark, sf_dir)
+    store = PlainStore(spark, new_path(spark, "plain"))
+    store.add(labelled(docs.withColumn("doc_id", F.when(F.col("label") < 5, F.col("doc_id")))))
+    return store.ids().agg(
+        F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"), F.count_if(F.col("doc_id").rlike("^[0-9]+$")).alias("n_given")
+    )
+
+
+@query
+def sized_files(spark, sf_dir):
+    """Embeddings of each sample in a file named after its size, and their queries beside them."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = sizes(docs)
+    sampled = sampling.sample_sweep(sampling.sample_ids(docs, good_docs(spark, sf_dir), wanted), wanted)
+    pattern = new_path(spark, "sized") + "/doc_embeddings_{size}.json"
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    counts = []
+    for size in wanted:
+        path = writers.sized_path(pattern, size)
+        writers.write_embeddings(sampled.filter(F.col("sample_size") == size).select("doc_id"), path, fmt="json")
+        writers.write_embeddings(asked, writers.query_path(path), fmt="json")
+        found = spark.read.schema("doc_id STRING").json(path).agg(F.lit(size).alias("size"), F.count("*").alias("n_docs"))
+        queries = spark.read.schema("query_id STRING").json(writers.query_path(path)).agg(F.count("*").alias("n_queries"))
+        counts.append(found.select("size", "n_docs", queries.scalar().alias("n_queries")))
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+@query
+def repeated_queries(spark, sf_dir):
+    """Queries that share an id are an error, and hits go with ids and not with positions."""
+    queries, docs = vectors(spark, sf_dir)
+    try:
+        search(queries.union(queries.filter("query_id = 1")), docs, K)
+        refused = False
+    except ValueError:
+        refused = True
+    hits = search(queries.orderBy(F.desc("query_id")), docs, K)
+    return rounded(hits).withColumn("refused", F.lit(refused))
+
+
 @query
 def sealed_docids(spark, sf_dir):
     _, docs = vectors(spark, sf_dir)
@@ -392,6 +446,12 @@ def embed_batches(spark, sf_dir):
     return elements(embed_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spread=True))
 
 
+@query
+def embed_once(spark, sf_dir):
+    """Each distinct text embedded once, its vector given to all its rows."""
+    return elements(embed_distinct(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", hashed_model(), 4096))
+
+
 @query
 def hashed_search(spark, sf_dir):
     return rounded(text_hits(spark, sf_dir))
@@ -591,6 +651,17 @@ def ivf_two_level_recall(spark, sf_dir):
     return evaluation.recall_at_k(tree_hits(spark, sf_dir), search(*vectors(spark, sf_dir), K))
 
 
+@query
+def code_recall(spark, sf_dir):
+    """Recall of the search by codes, on the queries whose ids are divisible by 20, and its hits' total score."""
+    queries, docs = vectors(spark, sf_dir)
+    asked = queries.filter("query_id % 20 = 0")
+    codes.build_codes(docs.select("doc_id", "embedding"), path := new_path(spark, "codes"), CODE_PARTS, CODE_WORDS)
+    found = materialize(codes.search_codes(asked, path, K, SURVIVORS), "found")
+    totals = found.groupBy("query_id").agg(F.round(F.sum("score"), 6).alias("total"))
+    return evaluation.recall_at_k(found, search(asked, docs, K)).join(totals, "query_id")
+
+
 @query
 def ndcg_compare(spark, sf_dir):
     """NDCG of the full search against that of the approximate one, per query and average."""
@@ -710,6 +781,23 @@ def stream_search(spark, sf_dir):
     return numbered(hits.select("query_id", "rank", "doc_id", "score"))
 
 
+@query
+def stream_upsert(spark, sf_dir):
+    """Three files of versions, one a micro-batch: all vectors, newer ones of half the labels, and older ones too late."""
+    _, docs = vectors(spark, sf_dir)
+    path = new_path(spark, "versions")
+    schema = "doc_id BIGINT, embedding ARRAY<FLOAT>, version BIGINT"
+    newer = docs.filter("label < 5").withColumn("embedding", F.reverse("embedding"))
+    late = docs.filter("label < 7").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    store = SealedStore(spark, new_path(spark, "sealed"), demo_key(spark))
+    offsets = new_path(spark, "offsets")
+    for rows, version in ((docs, 1), (newer, 3), (late, 0)):
+        rows.select("doc_id", "embedding", F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(path)
+        # Each run catches up and ends; the next one begins from the checkpoint with the state of the last.
+        upsert_stream(read_stream(spark, path, schema), store, offsets).awaitTermination()
+    return elements(unpack_vectors(store.vectors(store.latest()).select("doc_id", "vector")))
+
+
 @query
 def benchmark_sweep(spark, sf_dir):
     """Sample, embed, three backends over three sample sizes, and their NDCG report."""

@@ -47,9 +47,9 @@ def _sums(columns: list[str], sizes: list[int]) -> list[Column]:
     return found
 
 
-def fill_defaults(df: DataFrame) -> DataFrame:
+def fill_defaults(df: DataFrame, carried: tuple[str, ...] = ("embed_time",)) -> DataFrame:
     """``doc_id, content, embedding, first_size`` with what is missing filled in: a new
-    id, the text of ``content``, ``documents`` or ``texts``, else the empty text. ``embed_time`` is kept where there is one."""
+    id, the text of ``content``, ``documents`` or ``texts``, else the empty text. ``carried`` columns are kept where there are any."""
     if "embedding" not in df.columns:
         raise ValueError("vectors are needed: embed the texts first")
     texts = [F.col(c) for c in ("content", "documents", "texts") if c in df.columns]
@@ -60,7 +60,7 @@ def fill_defaults(df: DataFrame) -> DataFrame:
         first_text(*texts).alias("content"),
         widen(F.col("embedding")).alias("embedding"),
         size.cast("int").alias("first_size"),
-        *[F.col(c) for c in df.columns if c == "embed_time"],
+        *[F.col(c) for c in df.columns if c in carried],
     )
 
 
@@ -144,8 +144,12 @@ class SealedStore(_Store):
     def _doc_key(self, doc_id):
         return F.sha2(doc_id, 256) if self.key is None else blind_index(doc_id, self.key)
 
-    def seal_rows(self, df: DataFrame, version, timed: bool = False) -> DataFrame:
-        filled = fill_defaults(df).withColumn("pos", F.monotonically_increasing_id())
+    def seal_rows(self, df: DataFrame, version: int | None, timed: bool = False) -> DataFrame:
+        """The stored form. Without ``version``, rows have their own in ``version``, or else all that of the moment."""
+        carried = ("embed_time", "version") if version is None else ("embed_time",)
+        filled = fill_defaults(df, carried).withColumn("pos", F.monotonically_increasing_id())
+        moment = F.lit(time.time_ns() // 1000 if version is None else version)
+        version = F.coalesce("version", moment) if "version" in filled.columns else moment
         packed = pack_vectors(filled, timed="total_time" if timed else None)
         keyed = packed.withColumn("doc_key", self._doc_key(F.col("doc_id")))
         tied = F.col("doc_key")
@@ -154,7 +158,7 @@ class SealedStore(_Store):
             seal(F.col("doc_id"), self.key, tied).alias("id_enc"),
             seal(F.col("vector"), self.key, tied).alias("vector_enc"),
             seal(F.col("content"), self.key, tied).alias("text_enc"),
-            F.lit(version).cast("bigint").alias("version"),
+            version.cast("bigint").alias("version"),
             "pos",
             "first_size",
             *[F.col(c) for c in packed.columns if timed and c in SUMS],
@@ -162,12 +166,10 @@ class SealedStore(_Store):
 
     def add(self, df: DataFrame, batch: str | None = None, version: int | None = None) -> str:
         """Normalise, seal and append; rows without an id get a new one."""
-        version = time.time_ns() // 1000 if version is None else version
         return self._write(self.seal_rows(df, version), batch)
 
     def load(self, df: DataFrame, sizes: list[int] = (), batch: str | None = None, version: int | None = None) -> Loaded:
         """``add`` with what it observed, also per sample size."""
-        version = time.time_ns() // 1000 if version is None else version
         return self._observe(self.seal_rows(df, version, timed=True), batch, list(sizes))
 
     def latest(self) -> DataFrame:

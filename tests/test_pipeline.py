@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealrank import schemas
+from sealrank.functions.sealing import open_text
 from sealrank.functions.text import content, is_relevant
-from sealrank.operators.embedding import embed, embed_hashed, hashed_embedding, hashed_model
+from sealrank.operators.embedding import embed, embed_distinct, embed_hashed, hashed_embedding, hashed_model
 from sealrank.operators.search import search
 from sealrank.plans import pipeline
 from sealrank.sources import readers, writers
 from sealrank.sources.stores import PlainStore, SealedStore
-from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream
+from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream, upsert_stream
 
 VECTORS = "doc_id STRING, embedding ARRAY<DOUBLE>"
 TEXTS = ["The cat sat", "the CAT, the hat!", "", None, "Ünïcode naïve 42", "!!! ???", "a-b_c" * 300]
@@ -209,6 +210,80 @@ def test_stream_search_equals_batch(spark, path, vector_files):
     assert got.count() == 600 and got.exceptAll(want).count() == 0
 
 
+def test_a_stream_keeps_the_newest_versions_over_restarts(spark, key, path):
+    store, place, offsets = SealedStore(spark, path("s"), key), path("files"), path("offsets")
+    schema = "doc_id STRING, version BIGINT, embedding ARRAY<DOUBLE>, content STRING"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(place)
+        upsert_stream(read_stream(spark, place, schema), store, offsets).awaitTermination()
+        return {r["doc_id"]: r["content"] for r in read_back().collect()}
+
+    def read_back():
+        tied = F.col("doc_key")
+        return store.latest().select(
+            open_text(F.col("id_enc"), store.key, tied).alias("doc_id"), open_text(F.col("text_enc"), store.key, tied).alias("content")
+        )
+
+    assert arrive(("a", 1, [1.0], "a1"), ("b", 5, [1.0], "b5"), ("a", 2, [2.0], "a2")) == {"a": "a2", "b": "b5"}
+    assert arrive(("b", 4, [1.0], "late"), ("c", None, [1.0], "c0")) == {"a": "a2", "b": "b5", "c": "c0"}
+    before = store.count()
+    assert arrive(("a", 3, [1.0], "a3"), ("b", 5, [1.0], "b5"), ("c", 0, [1.0], "c0")) == {"a": "a3", "b": "b5", "c": "c0"}
+    assert store.count() <= before + 3
+    # Of equal versions the same one wins, whichever comes first.
+    both = [("x", 7, [1.0], "one"), ("x", 7, [1.0], "two")]
+    first = arrive(both[0])["x"], arrive(both[1])["x"]
+    other = SealedStore(spark, path("s"), key)
+    store, place, offsets = other, path("files"), path("offsets")
+    assert (arrive(both[1])["x"], arrive(both[0])["x"])[1] == first[1]
+
+
+def test_a_query_asked_twice_in_a_batch_gets_one_answer(spark, key, path):
+    schema = "query_id STRING, embedding ARRAY<DOUBLE>"
+    asked = path("asked")
+    spark.createDataFrame([("q", [1.0, 0.0]), ("q", [1.0, 0.0]), ("r", [0.0, 1.0]), ("r", [1.0, 1.0])], schema).write.parquet(asked)
+    rows = spark.createDataFrame([("d", [1.0, 0.0]), ("e", [0.0, 1.0])], VECTORS)
+    sealed, plain = SealedStore(spark, path("s"), key), PlainStore(spark, path("p"))
+    for store in (sealed, plain):
+        store.add(rows)
+    sealed.add(rows.filter("doc_id = 'd'"))
+    for store, options, n in ((plain, {}, 2), (sealed, {"latest": True, "lenient": True}, 2), (sealed, {}, 3)):
+        search_stream(read_stream(spark, asked, schema), store, 5, place := path("hits"), path("offsets"), **options).awaitTermination()
+        hits = spark.read.parquet(place).drop("batch_id").collect()
+        assert sorted((r["query_id"], r["rank"]) for r in hits) == [(q, i + 1) for q in "qr" for i in range(n)]
+
+
+def test_a_text_is_embedded_once(spark, path):
+    """A third of the rows hold one text; the model sees each distinct text once."""
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 20}" if i % 3 == 1 else None, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, body STRING, embedding_of STRING").repartition(6)
+    seen = path("seen")
+
+    def counting():
+        inner = hashed_model(8)()
+
+        def model(texts):
+            import pathlib
+            import uuid
+
+            folder = pathlib.Path(seen.removeprefix("file:"))
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / uuid.uuid4().hex).write_text("\n".join(texts))
+            return inner(texts)
+
+        return model
+
+    import pathlib
+
+    got = embed_distinct(df, "body", counting, part_rows=7).collect()
+    calls = [line for f in pathlib.Path(seen.removeprefix("file:")).iterdir() for line in f.read_text().split("\n")]
+    assert sorted(calls) == sorted({t or "" for _, t, _ in rows})
+    want = {r["doc_id"]: r["embedding"] for r in embed_hashed(df, "body", 8).collect()}
+    assert {r["doc_id"]: r["embedding"] for r in got} == want and len(got) == 300
+    assert got[0].asDict().keys() == {"doc_id", "body", "embedding_of", "embedding", "embed_time"}
+    assert embed_distinct(df.limit(0), "body", hashed_model(8)).count() == 0
+
+
 def test_first_queries_without_positions(spark):
     queries = spark.createDataFrame([("b",), ("a",), ("c",)], "query_id STRING")
     assert {r[0] for r in pipeline.first_queries(queries, 2).collect()} == {"a", "b"}
