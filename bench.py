@@ -19,14 +19,15 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 from pyspark.sql import functions as F  # noqa: E402
 
 from sealrank.functions.vectors import widen  # noqa: E402
-from sealrank.operators import cells, evaluation, shares  # noqa: E402
+from sealrank.operators import cell_tree, cells, codes, evaluation, shares  # noqa: E402
 from sealrank.operators.embedding import embed_hashed  # noqa: E402
 from sealrank.operators.search import search  # noqa: E402
 from sealrank.plans import queries as registered  # noqa: E402
-from sealrank.plans.pipeline import load_plain  # noqa: E402
+from sealrank.plans.pipeline import evaluate_sealed, load_plain  # noqa: E402
 from sealrank.session import build_session, materialize, new_path, ship_package  # noqa: E402
 from sealrank.sources.readers import read_doc_embeddings  # noqa: E402
 from sealrank.sources.stores import PlainStore, SealedStore  # noqa: E402
+from sealrank.sources.writers import write_json_arrays  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -34,7 +35,7 @@ RUNS = 2
 # The published load times are of model vectors; this width stands for theirs.
 WIDE = 1024
 # Steps that take long run once to warm up and once for the time.
-LONG = ("load_wide_json", "load_wide_json_array", "load_wide_json_50k")
+LONG = ("load_wide_json", "load_wide_json_array", "load_wide_json_50k", "load_wide_json_array_50k", "load_wide_json_array_100k")
 
 
 def drain(df) -> None:
@@ -58,6 +59,9 @@ def main() -> None:
     sealed.add(wide)
     index = new_path(spark, "cells")
     cells.build_cells(docs, index, 32)
+    tree, coded = new_path(spark, "tree"), new_path(spark, "codes")
+    cell_tree.build_tree(docs, tree, 64)
+    codes.build_codes(docs, coded, 16, 64)
     split = [materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1)]
     n_docs = texts.count()
 
@@ -73,9 +77,13 @@ def main() -> None:
     wide_records(1).write.json(lines)
     wide_records(5).write.json(more)
     # One array in one file, as the published loads read it.
-    array = new_path(spark, "bench-array")
-    with_commas = spark.read.text(lines).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
-    with_commas.write.text(array)
+    arrays = {copies: new_path(spark, "bench-array") for copies in (1, 5, 10)}
+    for copies, place in arrays.items():
+        rows = wide_records(copies).select(F.to_json(F.struct("doc_id", "content", "embedding")).alias("value"))
+        write_json_arrays(rows.coalesce(1), place)
+
+    def load_array(copies: int):
+        return load_plain(read_doc_embeddings(spark, arrays[copies], "json_array"), PlainStore(spark, new_path(spark, "plain")))
 
     def records():
         return read_doc_embeddings(spark, embedded, "json")
@@ -84,12 +92,18 @@ def main() -> None:
         "load_plain_json": lambda: load_plain(records(), PlainStore(spark, new_path(spark, "plain"))),
         "load_sealed_json": lambda: SealedStore(spark, new_path(spark, "sealed"), key).add(records()),
         "load_wide_json": lambda: load_plain(read_doc_embeddings(spark, lines, "json"), PlainStore(spark, new_path(spark, "plain"))),
-        "load_wide_json_array": lambda: load_plain(read_doc_embeddings(spark, array, "json_array"), PlainStore(spark, new_path(spark, "plain"))),
+        "load_wide_json_array": lambda: load_array(1),
+        "load_wide_json_array_50k": lambda: load_array(5),
+        "load_wide_json_array_100k": lambda: load_array(10),
         "load_wide_json_50k": lambda: load_plain(read_doc_embeddings(spark, more, "json"), PlainStore(spark, new_path(spark, "plain"))),
         "exact_topk": lambda: drain(search(asked, plain.vectors(), 5)),
         "sealed_topk": lambda: drain(search(asked, sealed.vectors(), 5)),
         "ivf_topk": lambda: drain(cells.search_cells(asked, index, 5, 8)),
         "ivf_probe_topk": lambda: drain(cells.search_cells(asked, index, 5, 8, exact=False)),
+        "ivf_tree_topk": lambda: drain(cell_tree.search_tree(asked, tree, 5, 4, 16)),
+        "code_topk": lambda: drain(codes.search_codes(asked, coded, 5, 100)),
+        "sealed_hits": lambda: drain(evaluate_sealed(asked, sealed, 5, texts=True)),
+        "exact_topk_blocks": lambda: drain(search(asked, plain.vectors(), 5, query_rows=256)),
         "share_topk": lambda: drain(shares.search_shares(asked, *split, 5)),
         "ndcg_report": lambda: drain(evaluation.ndcg_report(registered.label_hits(spark, SF_DIR), 5)),
         "embed_batches": lambda: drain(embed_hashed(texts, "content", spread=True)),

@@ -315,6 +315,14 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, doc_id) AS INTEGER) AS rank,
                doc_id, round(CAST(dot AS DOUBLE) / 1152921504606846976.0, 6) AS score
         FROM s QUALIFY rank <= 5""",
+    "share_probe_topk": "WITH " + CELLS + """,
+        z AS MATERIALIZED (SELECT vec_id, list_transform(u, lambda x: CAST(round(x * 1073741824) AS BIGINT)) AS z FROM u),
+        d AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+                     list_sum(list_transform(list_zip(q.z, d.z), lambda p: p[1]::HUGEINT * p[2])) AS dot
+              FROM z q JOIN p ON p.query_id = q.vec_id JOIN a ON a.cell = p.cell JOIN z d ON d.vec_id = a.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, doc_id) AS INTEGER) AS rank,
+               doc_id, round(CAST(dot AS DOUBLE) / 1152921504606846976.0, 6) AS score
+        FROM d QUALIFY rank <= 5""",
     "load_log_format": "WITH l AS (" + LOADS + """)
         SELECT printf('[%d] count=%d, time=%.2fs', CAST(size AS BIGINT), count, CAST(seconds AS DOUBLE)) AS value FROM l""",
     "load_log_parse": "WITH l AS (" + LOADS + """)

@@ -689,6 +689,15 @@ def share_topk(spark, sf_dir):
     return rounded(shares.search_shares(queries, first, second, K))
 
 
+@query
+def share_probe_topk(spark, sf_dir):
+    """Share tables laid out by cell: only the documents of the probed cells are scored."""
+    queries, docs = vectors(spark, sf_dir)
+    path = new_path(spark, "share-cells")
+    shares.build_share_cells(docs, demo_key(spark), path, CELLS)
+    return rounded(shares.search_share_cells(queries, path, K, PROBES))
+
+
 # Runs
 
 

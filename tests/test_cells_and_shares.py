@@ -194,3 +194,36 @@ def test_share_search_keeps_copies(spark, key):
     assert shares.join_shares(*split).count() == 11
     plan = shares.search_shares(asked, *split, 5)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_shares_by_cell(skewed, key, path, spark, monkeypatch):
+    queries, docs = skewed
+    shares.build_share_cells(docs, key, place := path("shares"), 12)
+    both = [shares.share_table(spark, place, holder) for holder in (0, 1)]
+    back = {r["doc_id"]: r["embedding"] for r in shares.join_shares(*both).collect()}
+    assert len(back) == docs.count()
+    want, got = rows(search(queries, docs, 5)), rows(shares.search_share_cells(queries, place, 5, 12))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-8)
+    found = rows(shares.search_share_cells(queries, place, 5, 4))
+    hit = {(q, round(s, 6)) for q, _, _, s in found}
+    assert sum((q, round(s, 6)) in hit for q, _, _, s in want) >= 0.9 * len(want)
+    cut = shares.query_block
+    monkeypatch.setattr(shares, "query_block", lambda q: cut(q, rows=10))
+    monkeypatch.setattr(shares, "QUERY_ROWS", 10)
+    assert rows(shares.search_share_cells(queries, place, 5, 4)) == found
+    assert shares.search_share_cells(queries.limit(0), place, 5, 4).count() == 0
+
+
+def test_only_probed_cells_are_scored(skewed, key, path, spark):
+    """A holder returns a row per document of the probed cells, and reads no other folder."""
+    queries, docs = skewed
+    shares.build_share_cells(docs, key, place := path("shares"), 12)
+    block, table = shares.query_block(queries.filter("query_id = 3")), shares.share_table(spark, place, 0)
+    sizes = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}
+    for nprobe in (1, 3, 12):
+        look = shares.queries_of_cells(block, cells.read_cells(spark, place), nprobe)
+        scored = shares.score_share(block, table.filter(F.col("cell").isin(list(look))), look)
+        assert scored.count() == sum(sizes[c] for c in look) and len(look) == min(nprobe, len(sizes))
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
