@@ -26,7 +26,7 @@ from sealrank.operators.selection import first_rows, hash_rank, smallest
 from sealrank.session import materialize
 from sealrank.sources.readers import read_or_empty, read_results, read_table
 from sealrank.sources.stores import PlainStore, SealedStore
-from sealrank.sources.writers import append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
+from sealrank.sources.writers import append_all_metrics, append_load_log, append_metrics, write_embeddings, write_ids, write_ndcg, write_results
 
 LOG = logging.getLogger(__name__)
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -108,13 +108,15 @@ def ingest_sealed(
     before = time.perf_counter()
     loaded = store.load(embeddings, sizes or [])
     found = loaded.by_size or {int(loaded.whole["n_docs"]): loaded.whole}
-    for size, own in found.items():
-        if metrics:
-            share = own["wall_clock_time"] / loaded.seconds
-            wall = own["wall_clock_time"] + share * (before - start)
-            append_metrics(store.spark, metrics, "sealed", size, {"total_time": own["total_time"], "wall_clock_time": wall})
-        if observed:
-            append_metrics(store.spark, observed, "sealed", size, {c: own[c] for c in ("n_docs", "embed_time") if c in own})
+    if metrics:
+        walls = {size: own["wall_clock_time"] * (1 + (before - start) / loaded.seconds) for size, own in found.items()}
+        append_all_metrics(store.spark, metrics, {
+            ("sealed", size): {"total_time": own["total_time"], "wall_clock_time": walls[size]} for size, own in found.items()
+        })
+    if observed:
+        append_all_metrics(store.spark, observed, {
+            ("sealed", size): {c: own[c] for c in ("n_docs", "embed_time") if c in own} for size, own in found.items()
+        })
     return True
 
 
@@ -219,6 +221,7 @@ def run_backends(
         "sealed": evaluate_sealed(queries, sealed, k, sizes, limit, lenient, latest),
         "cells": evaluate_cells(queries, f"{path}/cells", k, sizes, limit, nprobe),
     }
+    taken = {}
     for backend, hits in stored.items():
         start = time.perf_counter()
         asked = first_queries(queries, limit).select("query_id", F.explode(F.array(*map(F.lit, sizes))).alias("sample_size"))
@@ -227,8 +230,8 @@ def run_backends(
         )
         # One job ranks all samples; a sample's time is the job's by its share of the documents.
         seconds = time.perf_counter() - start
-        for size in sizes:
-            append_metrics(spark, f"{path}/metrics", backend, size, {"eval_time_sec": round(seconds * size / max(sizes), 4)})
+        taken |= {(backend, size): {"eval_time_sec": round(seconds * size / max(sizes), 4)} for size in sizes}
+    append_all_metrics(spark, f"{path}/metrics", taken)
     write_ids(plain.ids(), f"{path}/ids/plain")
     write_ids(sealed.ids(), f"{path}/ids/sealed")
     return reduce(DataFrame.unionByName, [read_results(spark, f"{path}/results/{b}", ", backend STRING, sample_size INT") for b in stored])

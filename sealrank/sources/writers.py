@@ -95,7 +95,12 @@ def append_metrics(
     spark: SparkSession, path: str, backend: str, sample_size: int | None, values: dict[str, float]
 ) -> None:
     """Add one row per metric; nothing is overwritten and the latest value wins on read."""
-    rows = [(backend, sample_size, name, float(value)) for name, value in values.items()]
+    append_all_metrics(spark, path, {(backend, sample_size): values})
+
+
+def append_all_metrics(spark: SparkSession, path: str, found: dict[tuple[str, int | None], dict[str, float]]) -> None:
+    """``append_metrics`` of several backends and sample sizes in one write."""
+    rows = [(backend, size, name, float(value)) for (backend, size), values in found.items() for name, value in values.items()]
     frame = spark.createDataFrame(rows, "backend STRING, sample_size INT, metric STRING, value DOUBLE")
     frame.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
