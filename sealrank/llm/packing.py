@@ -9,9 +9,10 @@ which has ``capacity`` entries whatever the corpus holds. Its outcome is a list
 pieces of length l, those ranked r .. r+n go to sequences s .. s+n at offset o". Each piece finds
 its run from its rank, in its own task. No piece visits the driver.
 
+Ids are those that the vocabulary file gives by itself: the name of a special token in a text is its id.
+
 Defined cases: a null text is empty and yields one piece holding id 0; repeated rows are packed
-as often as they come; the name of a special token in a text is ordinary text; an empty table gives
-no rows; other columns are ignored.
+as often as they come; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from sealrank.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
+SPECIAL = "<|endoftext|>"
+SPECIAL_ID = 50256
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # White space of this length goes to the slower library: the faster one backtracks over it and
 # runs out of stack at about a million characters.
@@ -50,25 +53,23 @@ def encoding(path: str = RANKS) -> tiktoken.Encoding:
     """The byte-level BPE of ``byte_bpe_50k.json`` from its rank file: the same ids, a third of the time."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
 @functools.cache
 def vocabulary(path: str) -> Tokenizer:
-    """The vocabulary file itself; names of special tokens are ordinary text in it."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def encoder(ranks: str = RANKS) -> Callable[[str], list[int]]:
     """Ids of a text of any form; the vocabulary file lies beside its rank file."""
-    plain, beside = encoding(ranks).encode_ordinary, str(pathlib.Path(ranks).with_suffix(".json"))
+    faster, special = encoding(ranks), {SPECIAL}
+    beside = str(pathlib.Path(ranks).with_suffix(".json"))
 
     def encode(text: str) -> list[int]:
         if len(text) > 10_000 and LONG_SPACE.search(text):
             return vocabulary(beside).encode(text, add_special_tokens=False).ids
-        return plain(text)
+        return faster.encode(text, allowed_special=special) if SPECIAL in text else faster.encode_ordinary(text)
 
     return encode
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -54,12 +55,13 @@ def test_ids_are_those_of_the_vocabulary_file(given_docs):
 
 def test_ids_of_long_white_space_and_names_of_special_tokens():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for space in (" " * 1_000_000, "\n" * 1_000_000, " \t" * 5_000):
         for text in (space, f"a{space}b", f"a <|endoftext|>{space}"):
             assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
     short = "a" + " " * 9_999 + "b <|endoftext|> c"
-    assert packing.encoder()(short) == tokenizer.encode(short, add_special_tokens=False).ids
+    for text in (short, "a<|endoftext|>b", " <|endoftext|>  x", "<|endof<|endoftext|>text|>", "<|endoftext|>" * 3):
+        assert packing.encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()("a<|endoftext|>b") == [64, 50256, 65]
 
 
 @pytest.mark.parametrize("which", ["edge_docs", "given_docs"])
@@ -512,6 +514,29 @@ def test_addresses_beside_letters_of_any_script(spark, text):
     assert [r["n_edits"] for r in token_counts.count_after_edits(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [1]
 
 
+def test_masks_are_those_of_the_plain_patterns():
+    plain_masks = re.compile(r"([a-zA-Z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})|(\b\d{1,3}(?:\.\d{1,3}){3}\b)|(\+?\d[\d ()-]{7,}\d)", re.ASCII)
+    rng = np.random.default_rng(5)
+    texts = ["a@b.com_x@d.org", "1.2.3.4%x@d.org", "1.2.3.4.5.6.7.8@a.bc", "a@b.c", "1" + "-" * 30 + "2x@y.zz"]
+    texts += ["".join(rng.choice(list("ab1.@-_ +2\u00e9"), 60, p=[0.15, 0.1, 0.2, 0.2, 0.1, 0.05, 0.05, 0.03, 0.02, 0.05, 0.05])) for _ in range(20_000)]
+    for text in texts:
+        found = [(*m.span(), token_counts.MASKS[m.lastindex - 1][1]) for m in plain_masks.finditer(text)]
+        assert token_counts.mask_edits(text) == found, text
+        assert not found or re.search(token_counts.ANY_MASK, text, re.ASCII)
+
+
+def test_masks_of_long_words_take_linear_time(spark):
+    texts = ["a" * 1_000_000, "1." * 500_000, "1.2.3.4%" * 125_000, "aB3+" * 250_000, "1" + " " * 1_000_000]
+    start = time.monotonic()
+    found = [len(token_counts.mask_edits(text)) for text in texts]
+    assert found == [0, 125_000, 125_000, 0, 0] and time.monotonic() - start < 5
+    docs = spark.createDataFrame([(text,) for text in texts], "text string").coalesce(1).cache()
+    docs.count()
+    start = time.monotonic()
+    assert docs.where(docs["text"].rlike(token_counts.ANY_MASK)).count() == 2 and time.monotonic() - start < 5
+    docs.unpersist()
+
+
 def test_any_edit_anywhere():
     encode = packing.encoder()
     rng = np.random.default_rng(3)
