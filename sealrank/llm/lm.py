@@ -4,7 +4,7 @@ P(word | history) = P(class | history) * P(sub-class | class, history) * P(word
 is a function of a word's last two letters, so that unseen words have one too, and the sub-class one of
 the whole word; the end of a text is class 0. The first two factors are softmaxes of log-linear models
 over hashed features. The class reads the word before, the two words before, the second and the third
-word back (skips), and two pairs of earlier classes; the sub-class reads the first four of these
+word back (skips), and two pairs of earlier classes; the sub-class reads the first three of these
 together with the class. In a sub-class a word has its relative frequency. An absolute discount moves
 mass to the unseen words of a class, which count as one word beside its sub-classes.
 
@@ -12,7 +12,7 @@ Training. Word counts are summed over all training texts in one grouped aggregat
 then see every training text once, in ``ROUNDS`` rounds over disjoint parts: a task starts from the
 common weights, takes AdaGrad steps on mini-batches of its texts, and sends its change per block
 of rows; the changes are averaged by how often each row was touched. Both softmaxes share a table of
-rows that grows with the corpus, as the cube root of its tokens (``rows_for``): 16 MB at 0.5 GB of
+rows that grows with the corpus, as the cube root of its tokens (``rows_for``): 8 MB at 0.5 GB of
 text, 32 MB at 30 GB, 512 MB at 100 TB, which bounds what is broadcast and what a round sends to the driver. Training tasks are merged where their changes would outweigh what they read.
 
 Scoring works on sparse batches: a token is ten row numbers, and its logits are sums of rows.
@@ -44,15 +44,15 @@ from sealrank.llm.words import chunks, mix, slices, texts_of
 CLASSES = 16
 SUBS = 16
 FEATURES = 6
-SUB_FEATURES = 4
+SUB_FEATURES = 3
 # Words before a token that its features look at.
 HISTORY = 4
-LEAST_ROWS = 1 << 18
+LEAST_ROWS = 1 << 17
 ROWS_FACTOR = 256
 BLOCK_ROWS = 256
 ROUNDS = 3
 # Tokens of one training step, and of one scoring batch, whose arrays stay in a core's cache.
-STEP_TOKENS = 1024
+STEP_TOKENS = 4096
 BATCH_TOKENS = 4096
 CHUNK_BYTES = 1 << 18
 PIECE_BYTES = 1 << 20
@@ -163,7 +163,7 @@ class Tokens:
         words = [w1, mix(w1) + w2, w2, w3]
         own = self._classes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         kinds = [*words, c[0] * wide + c[1], c[2] * wide + c[3]]
-        return rows(kinds, 0), rows([values + own for values in words], FEATURES)
+        return rows(kinds, 0), rows([values + own for values in words[:SUB_FEATURES]], FEATURES)
 
 
 def token_runs(texts: list[bytes], limit: int) -> Iterator[tuple[int, int, Tokens]]:
@@ -249,7 +249,7 @@ class Steps:
         rows = len(model.weights)
         self.model = model._replace(weights=model.weights.copy())
         self.squares, self.touched = np.full(rows, 1e-6, np.float32), np.zeros(rows, np.float32)
-        self._mark, self._place = np.zeros(rows, bool), np.empty(rows, np.int64)
+        self._mark, self._place = np.zeros(rows, bool), np.empty(rows, np.int32)
 
     def step(self, rows: np.ndarray, bias: np.ndarray, targets: np.ndarray) -> None:
         """One step on the rows of some tokens towards their targets."""
@@ -266,7 +266,8 @@ class Steps:
         for i, column in enumerate(error.T):
             change[:, i] = np.bincount(at, weights=np.tile(column, len(rows)), minlength=len(used))
         self.squares[used] += np.einsum("ij,ij->i", change, change) / CLASSES
-        weights[used] -= RATE * change / np.sqrt(self.squares[used])[:, None]
+        change *= (RATE / np.sqrt(self.squares[used]))[:, None]
+        weights[used] -= change
         self.touched[used] += np.bincount(at, minlength=len(used))
 
     def learn(self, found: Tokens) -> None:
