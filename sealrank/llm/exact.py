@@ -1,16 +1,19 @@
 """Exact deduplication through an extendible-hash index in shared files.
 
-1. Equal texts meet in a grouped aggregate whose key is the text itself, so Spark compares bytes.
-   Copies collapse in the task that reads them, which leaves no hot group for the shuffle.
-2. The index has one entry per distinct text: its 64-bit key, digest, surviving row and group size.
-   Entries whose keys collide form a chain and are told apart by digest and length.
-3. The directory maps slots, the leading bits of the key, to buckets. It starts at depth 0 and is
-   doubled while a bucket holds more than ``bucket_rows`` entries; a bucket that fits keeps its depth
-   and is shared by all slots below it.
-4. Buckets are written in ranges, one range of keys to each owner task. Every document then probes
-   the bucket of its own key.
-
-Only DataFrame operations are used.
+1. Every row becomes (key, doc_id, digest, length): the key is a 64-bit hash of the text. These rows are
+   written; texts stay where they are.
+2. The directory maps slots, the leading bits of a key, to buckets. It starts at the depth at which
+   buckets could fit and is doubled while a bucket holds more than ``bucket_rows`` keys; a bucket that
+   fits keeps its depth and is shared by all slots below it.
+3. Keys are inserted into their buckets. A key of one row is an entry as it is. The texts of a key with
+   several rows follow it into the bucket and are compared there, byte by byte: each different text is a
+   link of the key's chain, with its surviving row and its number of rows. A task that reads copies sends
+   their text once, so a text on a third of all rows is no hot group.
+4. Buckets are written in ranges, one range of keys to each owner task. Every row then looks up its
+   bucket, its key and, in a chain, its link.
+
+A text whose key no other row has is never shuffled while the shared keys are few enough to be broadcast
+(Spark decides); beyond, texts move once to be told apart. Only DataFrame operations are used.
 
 Defined cases: null text equals empty text; the row with the largest doc_id stays; rows that
 repeat id and text are one document and share its fate; a null doc_id never wins against another
@@ -25,13 +28,21 @@ from pyspark.sql import functions as F
 from sealrank.llm.tables import lower_ascii
 from sealrank.session import materialize
 
-# Entries an index bucket may hold before the directory is doubled for it.
+# Keys an index bucket may hold before the directory is doubled for it.
 BUCKET_ROWS = 50_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = lower_ascii(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", text.alias("body")).withColumn("key", F.xxhash64("body"))
+def _key(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    body = lower_ascii(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", body.alias("body")).withColumn("key", _key(F.col("body")))
+
+
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
 
 
 def _slot(key: Column, depth: int) -> Column:
@@ -45,10 +56,10 @@ def _fullest(entries: DataFrame, depth: int) -> int:
 
 
 def build_directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """(slot, local_depth, bucket) of every used slot, and the directory's depth.
+    """(slot, local_depth, bucket) of every used slot, and the directory's depth. ``entries`` has different keys.
 
     Doubling ends at 40 bits, or earlier when no bucket is overfull; keys are mixed 64-bit
-    hashes of distinct texts, so a bucket that still overflows then only makes a longer chain.
+    hashes, so a bucket that still overflows then is only a larger one.
     """
     # A directory of fewer slots than full buckets has an overfull one, so it is doubled past those unseen.
     entries_found = entries.count()
@@ -66,32 +77,48 @@ def build_directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple
     return found.select("slot", F.col("b.local_depth").alias("local_depth"), bucket.alias("bucket")), depth
 
 
-def build_index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """The index in shared files, its directory and the directory's depth."""
-    texts = _keyed(docs).groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = materialize(
-        texts.select("key", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("n_bytes"), "keep_id", "group_size"),
-        "exact-entries",
-    )
-    directory, depth = build_directory(entries, bucket_rows)
+def _in_buckets(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their key."""
+    slots = directory.select(F.col("slot").alias("__slot"), "bucket")
+    return rows.join(slots, _slot(F.col("key"), depth) == F.col("__slot")).drop("__slot")
+
+
+def build_index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The rows (doc_id, key, digest, n_bytes), the index in shared files, its directory and the directory's depth.
+
+    An index entry is (bucket, key, chain, digest, n_bytes, keep_id, group_size); the digest and length of a key
+    with one row are null, since nothing is to be told apart.
+    """
+    rows = materialize(_bodies(docs).select("doc_id", "key", _digest(F.col("body")).alias("digest"), F.octet_length("body").alias("n_bytes")), "exact-rows")
+    keys = materialize(rows.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "exact-keys")
+    directory, depth = build_directory(keys, bucket_rows)
     directory = materialize(directory, "exact-directory")
-    owned = entries.withColumn("slot", _slot(F.col("key"), depth)).join(directory, "slot").drop("slot", "local_depth")
+    owned = _in_buckets(keys, directory, depth)
+    single = owned.where("n = 1").select(
+        "bucket", "key", F.lit(1).alias("chain"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n_bytes"),
+        "keep_id", F.col("n").alias("group_size"),
+    )
+    shared = owned.where("n > 1").select("bucket", "key")
+    texts = _bodies(docs).join(shared, "key")
+    links = texts.groupBy("bucket", "key", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    links = links.select("bucket", "key", _digest(F.col("body")).alias("digest"), F.octet_length("body").alias("n_bytes"), "keep_id", "group_size")
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest", "n_bytes"))
-    index = owned.withColumn("chain", chain).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    return materialize(index, "exact-index"), directory, depth
+    entries = single.unionByName(links.withColumn("chain", chain))
+    index = entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    return rows, materialize(index, "exact-index"), directory, depth
 
 
 def dedup_exact(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index, directory, depth = build_index(docs, bucket_rows)
-    rows = _keyed(docs).select(
-        "doc_id", "key", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("n_bytes"), _slot(F.col("key"), depth).alias("slot")
+    rows, index, directory, depth = build_index(docs, bucket_rows)
+    link = index.select(
+        F.col("bucket").alias("__b"), F.col("key").alias("__k"), F.col("digest").alias("__digest"), F.col("n_bytes").alias("__n"), "keep_id", "group_size"
     )
-    probes = rows.join(directory.select("slot", "bucket"), "slot")
-    found = probes.join(index, ["bucket", "key", "digest", "n_bytes"])
+    same = F.col("__digest").isNull() | ((F.col("__digest") == F.col("digest")) & (F.col("__n") == F.col("n_bytes")))
+    found = _in_buckets(rows, directory, depth).join(link, (F.col("bucket") == F.col("__b")) & (F.col("key") == F.col("__k")) & same)
     return found.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 

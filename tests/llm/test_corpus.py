@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
@@ -434,13 +435,47 @@ def test_exact_with_small_buckets(edge_docs, bucket_rows):
 
 
 def test_directory_doubles_until_buckets_fit(edge_docs, given_docs):
-    index, directory, depth = exact.build_index(given_docs, 100)
+    _, index, directory, depth = exact.build_index(given_docs, 100)
     sizes = index.groupBy("bucket").count().toPandas()["count"]
     assert depth > 3 and sizes.max() <= 100
     local = directory.toPandas()
     assert local["local_depth"].min() <= depth and local.groupby("bucket")["local_depth"].nunique().max() == 1
 
 
+def coarse_key(body):
+    """A key of three bits, so that different texts share their keys."""
+    return F.shiftleft(F.pmod(F.xxhash64(body), F.lit(8)), 61)
+
+
+def test_texts_of_one_key_are_told_apart_in_its_chain(given_docs, monkeypatch):
+    texts = given_docs.limit(300).select("doc_id", "text")
+    docs = texts.unionByName(texts.where("doc_id % 3 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.upper("text").alias("text")))
+    want = rows_of(exact.dedup_exact(docs))
+    monkeypatch.setattr(exact, "_key", coarse_key)
+    _, index, _, _ = exact.build_index(docs, 2)
+    assert index.agg(F.max("chain")).first()[0] > 20
+    assert rows_of(exact.dedup_exact(docs, 2)) == want
+
+
+def test_rows_answer_through_directory_and_buckets(given_docs, monkeypatch):
+    docs = given_docs.select("doc_id", "text")
+    build = exact.build_directory
+
+    def one_bucket_lost(entries, bucket_rows):
+        directory, depth = build(entries, bucket_rows)
+        return directory.where(F.col("bucket") != directory.agg(F.min("bucket")).first()[0]), depth
+
+    _, index, _, _ = exact.build_index(docs, 100)
+    lost = index.join(index.agg(F.min("bucket").alias("bucket")), "bucket").agg(F.sum("group_size")).first()[0]
+    monkeypatch.setattr(exact, "build_directory", one_bucket_lost)
+    assert exact.dedup_exact(docs, 100).count() == docs.count() - lost
+
+
+def test_only_texts_of_shared_keys_enter_the_index_with_their_bytes(edge_docs):
+    _, index, _, _ = exact.build_index(edge_docs, 3)
+    assert index.where("(group_size = 1) != (digest IS NULL)").isEmpty()
+
+
 def test_native_operators_run_no_python(given_docs):
     for df in (exact.dedup_exact(given_docs), lines.drop_lines(given_docs, "source")):
         plan = df._jdf.queryExecution().executedPlan().toString()
