@@ -50,6 +50,7 @@ HISTORY = 4
 LEAST_ROWS = 1 << 18
 ROWS_FACTOR = 256
 BLOCK_ROWS = 256
+BATCH_BLOCKS = 64
 ROUNDS = 3
 # Tokens of one training step, and of one scoring batch, whose arrays stay in a core's cache.
 STEP_TOKENS = 4096
@@ -58,7 +59,7 @@ CHUNK_BYTES = 1 << 18
 PIECE_BYTES = 1 << 20
 LONG_WORD = 1 << 16
 RATE = 0.3
-LEXICON = 1 << 17
+LEXICON = 1 << 20
 HELD_OUT_OF = 10
 BASE_ADD = 0.1
 _SPACE = re.compile(rb"[\x09-\x0d ]")
@@ -249,7 +250,7 @@ class Steps:
         rows = len(model.weights)
         self.model = model._replace(weights=model.weights.copy())
         self.squares, self.touched = np.full(rows, 1e-6, np.float32), np.zeros(rows, np.float32)
-        self._mark, self._place = np.zeros(rows, bool), np.empty(rows, np.int32)
+        self._mark, self._place = np.zeros(rows, bool), np.empty(rows, np.int64)
 
     def step(self, rows: np.ndarray, bias: np.ndarray, targets: np.ndarray) -> None:
         """One step on the rows of some tokens towards their targets."""
@@ -263,11 +264,12 @@ class Steps:
         self._place[used] = np.arange(len(used))
         at = self._place[flat]
         change = np.empty((len(used), error.shape[1]), np.float32)
-        for i, column in enumerate(error.T):
+        for i, column in enumerate(error.T.astype(np.float64)):
             change[:, i] = np.bincount(at, weights=np.tile(column, len(rows)), minlength=len(used))
-        self.squares[used] += np.einsum("ij,ij->i", change, change) / CLASSES
-        change *= (RATE / np.sqrt(self.squares[used]))[:, None]
-        weights[used] -= change
+        squares = self.squares[used] + np.einsum("ij,ij->i", change, change) / CLASSES
+        self.squares[used] = squares
+        change *= (RATE / np.sqrt(squares))[:, None]
+        weights[used] = np.subtract(np.take(weights, used, axis=0, mode="clip"), change, out=change)
         self.touched[used] += np.bincount(at, minlength=len(used))
 
     def learn(self, found: Tokens) -> None:
@@ -286,14 +288,14 @@ def _local_changes(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[
     for batch in slices(batches):
         for _, _, tokens in token_runs(texts_of(batch.column("text")), CHUNK_BYTES):
             steps.learn(tokens)
-    for start in range(0, len(model.weights), BLOCK_ROWS):
-        part = slice(start, start + BLOCK_ROWS)
-        touched = steps.touched[part]
-        if touched.any():
-            change = (steps.model.weights[part] - model.weights[part]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([start // BLOCK_ROWS], pa.int32()), pa.array([change.tobytes()]), pa.array([touched.tobytes()])], ["block", "change", "touched"]
-            )
+    blocks = np.flatnonzero(steps.touched.reshape(-1, BLOCK_ROWS).any(axis=1))
+    for start in range(0, len(blocks), BATCH_BLOCKS):
+        own, parts = blocks[start : start + BATCH_BLOCKS], ([], [])
+        for block in own:
+            part = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+            parts[0].append((steps.model.weights[part] - model.weights[part]).astype(np.float16).tobytes())
+            parts[1].append(steps.touched[part].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *map(pa.array, parts)], ["block", "change", "touched"])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,11 +379,15 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
         for batch in slices(batches):
             for a, b, found in token_runs(texts_of(batch.column("text")), CHUNK_BYTES):
                 of_class, of_sub = np.log10(model.chances(found))
-                at = np.minimum(np.searchsorted(lex_hash, found.hashes), max(0, len(lex_hash) - 1))
-                known = lex_hash[at] == found.hashes if len(lex_hash) else np.zeros(len(of_class), bool)
-                c = lex_count[at] if len(lex_hash) else np.zeros(len(of_class))
-                base = np.where(known, np.log10(c + BASE_ADD), 0.0)
-                own = of_class + np.where(known, of_sub + np.log10(np.maximum(c - discount, 1e-9)) - log_group[found.groups], 0.0)
+                # Each different word is looked up once.
+                words, place = np.unique(found.hashes, return_inverse=True)
+                at = np.minimum(np.searchsorted(lex_hash, words), max(0, len(lex_hash) - 1))
+                in_lexicon = lex_hash[at] == words if len(lex_hash) else np.zeros(len(words), bool)
+                c = np.where(in_lexicon, lex_count[at] if len(lex_hash) else 0.0, 1.0)
+                known = in_lexicon[place]
+                base = np.where(in_lexicon, np.log10(c + BASE_ADD), 0.0)[place]
+                in_group = np.log10(np.maximum(c - discount, 1e-9))[place] - log_group[found.groups]
+                own = of_class + np.where(known, of_sub + in_group, 0.0)
                 starts = found.bounds[:-1]
                 rare = np.flatnonzero(~known)
                 splits = np.searchsorted(rare, found.bounds)
