@@ -11,13 +11,14 @@ to the word: the last block of the last epoch is cut. A source's remainder of fe
 block comes last in each epoch.
 
 All numbering is done in hash buckets (``tables.running``), so a source with a third of all words
-is no group of its own. The table of sources is bounded (``MAX_SOURCES``), because a shard draws
-from all of them; the documents, blocks and draws are never gathered. Everything follows from
-``seed`` and the rows, so reruns agree.
+is no group of its own. A shard draws down a tree of sources, so there may be any number of them;
+sources, documents, blocks and draws are never gathered. Everything follows from ``seed`` and the
+rows, so reruns agree.
 
 Defined cases: a null text has no words; null is a source of its own and comes last; a document
 without words is never taken; repeated rows are taken independently; no words at all make all
-targets zero; an empty table gives no rows; clashing column names are kept by ``mixed_documents``.
+targets zero; an empty table gives no rows; bytes that are not UTF-8 become U+FFFD;
+``mixed_documents`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ MAX_EPOCHS = 2
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 1024
 SEED = 20_240_101
-MAX_SOURCES = 1 << 20
+# Children of a node in the tree of sources that shards draw from.
+FAN_OUT = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,29 +97,43 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _draws(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
-    """(shard, src, n): multinomial source counts of each shard."""
+    """(shard, src, n): multinomial source counts of each shard.
+
+    Sources are leaves of a tree in which a node has at most ``FAN_OUT`` children. A multinomial over all
+    sources is one over the root's children, then one within each child that got any, and so on down, so no
+    task holds more than the children of a node.
+    """
     spark = sources.sparkSession
-    n_sources = sources.count()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"a shard draws from at most {MAX_SOURCES} sources")
-    table = sources.select("src", "slots").where("slots > 0").orderBy("src").toPandas()
-    total = int(table["slots"].sum())
-    shards = -(-total // shard_blocks)
-    schema = "shard long, src long, n long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((table["src"].to_numpy(), table["slots"].to_numpy() / total))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src, weights = shared.value
+    slotted = sources.select("src", "slots").where("slots > 0")
+    total, last = slotted.agg(F.sum("slots"), F.max("src")).first()
+    if not total:
+        return spark.createDataFrame([], "shard long, src long, n long")
+    levels = 1
+    while FAN_OUT**levels <= last:
+        levels += 1
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
-                size = min(shard_blocks, total - shard * shard_blocks)
-                n = np.random.default_rng([seed, int(shard)]).multinomial(size, weights)
-                got = n > 0
-                yield pd.DataFrame({"shard": np.int64(shard), "src": src[got], "n": n[got].astype(np.int64)})
-
-    return spark.range(shards).mapInPandas(draw, schema)
+            parts = []
+            for level, shard, node, n, children, sizes in batch.itertuples(index=False):
+                children, sizes = np.asarray(children, np.int64), np.asarray(sizes, np.float64)
+                took = np.random.default_rng([seed, level, shard, node]).multinomial(n, sizes / sizes.sum())
+                got = took > 0
+                parts.append(pd.DataFrame({"shard": np.int64(shard), "node": children[got], "n": took[got].astype(np.int64)}))
+            if parts:
+                yield pd.concat(parts)
+
+    size = F.least(F.lit(shard_blocks).cast("long"), F.lit(total) - F.col("id") * shard_blocks)
+    draws = spark.range(-(-total // shard_blocks)).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), size.alias("n"))
+    for level in reversed(range(levels)):
+        width = F.lit(FAN_OUT**level)
+        below = slotted.groupBy(F.floor(F.col("src") / width).alias("child")).agg(F.sum("slots").alias("size"))
+        # At most FAN_OUT children a node.
+        nodes = below.groupBy(F.floor(F.col("child") / FAN_OUT).alias("node")).agg(F.sort_array(F.collect_list(F.struct("child", "size"))).alias("c"))
+        nodes = nodes.select("node", F.col("c.child").alias("children"), F.col("c.size").alias("sizes"))
+        rows = draws.join(nodes, "node").select(F.lit(level).alias("level"), "shard", "node", "n", "children", "sizes")
+        draws = rows.mapInPandas(split, "shard long, node long, n long")
+    return draws.select("shard", F.col("node").alias("src"), "n")
 
 
 def _units(df: DataFrame, first: Column, n: Column, name: str, *columns: Column | str) -> DataFrame:
@@ -225,21 +241,21 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_block
     spans = _taken_spans(placed, slots, block_words).groupBy("src", "at", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
     named = placed.where("size > 0").select("src", "at", F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("source").alias("__s"))
     own = spans.join(named, ["src", "at"]).select("__d", "__t", "__s", "__spans")
-    texts = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    texts = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"))
     texts = texts.dropDuplicates(["doc_id", "source", "__th"])
     joined = texts.join(own, texts["doc_id"].eqNullSafe(own["__d"]) & (texts["__th"] == own["__t"]) & texts["source"].eqNullSafe(own["__s"]))
-    joined = joined.drop("__d", "__t", "__s", "__th")
+    joined = joined.select("__row", "__spans", F.col("__row.text").alias("text"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lists = batch.column("__spans").to_pylist()
-            texts = [_cut(text.decode(), [(s["lo"], s["hi"]) for s in spans]) for text, spans in zip(texts_of(batch.column("text")), lists)]
+            texts = [_cut(text.decode("utf-8", "replace"), [(s["lo"], s["hi"]) for s in spans]) for text, spans in zip(texts_of(batch.column("text")), lists)]
             own = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                own["n_chars"] = pa.array(list(map(len, texts)), pa.int64()).cast(batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(
-                [own[name].cast(batch.column(name).type) if name in own else batch.column(name) for name in names], names
-            )
+                own["n_chars"] = pa.array(list(map(len, texts)), pa.int64())
+            fields = dict(zip(names, batch.column("__row").flatten()))
+            yield pa.RecordBatch.from_arrays([own[name].cast(field.type) if name in own else field for name, field in fields.items()], names)
 
     return joined.mapInArrow(run, docs.schema)
