@@ -7,12 +7,14 @@ fitting moves no text. Tasks take AdaGrad steps and their weights are averaged,
 
 Sites. The evidence of all documents is summed per host and per path. A host's rate is shrunk
 towards the global rate, a path's towards its host's, as a Beta prior does:
-(strength * prior + sum) / (strength + n). Each strength comes from the data by moments, so that it
-is large where groups differ little. A document's posterior odds are its own odds times
-the odds of its path over the global odds.
+(strength * prior + sum) / (strength + n). Each strength comes from the data by moments, hosts measured
+around the global rate and paths around their host's, so that it is large where groups of one parent
+differ little. A document's posterior odds are its own odds times the odds of its path, counted without
+that document, over the global odds.
 
 Groups are sums with map-side combining, so a host with a third of all documents is one row per
-task. Scores are written once; the texts are read twice and never shuffled.
+task. Scores are written once; the texts are read twice and never shuffled. The sample's features are
+written once for all rounds.
 
 Defined cases: a null host or path is a group of its own; a null text has the features of an empty
 one; null or repeated labels are dropped or averaged; without labels every score is 0.5 before
@@ -67,12 +69,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _steps(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fits the task's labelled texts, one at a time; yields changed rows: row, touched, and a change per kind."""
+    """Fits the features of the task's labelled texts, one text at a time; yields changed rows: row, touched, and a change per kind."""
     own, squares = weights.copy(), np.full(weights.shape, 1e-3)
     touched = np.zeros(1 << BITS)
-    for batch in slices(batches):
-        # The bounded sample's features, not its texts, are what the epochs go over.
-        rows, bounds = features(texts_of(batch.column("text")))
+    for batch in batches:
+        lists = batch.column("rows")
+        bounds = np.asarray(lists.offsets)
+        rows, bounds = np.asarray(lists.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
         labels = np.stack([np.asarray(batch.column(kind)) for kind in KINDS])
         for _ in range(EPOCHS):
             for i in range(batch.num_rows):
@@ -87,6 +90,14 @@ def _steps(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(touched[used]), *map(pa.array, change)], ["row", "touched", *KINDS])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of labelled texts."""
+    for batch in slices(batches):
+        rows, bounds = features(texts_of(batch.column("text")))
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rows.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([lists, *(batch.column(kind) for kind in KINDS)], ["rows", *KINDS])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (kind, feature) from at most about ``fit_rows`` labelled documents."""
     spark = docs.sparkSession
@@ -97,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
     if n > fit_rows and sample.count() > 2 * fit_rows:
         raise ValueError("the hash of the ids is too uneven to draw a bounded sample")
     # Bounded by 2 * fit_rows narrow rows.
-    drawn = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", *KINDS), "labelled")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", *KINDS)
+    drawn = written(drawn.mapInArrow(_rows, "rows array<int>, " + ", ".join(f"{kind} double" for kind in KINDS)), "labelled")
     weights = np.zeros((len(KINDS), 1 << BITS))
     for _ in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast(weights)
@@ -133,19 +145,24 @@ def evidence(docs: DataFrame, host: str, path: str, weights: np.ndarray) -> Data
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, host {kinds['host']}, path {kinds['path']}, " + ", ".join(f"{kind} double" for kind in KINDS))
 
 
-def _strengths(groups: DataFrame, rates: dict[str, float]) -> dict[str, float]:
-    """By moments: how many documents the prior of a group weighs, per kind."""
-    aggs = []
+def _strengths(groups: DataFrame) -> dict[str, float]:
+    """By moments: how many documents the prior of a group weighs, per kind.
+
+    ``groups`` has n and sum_kind of each group, and of_n and of_kind, number and rate of the documents of the
+    group above it. Groups of one parent scatter around its rate, of which they are a part themselves: that takes
+    a share n / of_n of a group's noise, and of the spread, away.
+    """
+    n, rest = F.col("n"), 1 - F.col("n") / F.col("of_n")
+    aggs = [F.sum("n").alias("n"), F.sum(n * rest).alias("free")]
     for kind in KINDS:
-        mean = F.col(f"sum_{kind}") / F.col("n")
-        aggs.append(F.sum(F.col("n") * (mean - rates[kind]) ** 2).alias(kind))
-    row = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), *aggs).first()
+        rate = F.col(f"of_{kind}")
+        aggs.append(F.sum(n * (F.col(f"sum_{kind}") / n - rate) ** 2).alias(f"spread_{kind}"))
+        aggs += [F.sum(rate * (1 - rate) * rest).alias(f"chance_{kind}"), F.sum(n * rate * (1 - rate)).alias(f"noise_{kind}")]
+    row = groups.agg(*aggs).first()
     out = {}
     for kind in KINDS:
-        noise = rates[kind] * (1 - rates[kind])
-        n, g = row["n"] or 0, row["g"] or 0
-        between = ((row[kind] or 0) - g * noise) / n if n else 0
-        out[kind] = float(np.clip(noise / between - 1, 1, 1e6)) if between > 0 else 1e6
+        between = (row[f"spread_{kind}"] - row[f"chance_{kind}"]) / row["free"] if row["n"] and row["free"] > 1e-9 * row["n"] else 0.0
+        out[kind] = float(np.clip(row[f"noise_{kind}"] / row["n"] / between - 1, 1, 1e6)) if between > 0 else 1e6
     return out
 
 
@@ -162,18 +179,26 @@ def classify(docs: DataFrame, labels: DataFrame, host: str, path: str, fit_rows:
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"sum_{kind}").alias(f"sum_{kind}") for kind in KINDS]), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"sum_{kind}").alias(kind) for kind in KINDS]).first()
     rates = {kind: min(max((total[kind] or 0) / max(1, total["n"] or 0), 1e-6), 1 - 1e-6) for kind in KINDS}
-    by_host, by_path = _strengths(hosts, rates), _strengths(paths, rates)
+    whole = [F.lit(total["n"] or 0).alias("of_n"), *(F.lit(rates[kind]).alias(f"of_{kind}") for kind in KINDS)]
+    by_host = _strengths(hosts.select("*", *whole))
     hosts = hosts.select(
-        F.col("host").alias("__host"),
+        F.col("host").alias("__host"), F.col("n").alias("of_n"), *[(F.col(f"sum_{kind}") / F.col("n")).alias(f"of_{kind}") for kind in KINDS],
         *[((F.lit(by_host[kind] * rates[kind]) + F.col(f"sum_{kind}")) / (F.lit(by_host[kind]) + F.col("n"))).alias(f"host_{kind}") for kind in KINDS],
     )
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host")))
-    paths = paths.select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), *[f"host_{kind}" for kind in KINDS],
-        *[((F.lit(by_path[kind]) * F.col(f"host_{kind}") + F.col(f"sum_{kind}")) / (F.lit(by_path[kind]) + F.col("n"))).alias(f"path_{kind}") for kind in KINDS],
-    )
+    paths = written(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host"), "shrunk")
+    by_path = _strengths(paths)
+
+    def path_rate(kind: str, own: Column | float, rows: int) -> Column:
+        """A path's rate without ``own``, the sum of as many ``rows``."""
+        prior = F.lit(by_path[kind])
+        return (prior * F.col(f"host_{kind}") + F.col(f"sum_{kind}") - own) / (prior + F.col("n") - rows)
+
+    paths = paths.withColumnsRenamed({"host": "__host", "path": "__path"})
     found = scores.join(paths, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")))
-    posterior = {kind: 1 / (1 + F.exp(-(_logit(F.col(kind)) + _logit(F.col(f"path_{kind}")) - _logit(F.lit(rates[kind]))))) for kind in KINDS}
+    found = found.select("*", *[path_rate(kind, F.lit(0.0), 0).alias(f"path_{kind}") for kind in KINDS])
+    # A document's own evidence is in its odds already, so it is taken out of its path's rate.
+    others = {kind: path_rate(kind, F.col(kind), 1) for kind in KINDS}
+    posterior = {kind: 1 / (1 + F.exp(-(_logit(F.col(kind)) + _logit(others[kind]) - _logit(F.lit(rates[kind]))))) for kind in KINDS}
     return found.select(
         "doc_id", posterior["quality"].alias("p_quality"), posterior["toxic"].alias("p_toxic"),
         *[f"{level}_{kind}" for level in ("host", "path") for kind in KINDS],
