@@ -39,6 +39,12 @@ SYMBOLS = frozenset("#*$%&|<>")
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies",
     "enable javascript", "click here", "sign up for our newsletter", "lorem ipsum", "powered by wordpress",
+    "tous droits réservés", "conditions d'utilisation", "conditions générales d'utilisation", "politique de confidentialité", "accepter les cookies",
+    "activer javascript", "cliquez ici", "inscrivez-vous à notre newsletter", "mentions légales",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "javascript aktivieren",
+    "klicken sie hier", "newsletter abonnieren",
+    "todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad", "política de cookies",
+    "aceptar cookies", "active javascript", "haga clic aquí", "suscríbete a nuestro boletín", "aviso legal",
 )
 
 JUDGED = (
@@ -168,7 +174,10 @@ def clean(docs: DataFrame, max_loss: int = MAX_LOSS_PERCENT) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{phrase}')" for phrase in BOILERPLATE)
+_PHRASES = " OR ".join("contains(lower(line), '{}')".format(phrase.replace("'", "''")) for phrase in BOILERPLATE)
+
+# White space as the pattern of the code knows it.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 ORACLE_SQL = rf"""
 WITH d AS (
@@ -186,11 +195,11 @@ WITH d AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
 ), j AS (
   SELECT doc_id, line, len(lw) AS n,
-         NOT regexp_matches(line, '[.!?…]["''”’»)\]]*(\s|$)')
+         NOT regexp_matches(line, '[.!?…]["''”’»)\]]*({_SPACE}|$)|[。！？｡．।॥؟۔။።፧።។៕]')
          OR 10 * len(list_filter(lw, lambda x: x IN ('|', '>', '<', '»', '«', '•', '·', '/', '-'))) >= len(lw)
          OR len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= len(lw)
          OR (len(lw) >= 3 AND 2 * len(list_filter(lw, lambda x: x = upper(x) AND x <> lower(x))) > len(lw))
-         OR {_PHRASES} AS failed
+         OR (len(lw) <= {PHRASE_WORDS} AND ({_PHRASES})) AS failed
   FROM l WHERE len(lw) > 0
 ), s AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
