@@ -15,7 +15,8 @@ hot host at run time. Texts are cut where they are read.
 Only DataFrame operations are used.
 
 Defined cases: a null host is a host of its own; a null text has no lines and stays null; a row
-that repeats another is a page of its own; an empty table gives no rows; other columns are kept.
+that repeats another is a page of its own; an empty table gives no rows; other columns are kept,
+whatever their names, but the two counts of ``drop_lines`` replace columns of their names.
 """
 
 from __future__ import annotations
@@ -58,15 +59,18 @@ def drop_lines(
 ) -> DataFrame:
     """All pages without their host's boilerplate; adds n_lines, n_dropped_lines."""
     lists = materialize(boilerplate(pages, host, max_ratio, min_pages, copies_once), "boilerplate")
-    joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
-    lines = F.split("text", "\n", -1)
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    rows = pages.select(F.struct(*pages.columns).alias("__page"), F.col(host).alias("__of"), F.col("text").alias("__text"))
+    joined = rows.join(lists, F.col("__of").eqNullSafe(F.col("__host")), "left")
+    lines = F.split("__text", "\n", -1)
     stay = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains("__drop", _line_key(line)))
     stay = F.when(F.col("__drop").isNull(), lines).otherwise(stay)
     out = joined.withColumn("__stay", stay)
-    text = F.when(F.size("__stay") == F.size(lines), F.col("text")).otherwise(F.array_join("__stay", "\n"))
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    n_stay = F.coalesce(F.when(F.col("text").isNotNull(), F.size("__stay")), F.lit(0)).cast("long")
-    columns = [text.alias("text") if name == "text" else F.col(name) for name in pages.columns]
+    text = F.when(F.size("__stay") == F.size(lines), F.col("__text")).otherwise(F.array_join("__stay", "\n"))
+    n_lines = F.coalesce(F.when(F.col("__text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
+    n_stay = F.coalesce(F.when(F.col("__text").isNotNull(), F.size("__stay")), F.lit(0)).cast("long")
+    names = [name for name in pages.columns if name not in ("n_lines", "n_dropped_lines")]
+    columns = [text.alias("text") if name == "text" else F.col("__page").getField(name).alias(name) for name in names]
     return out.select(*columns, n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_dropped_lines"))
 
 
@@ -80,18 +84,22 @@ def clean_pages(pages: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_p
 
 
 ORACLE_SQL = f"""
-WITH l AS (
-  SELECT doc_id, source, i, ls[i] AS line, trim(ls[i], ' ') AS k
-  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i
-        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))
-), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (
+  SELECT rid, source, i, ls[i] AS line, trim(ls[i], ' ') AS k
+  FROM (SELECT rid, source, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT rid, source, string_split(text, chr(10)) AS ls FROM d))
+), p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 b AS (
-  SELECT source, k FROM (SELECT DISTINCT doc_id, source, k FROM l WHERE k <> '') JOIN p USING (source)
-  GROUP BY source, k, pages HAVING count(*) >= {MIN_PAGES} AND count(*) > pages * {MAX_RATIO}::DOUBLE
+  SELECT u.source, k FROM (SELECT DISTINCT rid, source, k FROM l WHERE k <> '') u JOIN p ON u.source IS NOT DISTINCT FROM p.source
+  GROUP BY u.source, k, pages HAVING count(*) >= {MIN_PAGES} AND count(*) > pages * {MAX_RATIO}::DOUBLE
 ), m AS (
-  SELECT l.*, b.k IS NOT NULL AS dropped FROM l LEFT JOIN b ON l.source = b.source AND l.k = b.k
+  SELECT l.*, b.k IS NOT NULL AS dropped FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k
+), t AS (
+  SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
+         count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped_lines
+  FROM m GROUP BY rid
 )
-SELECT doc_id, source, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
-       count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped_lines
-FROM m GROUP BY doc_id, source
+SELECT doc_id, source, t.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped_lines, 0) AS n_dropped_lines
+FROM d LEFT JOIN t USING (rid)
 """
