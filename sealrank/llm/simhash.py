@@ -216,12 +216,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     def held(rows: DataFrame, stay: DataFrame) -> DataFrame:
         return rows.join(stay, rows["doc_id"].eqNullSafe(stay["__keep"]) & (rows["__th"] == stay["__kept"]), "left_semi")
 
-    rows = docs.withColumn("__th", F.xxhash64("text"))
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", F.xxhash64("text").alias("__th"))
     several = stay.where("__n > 1")
     if several.isEmpty():
-        return held(rows, stay).drop("__th")
-    once = held(rows, several).dropDuplicates(["doc_id", "__th"])
-    return held(rows, stay.where("__n = 1")).unionByName(once).drop("__th")
+        found = held(rows, stay)
+    else:
+        once = held(rows, several).dropDuplicates(["doc_id", "__th"])
+        found = held(rows, stay.where("__n = 1")).unionByName(once)
+    return found.select(*[F.col("__row").getField(name).alias(name) for name in docs.columns])
 
 
 def digests(groups: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ pair of anchor and window hash.
 
 Defined cases: a null text has no words. Rows that repeat id and text are one document, so neither
 repeats the other. Rows of one id with different texts are documents of their own, ordered by the
-text's hash; a null id comes first. An empty table gives no rows; other columns are ignored.
+text's hash; a null id comes first. Bytes that are not UTF-8 count as they are and become U+FFFD
+in the kept text. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealrank.llm.tables import written
-from sealrank.llm.words import chain_hashes, chunks, covered, gram_hashes, hash_words, mix, slices, texts_of
+from sealrank.llm.words import chain_hashes, chunks, covered, gram_hashes, hash_words, mix, slices, strings, texts_of
 
 LENGTH = 20
 PREFIX = 8
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), pa.array(digests),
-                    pa.array(kept, pa.binary()).cast(pa.string()), pa.array(numbers[:, 2]), pa.array(numbers[:, 3]),
+                    strings(kept), pa.array(numbers[:, 2]), pa.array(numbers[:, 3]),
                 ],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "n_repeats", "longest_repeat"],
             )

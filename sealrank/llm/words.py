@@ -26,6 +26,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [text or b"" for text in column.cast(kind).to_pylist()]
 
 
+def strings(texts: list[bytes]) -> pa.Array:
+    """The texts as strings; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return pa.array(texts, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([text.decode("utf-8", "replace") for text in texts], pa.string())
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes together; a longer text stands alone."""
     start = size = 0
