@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -643,3 +644,128 @@ def test_pipeline_equals_its_plain_form(spark, given_docs):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(found[columns].itertuples(index=False)) == sorted(whole[columns].itertuples(index=False))
     assert found.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+# Cases of several operators
+
+
+NOT_UTF8 = "CAST(unhex('61FF62') AS STRING)"
+
+
+def test_texts_that_are_not_utf8_are_answered(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", f"concat({NOT_UTF8}, repeat(' word', 5 + CAST(id AS INT)), ' tail') AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    found = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
+    assert [found[i]["n_words"] for i in range(3)] == [7, 8, 9] and found[0]["kept_text"].startswith("a�b word")
+    mixed = mixing.mixed_documents(docs).collect()
+    assert mixed and all(set(r["text"].split()) <= {"a�b", "word", "tail"} for r in mixed)
+
+
+def test_columns_keep_their_values_whatever_their_names(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    docs = spark.createDataFrame(
+        [(i, t, "s", 7, i + 50, "a", "b", "c", [1]) for i, t in enumerate(texts)],
+        "doc_id long, text string, source string, __th int, n_lines long, __keep string, __d string, __stay string, __spans array<int>",
+    )
+    for found in (simhash.near_dedup(docs), mixing.mixed_documents(docs), lines.clean_pages(docs, "source")):
+        assert found.columns == docs.columns
+        for row in found.collect():
+            assert row[3:] == (7, row["doc_id"] + 50, "a", "b", "c", [1])
+    counted = lines.drop_lines(docs, "source")
+    assert counted.columns.count("n_lines") == 1 and {r["n_lines"] for r in counted.collect()} == {1}
+
+
+def sql_rows(df, sql):
+    connection = duckdb.connect()
+    connection.register("documents", df.toArrow())
+    return connection.execute(sql).df()
+
+
+def test_rules_and_their_sql_agree_on_hard_lines(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [
+        f"{long} privacy policy {long}.", "See our privacy policy.\n" + long + ".", "Lisez la politique de confidentialité.\n" + long + ".",
+        "Conditions d'utilisation du site.\n" + long + ".", "这是一个句子。后面还有一句话没有空格\n" + long + ".", "यह एक वाक्य है। और\n" + long + ".", "نص عربي؟\n" + long + ".",
+        "one two. three\n" + long + ".", "one two.three\n" + long + ".", None, "", "\n\n",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rules.judge(docs).toPandas()
+    assert difference(found, sql_rows(docs, rules.ORACLE_SQL)) is None
+    failed = dict(zip(found["doc_id"], found["n_failed_lines"]))
+    assert [failed[i] for i in range(9)] == [0, 1, 1, 1, 0, 0, 0, 0, 1]
+
+
+def test_lines_and_their_sql_agree_on_nulls(spark):
+    rows = [(i, f"menu\nline {i}", None) for i in range(5)] + [(9, None, None), (10, None, "s"), (None, "menu", None)] + [(i, f"menu\nown {i}", "s") for i in range(20, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = lines.drop_lines(docs, "source").toPandas()
+    assert difference(found, sql_rows(docs, lines.ORACLE_SQL)) is None
+    assert len(found) == len(rows) and not found["text"].fillna("").str.contains("menu").any()
+
+
+@pytest.mark.parametrize("n_sources", [3, 64, 65, 5_000])
+def test_shards_draw_from_any_number_of_sources(spark, n_sources):
+    slots = [i % 7 + 1 for i in range(n_sources)]
+    sources = spark.createDataFrame(list(enumerate(slots)), "src long, slots long")
+    found, again = (mixing._draws(sources, 100, 5).toPandas().sort_values(["shard", "src"], ignore_index=True) for _ in range(2))
+    assert found.equals(again) and not found.duplicated(["shard", "src"]).any()
+    sizes = found.groupby("shard")["n"].sum()
+    assert (sizes.iloc[:-1] == 100).all() and sizes.sum() == sum(slots)
+    # Sources are drawn by weight: the heavier half gets its share of all draws.
+    heavy = sum(s for s in slots if s > 4)
+    assert abs(found.loc[found["src"] % 7 >= 4, "n"].sum() - heavy) <= 6 * math.sqrt(sum(slots))
+
+
+def plain_strength(groups):
+    """``groups``: (sum, n, rate of the parent, n of the parent)."""
+    free = sum(n * (1 - n / of) for _, n, _, of in groups)
+    total = sum(n for _, n, _, _ in groups)
+    if free <= 1e-9 * total:
+        return 1e6
+    between = (sum(n * (s / n - r) ** 2 for s, n, r, _ in groups) - sum(r * (1 - r) * (1 - n / of) for _, n, r, of in groups)) / free
+    noise = sum(n * r * (1 - r) for _, n, r, _ in groups) / total
+    return min(max(noise / between - 1, 1), 1e6) if between > 0 else 1e6
+
+
+def plain_posteriors(rows):
+    """Per row of (host, path, p): rate of its host, rate of its path, posterior."""
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for host, path, p in rows:
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    rate = sum(p for _, _, p in rows) / len(rows)
+    strength = plain_strength([(sum(v), len(v), rate, len(rows)) for v in hosts.values()])
+    host_rate = {h: (strength * rate + sum(v)) / (strength + len(v)) for h, v in hosts.items()}
+    below = plain_strength([(sum(v), len(v), sum(hosts[h]) / len(hosts[h]), len(hosts[h])) for (h, _), v in paths.items()])
+    odds = lambda p: p / (1 - p)
+    out = []
+    for host, path, p in rows:
+        own = paths[host, path]
+        path_rate = (below * host_rate[host] + sum(own)) / (below + len(own))
+        others = (below * host_rate[host] + sum(own) - p) / (below + len(own) - 1)
+        post = odds(p) * odds(others) / odds(rate)
+        out.append((host_rate[host], path_rate, post / (1 + post)))
+    return out, below
+
+
+def classified(spark, monkeypatch, rows):
+    scores = spark.createDataFrame([(i, h, p, s, 1 - s) for i, (h, p, s) in enumerate(rows)], "doc_id long, host string, path string, quality double, toxic double")
+    monkeypatch.setattr(quality, "fit", lambda *_: None)
+    monkeypatch.setattr(quality, "evidence", lambda *_: scores)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    return quality.classify(scores, empty, "host", "path").toPandas().sort_values("doc_id")
+
+
+def test_rates_and_posteriors_equal_their_plain_form(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"h{h}", f"p{p}", float(np.clip(rng.normal(0.2 + 0.1 * h, 0.1), 0.02, 0.98))) for h in range(6) for p in range(5) for _ in range(1 + 7 * (h + p) % 9)]
+    rows += [(None, None, 0.7), (None, "p0", 0.4)]
+    want, _ = plain_posteriors(rows)
+    found = classified(spark, monkeypatch, rows)
+    np.testing.assert_allclose(found[["host_quality", "path_quality", "p_quality"]].to_numpy(), np.array(want), rtol=1e-9)
+
+
+def test_paths_are_measured_around_their_host(spark, monkeypatch):
+    rows = [(h, f"p{i % 50}", p) for h, p in (("good", 0.9), ("bad", 0.1)) for i in range(200)]
+    _, below = plain_posteriors(rows)
+    found = classified(spark, monkeypatch, rows)
+    assert below == 1e6 and np.allclose(found["path_quality"], found["host_quality"], atol=1e-5)
