@@ -46,8 +46,8 @@ def _digest(body: Column) -> Column:
 
 
 def _slot(key: Column, depth: int) -> Column:
-    """The leading ``depth`` bits of the key."""
-    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+    """The leading ``depth`` bits of the key, at most 63. In two shifts, since a shift by 64 is none."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 63 - depth), 1)
 
 
 def _fullest(entries: DataFrame, depth: int) -> int:
@@ -98,7 +98,8 @@ def build_index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFr
         "bucket", "key", F.lit(1).alias("chain"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n_bytes"),
         "keep_id", F.col("n").alias("group_size"),
     )
-    shared = owned.where("n > 1").select("bucket", "key")
+    # Written, so that Spark knows its size when it chooses whether texts have to move to it.
+    shared = materialize(owned.where("n > 1").select("bucket", "key"), "exact-shared")
     texts = _bodies(docs).join(shared, "key")
     links = texts.groupBy("bucket", "key", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     links = links.select("bucket", "key", _digest(F.col("body")).alias("digest"), F.octet_length("body").alias("n_bytes"), "keep_id", "group_size")
