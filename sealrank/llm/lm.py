@@ -59,7 +59,7 @@ CHUNK_BYTES = 1 << 18
 PIECE_BYTES = 1 << 20
 LONG_WORD = 1 << 16
 RATE = 0.3
-LEXICON = 1 << 20
+LEXICON = 1 << 17
 HELD_OUT_OF = 10
 BASE_ADD = 0.1
 _SPACE = re.compile(rb"[\x09-\x0d ]")
