@@ -227,3 +227,26 @@ def test_only_probed_cells_are_scored(skewed, key, path, spark):
         assert scored.count() == sum(sizes[c] for c in look) and len(look) == min(nprobe, len(sizes))
         plan = scored._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
+
+
+def test_answers_of_the_holders_do_not_go_through_the_driver(skewed, key, path):
+    """Spark takes a holder's answer for as small as its share table; it must not broadcast it all the same."""
+    queries, docs = skewed
+    first, second = (materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1))
+    shares.build_share_cells(docs, key, place := path("shares"), 12)
+    for found in (shares.search_shares(queries, first, second, 3), shares.search_share_cells(queries, place, 3, 4)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    block = shares.query_block(queries)
+    many = shares.reconstruct_hits(block, shares.score_share(block, first), shares.score_share(block, second), 3, n_scores=shares.PART_BYTES * 2)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many) == rows(shares.search_shares(queries, first, second, 3))
+
+
+@pytest.mark.parametrize("width", [1, 64, 300, 3000, 70_000])
+def test_modular_product_of_any_width(width):
+    """Where residues are largest and all of one sign."""
+    for prime in shares.PRIMES:
+        a = np.array([[prime - 1] * width, [prime // 2] * width, [prime // 2 + 1] * width])
+        want = [[int(x) * int(y) * width % prime for y in a[:, 0]] for x in a[:, 0]]
+        assert shares._product_mod(a, a, prime).tolist() == want
