@@ -20,7 +20,7 @@ from sealrank.plans import pipeline
 from sealrank.session import materialize, new_path, ship_package
 from sealrank.sources import readers, writers
 from sealrank.sources.stores import PlainStore, SealedStore
-from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream, upsert_stream
+from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream, table_stream, upsert_stream
 
 K = 5
 # The vectors have little structure: twelve of sixteen cells hold 0.9 of the true neighbours, see ivf_recall.
@@ -772,7 +772,7 @@ def backend_compare(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    raw = read_stream(spark, sf_dir, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT", "embeddings.parquet")
+    raw = table_stream(spark, f"{sf_dir}/embeddings.parquet", "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     store = SealedStore(spark, new_path(spark, "sealed"), demo_key(spark))
     rows = raw.select(F.col("vec_id").alias("doc_id"), "embedding")
     ingest_stream(rows, store, new_path(spark, "offsets")).awaitTermination()
@@ -781,7 +781,7 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_search(spark, sf_dir):
-    raw = read_stream(spark, sf_dir, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT", "embeddings.parquet")
+    raw = table_stream(spark, f"{sf_dir}/embeddings.parquet", "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     store = PlainStore(spark, new_path(spark, "plain"))
     store.add(labelled(vectors(spark, sf_dir)[1]))
     asked, path = raw.select(F.col("vec_id").alias("query_id"), "embedding"), new_path(spark, "answers")

@@ -25,6 +25,13 @@ def read_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*.p
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of a Parquet table that is one file or a folder of part files."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # A glob of one name; Spark takes a path without one for a folder.
+    return read_stream(spark, f"{folder}/{{{name}}}", schema)
+
+
 def ingest_stream(vectors: DataFrame, store: PlainStore | SealedStore, checkpoint: str, name: str = "stream", trigger: dict | None = None) -> StreamingQuery:
     """Append a stream of ``doc_id, embedding[, content]`` to a store.
 

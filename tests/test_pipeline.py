@@ -319,3 +319,16 @@ def test_both_forms_fold_only_ascii(spark):
     df = spark.createDataFrame([("\u0130stanbul KELVIN \u212a \u00c9t\u00c9",)], "t STRING")
     plain = df.select(hashed_embedding(F.col("t")).alias("e")).first()["e"]
     assert np.allclose(plain, embed_hashed(df, "t").first()["embedding"])
+
+
+def test_streams_read_tables_of_part_files(spark, tmp_path):
+    """A table may be a folder of part files, as well as one file."""
+    from sealrank.plans.queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
+    table.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits, stored = QUERIES["stream_search"](spark, str(tmp_path)), QUERIES["stream_ingest"](spark, str(tmp_path))
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, QUERIES["exact_topk"](spark, str(tmp_path)).collect()))
+    assert hits.count() == 150 and stored.count() == 120
