@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from sealrank.functions import arrow
 from sealrank.functions.vectors import widen
-from sealrank.operators.cells import FOLDER, FOLDER_BITS, GROUP_BYTES, CellTable, assign_cells, meet_in_cells, pick_centroids, probes
+from sealrank.operators.cells import FOLDER, FOLDER_BITS, GROUP_BYTES, CellTable, assign_cells, group_rows, meet_in_cells, pick_centroids, probes
 from sealrank.operators.packing import pack_vectors
 from sealrank.operators.search import QUERY_BYTES, QUERY_ROWS, rank_hits
 from sealrank.operators.selection import hash_rank, smallest
@@ -48,11 +48,12 @@ def _parts(rows: DataFrame, width: int) -> DataFrame:
     return materialize(counted, "parts")
 
 
-def _meet(rows: DataFrame, cells: DataFrame, n: int, width: int) -> DataFrame:
-    """Each row (``branch``, packed ``vector``, others) with its ``n`` nearest cells of its branch: ``cell`` and ``fit``."""
+def _meet(rows: DataFrame, cells: DataFrame, n: int, width: int, carried: bool = True) -> DataFrame:
+    """Each row (``branch``, packed ``vector``, others) with its ``n`` nearest cells of its branch: ``cell`` and ``fit``.
+    The vector is left out unless ``carried``."""
     parts = _parts(rows, width)
     left, right = _dealt(rows, parts), _at_each(cells.select(FOLDER, "cell", "centroid"), parts)
-    kept = [f for f in rows.schema if f.name != FOLDER]
+    kept = [f for f in rows.schema if f.name != FOLDER and (carried or f.name != "vector")]
     schema = T.StructType([*kept, T.StructField("cell", T.LongType()), T.StructField("fit", T.DoubleType())])
 
     def nearest(docs: pa.Table, centers: pa.Table) -> pa.Table:
@@ -60,11 +61,11 @@ def _meet(rows: DataFrame, cells: DataFrame, n: int, width: int) -> DataFrame:
         found = []
         numbers, matrix = centers["cell"].to_numpy(), arrow.as_matrix(centers["centroid"])
         step = max(1, (1 << 22) // max(1, len(numbers)))
-        for batch in docs.select([f.name for f in kept]).combine_chunks().to_batches(max_chunksize=step) if len(numbers) else []:
+        for batch in docs.combine_chunks().to_batches(max_chunksize=step) if len(numbers) else []:
             scores = np.round(arrow.as_matrix(batch.column("vector"), matrix.shape[1]) @ matrix.T, 12)
             order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
             row = np.repeat(np.arange(len(order)), order.shape[1])
-            own = batch.take(pa.array(row))
+            own = batch.select([f.name for f in kept]).take(pa.array(row))
             found.append(pa.RecordBatch.from_arrays(
                 [*own.columns, pa.array(numbers[order.ravel()]), pa.array(np.take_along_axis(scores, order, axis=1).ravel())],
                 [*own.schema.names, "cell", "fit"],
@@ -127,11 +128,22 @@ def search_tree(
     matrix = arrow.as_matrix(top["centroid"])
     table = CellTable(matrix, top["n_cells"].to_numpy(), np.ones(len(matrix)))
     packed = pack_vectors(queries.select("query_id", widen(F.col("embedding")).alias("embedding")))
-    at_branches = materialize(probes(packed, table, n_branches).withColumnRenamed("cell", FOLDER), "probes")
+    # Branches stand for cells here: a row per query and branch.
+    at_branches = probes(packed, table, n_branches).select("query_id", "vector", F.explode("cells").alias(FOLDER))
+    at_branches = materialize(at_branches.withColumn(FOLDER, F.col(FOLDER).cast("int")), "probes")
     cells = spark.read.parquet(f"{path}/cells").withColumn(FOLDER, F.col(FOLDER).cast("int"))
     width = matrix.shape[1]
-    near = _meet(at_branches, cells, nprobe, width)
+    near = _meet(at_branches, cells, nprobe, width, carried=False)
     order = Window.partitionBy("query_id").orderBy(F.desc("fit"), "cell")
-    asked = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= nprobe).select("query_id", "vector", "cell")
+    chosen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= nprobe)
+    # Bundles of cells within a branch; a branch holds about as many cells as there are branches.
+    earlier = Window.partitionBy(FOLDER).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.floor(F.coalesce(F.sum("n_docs").over(earlier), F.lit(0)) / group_rows(width))
+    placed = cells.select("cell", "n_docs", FOLDER).withColumn("place", place)
+    bundle = F.min("cell").over(Window.partitionBy(FOLDER, "place")).alias("bundle")
+    at_cells = materialize(placed.select("cell", bundle), "bundles")
+    grouped = chosen.select("query_id", "cell").join(at_cells, "cell").groupBy("query_id", "bundle").agg(F.collect_list("cell").alias("cells"))
+    own = packed.select(F.col("query_id").alias("own"), "vector")  # a query's id may be null
+    asked = grouped.join(own, grouped["query_id"].eqNullSafe(own["own"])).select("query_id", "vector", "bundle", "cells")
     vectors = spark.read.parquet(f"{path}/vectors").withColumn(FOLDER, F.col(FOLDER).cast("int")).select("cell", FOLDER, "doc_id", "vector")
     return rank_hits(meet_in_cells(materialize(asked, "asked"), vectors, cells, k, width, None, query_rows), k)

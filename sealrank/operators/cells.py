@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,9 @@ SCORES_AT_ONCE = 1 << 22
 GROUP_BYTES = 32 << 20
 # A cell tree has folders of cells; a cell's number then begins with that of its folder.
 FOLDER, FOLDER_BITS = "branch", 20
+# Into how many parts the queries of a group of cells are dealt, unless bytes ask for more: each part copies the vectors.
+QUERY_PARTS = 16
+ASKED = [T.StructField("bundle", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))]
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>, n_docs BIGINT, min_fit DOUBLE"
 
 
@@ -161,18 +165,30 @@ def read_cells(spark: SparkSession, path: str) -> CellTable:
     )
 
 
+def group_rows(width: int) -> int:
+    """Vectors, and queries, that meet in one group."""
+    return max(1, GROUP_BYTES // (8 * max(1, width)))
+
+
+def bundles(n_docs: np.ndarray, width: int) -> np.ndarray:
+    """Per cell the first cell of its bundle: neighbours in number that hold about a group of vectors together."""
+    place = (np.cumsum(n_docs) - n_docs) // group_rows(width)
+    return np.unique(place, return_index=True)[1][np.searchsorted(np.unique(place), place)]
+
+
 def probes(queries: DataFrame, table: CellTable, nprobe: int) -> DataFrame:
-    """``query_id, vector, cell``: the cells each query looks at, found in the tasks that hold the queries.
+    """``query_id, vector, bundle, cells``: the cells each query looks at, a row per bundle of them, found in the tasks
+    that hold the queries.
 
     ``queries`` has ``query_id`` and a packed unit ``vector``. Where it has ``floor``, the cells are those beyond
     the ``nprobe`` nearest that may still hold a vector of that score.
     """
-    sent = queries.sparkSession.sparkContext.broadcast(table)
+    sent = queries.sparkSession.sparkContext.broadcast((table, bundles(table.n_docs, table.centroids.shape[1])))
     floored = "floor" in queries.columns
     step = max(1, SCORES_AT_ONCE // max(1, len(table.centroids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
+        cells, bundle = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
@@ -182,26 +198,38 @@ def probes(queries: DataFrame, table: CellTable, nprobe: int) -> DataFrame:
                 else:
                     near = cells.nearest(scores, nprobe)
                     row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
-                for low in range(0, len(row), 4096):
-                    own = pa.array(row[low:low + 4096])
+                order = np.lexsort((cell, row))  # a bundle's cells are neighbours
+                row, cell = row[order], cell[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (bundle[cell[1:]] != bundle[cell[:-1]])
+                starts = np.flatnonzero(new)
+                ends = np.r_[starts, len(row)]
+                for low in range(0, len(starts), 4096):
+                    own = starts[low:low + 4096]
+                    offsets = ends[low:low + len(own) + 1]
+                    lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(cell[offsets[0]:offsets[-1]].astype(np.int64)))
+                    rows = pa.array(row[own])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("query_id").take(own), batch.column("vector").take(own), pa.array(cell[low:low + 4096].astype(np.int32))],
-                        ["query_id", "vector", "cell"],
+                        [batch.column("query_id").take(rows), batch.column("vector").take(rows), pa.array(bundle[cell[own]].astype(np.int64)), lists],
+                        ["query_id", "vector", "bundle", "cells"],
                     )
 
-    schema = T.StructType([queries.schema["query_id"], T.StructField("vector", T.BinaryType()), T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([queries.schema["query_id"], T.StructField("vector", T.BinaryType()), *ASKED])
     return queries.mapInArrow(run, schema)
 
 
 def _scan_in_cells(asked: DataFrame, vectors: DataFrame, k: int, sizes: list[int] | None) -> DataFrame:
     """``meet_in_cells`` for few queries: a scan of their cells that knows which queries look at a cell."""
     pairs = asked.toArrow().combine_chunks()
-    cells, ids = pairs["cell"].to_numpy(), pairs["query_id"].combine_chunks().dictionary_encode()
+    lists, ids = pairs["cells"].combine_chunks(), pairs["query_id"].combine_chunks().dictionary_encode()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     row = ids.indices.to_numpy(zero_copy_only=False)
     first = np.unique(row, return_index=True)[1]
     block = QueryBlock(ids.dictionary, arrow.as_matrix(pairs["vector"].take(pa.array(first))))
+    cells, row = lists.flatten().to_numpy(), np.repeat(row, pc.list_value_length(lists).to_numpy())
     look = {int(c): row[cells == c] for c in np.unique(cells)}
     near = vectors.filter(F.col("cell").isin(list(look)))
     if FOLDER in vectors.columns:
@@ -215,20 +243,22 @@ def _scan_in_cells(asked: DataFrame, vectors: DataFrame, k: int, sizes: list[int
 
 
 def _dealt(asked: DataFrame, vectors: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors and queries with the parts of their cell that they go to."""
+    """Vectors and queries with the parts of their bundle, in ``cell``, that they go to; ``own_cell`` is a vector's cell."""
     within, keys = loads.filter(F.col("n_asked") > 0).drop("n_asked"), ["cell"]
+    bundle = F.broadcast(within.select("bundle", "doc_parts", "query_parts").distinct())
     if FOLDER in vectors.columns:
         keys = ["cell", FOLDER]
         within = within.withColumn(FOLDER, F.shiftright("cell", FOLDER_BITS).cast("int"))
     within = F.broadcast(within)
     # Places within a task tell copies of a row apart, so a cell of copies is dealt evenly too.
     place = F.xxhash64(F.monotonically_increasing_id())
+    others = [c for c in vectors.columns if c not in keys]
     left = vectors.join(within, keys).withColumn("place", place).select(
-        *vectors.columns, F.pmod("place", "doc_parts").cast("int").alias("doc_part"),
+        F.col("bundle").alias("cell"), F.col("cell").alias("own_cell"), *others, F.pmod("place", "doc_parts").cast("int").alias("doc_part"),
         F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"),
     )
-    right = asked.join(within.drop(FOLDER), "cell").withColumn("place", place).select(
-        "query_id", F.col("vector").alias("query"), "cell", F.pmod("place", "query_parts").cast("int").alias("query_part"),
+    right = asked.join(bundle, "bundle").withColumn("place", place).select(
+        "query_id", F.col("vector").alias("query"), F.col("bundle").alias("cell"), "cells", F.pmod("place", "query_parts").cast("int").alias("query_part"),
         F.explode(F.sequence(F.lit(0), F.col("doc_parts") - 1)).alias("doc_part"),
     )
     return left, right
@@ -239,22 +269,28 @@ def meet_in_cells(
 ) -> DataFrame:
     """The best k hits of each query among the vectors of its cells, per task or group that holds some of them.
 
-    ``asked`` (``query_id, vector, cell``; written) and ``vectors`` (``cell, doc_id, vector[, tag]``) meet by cell. Up to
-    8 times ``query_rows`` rows and ``QUERY_BYTES`` of ``asked`` go to the tasks that scan the vectors, which do not move. Beyond
-    that both meet in groups. A cell with more vectors or queries than a group may hold is dealt over several: each
+    ``asked`` (``query_id, vector, bundle, cells``; written) and ``vectors`` (``cell, doc_id, vector[, tag]``) meet by
+    bundle of cells. Up to 8 times ``query_rows`` cells asked for and ``QUERY_BYTES`` of ``asked`` go to the tasks that scan
+    the vectors, which do not move. Beyond that both meet in groups: a query goes once to a bundle, with the cells
+    that it looks at there. A bundle with more vectors or queries than a group may hold is dealt over several: each
     vector goes to one part of the vectors and every part of the queries, each query the other way round, so every
-    pair meets once. ``cells`` (``cell, n_docs``) gives the sizes; its rows for the cells asked for are what the join
+    pair meets once. Parts have ``query_rows`` queries, or more where that made over ``QUERY_PARTS`` copies of the
+    vectors. ``cells`` (``cell, n_docs``) gives the sizes; its rows for the cells asked for are what the join
     broadcasts. Either way the cells asked for prune the folders of the vectors.
     """
-    n_asked, volume = asked.agg(F.count("*"), F.sum(F.octet_length("vector"))).first()
-    if n_asked <= 8 * query_rows and (volume or 0) <= QUERY_BYTES:
+    n_asked, volume = asked.agg(F.sum(F.size("cells")), F.sum(F.octet_length("vector"))).first()
+    if (n_asked or 0) <= 8 * query_rows and (volume or 0) <= QUERY_BYTES:
         return _scan_in_cells(asked, vectors, k, sizes)
-    doc_rows = max(1, GROUP_BYTES // (8 * max(1, width)))
-    parts = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
-    loads = asked.groupBy("cell").agg(F.count("*").alias("n_asked")).join(cells.select("cell", "n_docs"), "cell")
-    loads = materialize(loads.select(
-        "cell", "n_asked", parts("n_docs", doc_rows).alias("doc_parts"), parts("n_asked", min(doc_rows, query_rows)).alias("query_parts")
-    ), "loads")
+    most = F.lit(group_rows(width))
+    wanted = asked.select("bundle", F.explode("cells").alias("cell")).distinct().join(cells.select("cell", "n_docs"), "cell")
+    queries = asked.groupBy("bundle").agg(F.count("*").alias("n_asked"))
+    parts = wanted.groupBy("bundle").agg(F.sum("n_docs").alias("n_docs")).join(queries, "bundle").select(
+        "bundle", "n_asked", F.ceil(F.col("n_docs") / most).cast("int").alias("doc_parts"),
+        F.greatest(
+            F.ceil(F.col("n_asked") / most), F.least(F.ceil(F.col("n_asked") / F.lit(query_rows)), F.lit(QUERY_PARTS))
+        ).cast("int").alias("query_parts"),
+    )
+    loads = materialize(wanted.drop("n_docs").join(parts, "bundle"), "loads")
     left, right = _dealt(asked, vectors, loads)
     query_type = asked.schema["query_id"].dataType
     schema = hit_fields(vectors, query_type, None if sizes is None else T.IntegerType())
@@ -264,17 +300,24 @@ def meet_in_cells(
         own = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
         ids, found = queries["query_id"].combine_chunks(), []
         if len(ids) and docs.num_rows:
-            matrix = arrow.as_matrix(queries["query"])
-            everyone, bests = np.arange(len(ids)), [BestHits(len(ids), k) for _ in labels]
-            for batch in docs.combine_chunks().to_batches(max_chunksize=4096):
-                rows = arrow.unit_rows(arrow.as_matrix(batch.column("vector"), matrix.shape[1]))
-                if sizes is None:
-                    offer_all(bests, matrix, everyone, rows, batch.column("doc_id"))
+            matrix, bests = arrow.as_matrix(queries["query"]), [BestHits(len(ids), k) for _ in labels]
+            lists, place = queries["cells"].combine_chunks(), docs["own_cell"].to_numpy()
+            asked_for, asking = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+            for cell in np.unique(place):
+                look = asking[asked_for == cell]
+                if len(look) == 0:
                     continue
-                tags = batch.column("tag").to_numpy()
-                for tag in np.unique(tags):
-                    at = np.flatnonzero(tags == tag)
-                    offer_all(bests[tag:], matrix, everyone, rows[at], batch.column("doc_id").take(pa.array(at)))
+                rows_asked, here = matrix[look], np.flatnonzero(place == cell)
+                for low in range(0, len(here), 4096):
+                    batch = docs.take(pa.array(here[low:low + 4096])).combine_chunks().to_batches()[0]
+                    rows = arrow.unit_rows(arrow.as_matrix(batch.column("vector"), matrix.shape[1]))
+                    if sizes is None:
+                        offer_all(bests, rows_asked, look, rows, batch.column("doc_id"))
+                        continue
+                    tags = batch.column("tag").to_numpy()
+                    for tag in np.unique(tags):
+                        at = np.flatnonzero(tags == tag)
+                        offer_all(bests[tag:], rows_asked, look, rows[at], batch.column("doc_id").take(pa.array(at)))
             for label, one in zip(labels, bests):
                 found += emit(one, ids, label, sizes is not None)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=own) for b in found], own)

@@ -97,3 +97,14 @@ def test_empty_sides_and_small_tables(clustered, tree, path):
         build_tree(docs, path("none"), 0)
     with pytest.raises(ValueError, match="unique"):
         search_tree(queries.union(queries), tree, 5)
+
+
+def test_vectors_do_not_travel_once_per_cell(clustered, tree, monkeypatch):
+    """A query goes to a bundle of cells once, and vectors are not copied for every few queries."""
+    queries, _ = clustered
+    groups, deal = [], cells._dealt
+    monkeypatch.setattr(cells, "_dealt", lambda *given: groups.append(deal(*given)) or groups[-1])
+    search_tree(queries, tree, 5, 10, 100, query_rows=1)
+    ((left, right),) = groups
+    assert right.count() == queries.count() * left.select("cell").distinct().count() <= queries.count() * 10
+    assert left.count() == 751 * cells.QUERY_PARTS
