@@ -23,8 +23,9 @@ Model = Callable[[list[str]], np.ndarray]
 
 # A-Z as a-z, and every byte but these and 0-9 as a blank; bytes of longer UTF-8 characters are among them.
 _TOKEN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
-# Text that goes to a model at once, so that its bytes fit one Arrow array.
-BATCH_BYTES = 64 << 20
+# Text that goes to a model at once, and tokens whose buckets the hashed model keeps: what a task holds does not grow with the corpus.
+BATCH_BYTES = 4 << 20
+KEPT_TOKENS = 1 << 16
 # Rows of one text that meet its vector in one group, and a bound of the texts with more.
 PART_ROWS = 10_000
 HOT_TEXTS = 100_000
@@ -128,7 +129,7 @@ def hashed_model(width: int = 64) -> Callable[[], Model]:
     the time of the expression form on long texts.
     """
     def make() -> Model:
-        @functools.lru_cache(maxsize=1 << 20)
+        @functools.lru_cache(maxsize=KEPT_TOKENS)
         def bucket(token: str) -> int:
             return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width if token else -1
 

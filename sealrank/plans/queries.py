@@ -17,7 +17,7 @@ from sealrank.operators.packing import unpack_vectors
 from sealrank.operators.search import search, without_self
 from sealrank.operators.selection import first_rows
 from sealrank.plans import pipeline
-from sealrank.session import materialize, new_path, ship_package
+from sealrank.session import bound_batches, materialize, new_path, ship_package
 from sealrank.sources import readers, writers
 from sealrank.sources.stores import PlainStore, SealedStore
 from sealrank.streaming.jobs import ingest_stream, read_stream, search_stream, table_stream, upsert_stream
@@ -39,6 +39,7 @@ def query(fn: Query) -> Query:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

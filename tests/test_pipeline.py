@@ -332,3 +332,10 @@ def test_streams_read_tables_of_part_files(spark, tmp_path):
     hits, stored = QUERIES["stream_search"](spark, str(tmp_path)), QUERIES["stream_ingest"](spark, str(tmp_path))
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, QUERIES["exact_topk"](spark, str(tmp_path)).collect()))
     assert hits.count() == 150 and stored.count() == 120
+
+
+def test_a_model_is_given_a_bounded_piece_of_long_texts(spark):
+    """Twenty texts of a million characters do not go to the model at once."""
+    docs = spark.range(20, numPartitions=1).select("id", F.repeat(F.lit("word "), 200_000).alias("text"))
+    made = embed(docs, "text", lambda: lambda texts: np.full((len(texts), 1), float(sum(map(len, texts)))))
+    assert made.agg(F.max(F.col("embedding")[0])).first()[0] <= 4 << 20
