@@ -241,12 +241,13 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_block
     spans = _taken_spans(placed, slots, block_words).groupBy("src", "at", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
     named = placed.where("size > 0").select("src", "at", F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("source").alias("__s"))
     own = spans.join(named, ["src", "at"]).select("__d", "__t", "__s", "__spans")
-    # The caller's columns travel in one struct, so that none of their names can clash.
-    texts = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"))
+    names = docs.columns
+    others = [name for name in names if name != "text"]
+    # The caller's columns travel in one struct, so that none of their names can clash, and the text once beside it.
+    texts = docs.select(F.struct(*others).alias("__row"), F.col("text").alias("__text"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"))
     texts = texts.dropDuplicates(["doc_id", "source", "__th"])
     joined = texts.join(own, texts["doc_id"].eqNullSafe(own["__d"]) & (texts["__th"] == own["__t"]) & texts["source"].eqNullSafe(own["__s"]))
-    joined = joined.select("__row", "__spans", F.col("__row.text").alias("text"))
-    names = docs.columns
+    joined = joined.select("__row", "__spans", F.col("__text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -255,7 +256,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_block
             own = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 own["n_chars"] = pa.array(list(map(len, texts)), pa.int64())
-            fields = dict(zip(names, batch.column("__row").flatten()))
-            yield pa.RecordBatch.from_arrays([own[name].cast(field.type) if name in own else field for name, field in fields.items()], names)
+            fields = {**dict(zip(others, batch.column("__row").flatten())), "text": batch.column("text")}
+            yield pa.RecordBatch.from_arrays([own[name].cast(field.type) if name in own else field for name, field in ((name, fields[name]) for name in names)], names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -769,3 +769,10 @@ def test_paths_are_measured_around_their_host(spark, monkeypatch):
     _, below = plain_posteriors(rows)
     found = classified(spark, monkeypatch, rows)
     assert below == 1e6 and np.allclose(found["path_quality"], found["host_quality"], atol=1e-5)
+
+
+def test_mixing_hands_each_text_over_once(spark):
+    rows = [(i, f"some words of text {i} " * 9, "en", f"s{i % 3}", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mixed_documents(docs, block_words=4)
+    assert ".text AS text" not in mixed._jdf.queryExecution().executedPlan().toString() and mixed.columns == docs.columns
