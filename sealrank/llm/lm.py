@@ -243,6 +243,24 @@ def least_of(table: DataFrame, column: str, limit: int) -> float:
     return float(2 ** next(e for e in range(65) if sum(n for k, n in sizes.items() if k >= e) <= limit))
 
 
+def _group_sums(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums, as 64-bit numbers, of the rows of ``values`` that ``rows`` names, group after group of ``sizes`` rows.
+
+    Groups are filled up to fours with a row of zeros, so that most is added side by side.
+    """
+    fours = -(-sizes // 4)
+    first = np.cumsum(fours) - fours
+    filled = np.full(4 * fours.sum(), len(values))
+    filled[np.repeat(4 * first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(rows))] = rows
+    wide = np.zeros((len(values) + 1, values.shape[1]))
+    wide[:-1] = values
+    parts = np.take(wide, filled, axis=0, mode="clip").reshape(-1, 4, values.shape[1])
+    total = parts[:, 0] + parts[:, 1]
+    total += parts[:, 2]
+    total += parts[:, 3]
+    return np.add.reduceat(total, first, axis=0)
+
+
 class Steps:
     """AdaGrad steps of one task: its weights, squared gradients per row and how often a row was touched."""
 
@@ -250,27 +268,28 @@ class Steps:
         rows = len(model.weights)
         self.model = model._replace(weights=model.weights.copy())
         self.squares, self.touched = np.full(rows, 1e-6, np.float32), np.zeros(rows, np.float32)
-        self._mark, self._place = np.zeros(rows, bool), np.empty(rows, np.int64)
 
     def step(self, rows: np.ndarray, bias: np.ndarray, targets: np.ndarray) -> None:
         """One step on the rows of some tokens towards their targets."""
         weights = self.model.weights
         error = softmax(weights, bias, rows)
         error[np.arange(len(targets)), targets] -= 1
-        flat = rows.ravel()
-        self._mark[flat] = True
-        used = np.flatnonzero(self._mark)
-        self._mark[used] = False
-        self._place[used] = np.arange(len(used))
-        at = self._place[flat]
-        change = np.empty((len(used), error.shape[1]), np.float32)
-        for i, column in enumerate(error.T.astype(np.float64)):
-            change[:, i] = np.bincount(at, weights=np.tile(column, len(rows)), minlength=len(used))
+        # The entries by row: row and place share one number that is sorted.
+        bits = rows.size.bit_length()
+        entries = np.sort(rows.ravel() << bits | np.arange(rows.size))
+        which, token = entries >> bits, (entries & (1 << bits) - 1) % len(targets)
+        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        used, times = which[first], np.diff(first, append=len(which))
+        # Most rows have one entry, whose error is their change.
+        change = np.take(error, token[first], axis=0, mode="clip")
+        several = np.flatnonzero(times > 1)
+        if len(several):
+            change[several] = _group_sums(error, token[np.repeat(times > 1, times)], times[several])
         squares = self.squares[used] + np.einsum("ij,ij->i", change, change) / CLASSES
         self.squares[used] = squares
         change *= (RATE / np.sqrt(squares))[:, None]
         weights[used] = np.subtract(np.take(weights, used, axis=0, mode="clip"), change, out=change)
-        self.touched[used] += np.bincount(at, minlength=len(used))
+        self.touched[used] += times
 
     def learn(self, found: Tokens) -> None:
         of_class, of_sub = found.features(len(self.model.weights))
@@ -389,10 +408,17 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
                 in_group = np.log10(np.maximum(c - discount, 1e-9))[place] - log_group[found.groups]
                 own = of_class + np.where(known, of_sub + in_group, 0.0)
                 starts = found.bounds[:-1]
+                # Per text and rare word one entry: how often it occurs, and the sum of its sub-class's logarithms.
                 rare = np.flatnonzero(~known)
-                splits = np.searchsorted(rare, found.bounds)
+                text_of = np.repeat(np.arange(b - a), np.diff(found.bounds))
+                pairs, at, of_pair, tf = np.unique(
+                    text_of[rare] * len(words) + place[rare], return_index=True, return_inverse=True, return_counts=True
+                )
+                splits = np.searchsorted(pairs, np.arange(b - a + 1) * len(words))
+                sums = np.bincount(of_pair, weights=of_sub[rare], minlength=len(pairs)).astype(float)
                 rare_words = pa.StructArray.from_arrays(
-                    [pa.array(found.hashes[rare].view(np.int64)), pa.array(found.groups[rare].astype(np.int32)), pa.array(of_sub[rare].astype(np.float32))], ["h", "g", "s"]
+                    [pa.array(words[pairs % len(words)].view(np.int64)), pa.array(found.groups[rare[at]].astype(np.int32)), pa.array(tf), pa.array(sums)],
+                    ["h", "g", "tf", "s"],
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -405,13 +431,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Data
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<h:long,g:int,s:float>>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<h:long,g:int,tf:long,s:double>>"
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     parts = written(numbered.mapInArrow(run, schema), "scores")
 
     per_group = F.array(*map(F.lit, map(float, log_group))), F.array(*map(F.lit, map(float, log_unseen)))
     in_group, if_unseen = (F.element_at(values, F.col("g") + 1) for values in per_group)
-    words = parts.select("row", F.explode("rare").alias("w")).select("row", "w.*").groupBy("row", "h", "g").agg(F.count(F.lit(1)).alias("tf"), F.sum("s").alias("s"))
+    words = parts.select("row", F.explode("rare").alias("w")).select("row", "w.*")
     looked = words.join(counts.where(F.col("c") < least).select("h", "c"), "h", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
     per_row = looked.groupBy("row").agg(

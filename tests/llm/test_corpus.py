@@ -249,6 +249,26 @@ def test_one_step_is_the_gradient():
     assert steps.touched.sum() == of_class.size + sum(of_sub.shape[0] for c in found.classes if c)
 
 
+def test_group_sums_are_those_of_each_group():
+    rng = np.random.default_rng(4)
+    values, sizes = rng.normal(size=(50, 3)).astype(np.float32), np.array([1, 2, 3, 4, 5, 8, 9, 400])
+    rows = rng.integers(0, 50, sizes.sum())
+    want = [values[own].astype(float).sum(axis=0) for own in np.split(rows, np.cumsum(sizes)[:-1])]
+    assert np.allclose(lm._group_sums(values, rows, sizes), want, rtol=1e-12)
+
+
+def test_a_rare_word_of_a_text_is_one_entry_and_is_looked_up_by_one_shuffle(spark, monkeypatch):
+    texts = ["the cat " * 4 + "zebra " * 50, "the cat zebra", None, "the yak cat yak " * 3]
+    tables, written = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    found = lm.score(spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "")], "doc_id long, text string"), rounds=0, lexicon=0)
+    entries = [(r["doc_id"], sum(w["tf"] for w in r["rare"]), len(r["rare"])) for r in tables["scores"].collect()]
+    # The end of a text is an entry too.
+    assert sorted(entries, key=str) == sorted([(0, 59, 4), (0, 59, 4), (1, 4, 4), (2, 1, 1), (3, 13, 4), (None, 1, 1)], key=str)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in found.collect() if r["doc_id"] is not None) == [(0, 59), (0, 59), (1, 4), (2, 1), (3, 13)]
+    assert "partial_count(1)" not in found._jdf.queryExecution().toString()
+
+
 def test_the_gain_is_trained(given_docs):
     untrained, trained = (lm.score(given_docs, rounds=n).where("held_out").agg({"score": "sum", "base_score": "sum"}).first() for n in (0, lm.ROUNDS))
     # Without training the history plays no part: what is left of the gain is the unseen words' larger mass.
