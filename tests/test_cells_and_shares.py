@@ -250,3 +250,15 @@ def test_modular_product_of_any_width(width):
         a = np.array([[prime - 1] * width, [prime // 2] * width, [prime // 2 + 1] * width])
         want = [[int(x) * int(y) * width % prime for y in a[:, 0]] for x in a[:, 0]]
         assert shares._product_mod(a, a, prime).tolist() == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 64, 100, 4097])
+def test_modular_product_is_one_matrix_product_and_holds_at_its_bounds(width, monkeypatch):
+    p, calls = shares.PRIMES[0], []
+    remainder = shares._remainder
+    monkeypatch.setattr(shares, "_remainder", lambda x, *rest: calls.append(np.abs(x).max()) or remainder(x, *rest))
+    # Residues whose signed form is largest on either side, so that sums of products are, too.
+    left, right = (np.full((2, width), [[v], [w]]) for v, w in ((p // 2, p // 2 + 1), (p // 2 + 1, p // 2)))
+    found = shares._product_mod(left, right, p)
+    assert found.tolist() == [[int(a[0]) * int(b[0]) * width % p for b in right] for a in left]
+    assert max(calls) <= 1 << 53 and len(calls) == (1 if width <= shares.DIMENSIONS_AT_ONCE else 3)
