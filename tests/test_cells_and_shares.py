@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sealrank.operators import cells, shares
+from sealrank.operators import answers, cells, shares
 from sealrank.operators.cells import build_cells, search_cells
 from sealrank.operators.packing import pack_vectors
 from sealrank.operators.search import search
@@ -262,3 +265,61 @@ def test_modular_product_is_one_matrix_product_and_holds_at_its_bounds(width, mo
     found = shares._product_mod(left, right, p)
     assert found.tolist() == [[int(a[0]) * int(b[0]) * width % p for b in right] for a in left]
     assert max(calls) <= 1 << 53 and len(calls) == (1 if width <= shares.DIMENSIONS_AT_ONCE else 3)
+
+
+def test_answers_to_many_queries_are_files(skewed, key, path, spark, monkeypatch):
+    """Rows of the holders' jobs hold places only; the files are gone after each block, and the settings as before."""
+    queries, docs = skewed
+    first, second = (materialize(shares.split_vectors(docs, key, i), "share") for i in (0, 1))
+    shares.build_share_cells(docs, key, place := path("shares"), 12)
+    want = [rows(shares.search_shares(queries, first, second, 5)), rows(shares.search_share_cells(queries, place, 5, 4))]
+    monkeypatch.setattr(shares, "ANSWER_BYTES", 16 * docs.count() * 7)
+    monkeypatch.setattr(shares, "LEAST_QUERIES", 7)
+    folders, blocks, score = set(), [], shares.score_share
+
+    def seen(block, table, look=None, folder=None):
+        scored = score(block, table, look, folder)
+        folders.add(folder)
+        blocks.append(len(block))
+        assert scored.schema["partial"].dataType.simpleString() == "struct<file:string,at:bigint>"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(spark.sparkContext.defaultParallelism)
+        return scored
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        monkeypatch.setattr(shares, "score_share", seen)
+        assert rows(shares.search_shares(queries, first, second, 5)) == want[0]
+        assert max(blocks) <= 7 and sum(blocks) == 2 * queries.count()
+        assert rows(shares.search_share_cells(queries, place, 5, 4)) == want[1]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "13"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(folders) > 5 and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+    # Where tasks cannot read the shared folder, answers are rows.
+    monkeypatch.setattr(shares, "score_share", score)
+    monkeypatch.setattr(shares, "tasks_can_read", lambda path: False)
+    assert rows(shares.search_shares(queries, first, second, 5)) == want[0]
+    cut = shares.query_block
+    monkeypatch.setattr(shares, "query_block", lambda q: cut(q, rows=10))
+    monkeypatch.setattr(shares, "QUERY_ROWS", 10)
+    assert rows(shares.search_shares(queries, first, second, 5)) == want[0]
+
+
+def test_files_of_answers(spark, monkeypatch):
+    """Rows are found by their places, with few files open, and a short file is an error."""
+    monkeypatch.setattr(answers, "OPEN_FILES", 2)
+    numbers = np.arange(5 * 3 * 4, dtype="<u4").reshape(5, 3, 4)
+    with pytest.raises(OSError, match="ends before"), answers.answer_folder(spark) as folder:
+        places = []
+        for part in numbers:
+            writer = answers.AnswerWriter(folder)
+            places += [writer.write(part[:1]), writer.write(part[1:])]
+            writer.close()
+        answers.AnswerWriter(folder).close()
+        assert len(os.listdir(folder.removeprefix("file:"))) == 5
+        reader, order = answers.AnswerReader(folder), np.random.default_rng(1).permutation(15)
+        assert (reader.read(pa.concat_arrays(places).take(pa.array(order)), 4) == numbers.reshape(15, 4)[order]).all()
+        assert len(reader.files) <= 2
+        reader.read(places[-1], 5)
+    assert not os.path.exists(folder.removeprefix("file:"))
